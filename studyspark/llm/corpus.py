@@ -16,6 +16,9 @@ from .terms import grams
 #: A term is frequent if at least one text in so many has it. Texts have L terms on average, so at most RARE * L terms are frequent,
 #: however large the corpus; all others count as having this frequency.
 RARE = 8_000
+#: A term that at most so many texts have is no rarer than one that this many have: in a small corpus a slip of the pen must not
+#: outweigh the names that two copies share.
+FEW = 20
 
 
 class Frequent:
@@ -24,43 +27,51 @@ class Frequent:
     def __init__(self, terms: np.ndarray, texts: np.ndarray, n: int):
         order = np.argsort(terms)
         self.terms, self.logs = terms[order], np.log(max(n, 1) / np.maximum(texts[order], 1)).astype(np.float32)
-        self.most = float(np.log(max(2, min(n, RARE))))
+        self.most = float(np.log(max(2.0, n / max(FEW, n / RARE))))
 
     def idf(self, terms: np.ndarray) -> np.ndarray:
-        """ln(texts / texts with the term), at most ln(RARE)."""
+        """ln(texts / texts with the term), where the latter are at least FEW and texts / RARE."""
         if not len(self.terms):
             return np.full(len(terms), self.most, np.float32)
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         return np.where(self.terms[at] == terms, np.minimum(self.logs[at], self.most), self.most).astype(np.float32)
 
 
+def _counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    every = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+    return every[first], np.diff(np.append(first, len(every)))
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(parts) == 1:
+        return parts[0]
+    terms, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(terms, kind="stable")
+    terms, counts = terms[order], counts[order]
+    first = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])) if len(terms) else np.zeros(0, np.int64)
+    return terms[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 def frequent_terms(texts: DataFrame, runs: tuple[tuple[str, int], ...]) -> Broadcast:
     """Counts every text of column ``text``; each task adds its own counts up before the shuffle, and rare terms go no further."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, counts, new, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-
-        def add_up() -> tuple[np.ndarray, np.ndarray]:
-            every = np.concatenate([terms, *new])
-            weights = np.concatenate([counts, np.ones(len(every) - len(terms), np.int64)])
-            order = np.argsort(every, kind="stable")
-            every, weights = every[order], weights[order]
-            first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
-            return every[first], np.add.reduceat(weights, first) if len(first) else weights
-
+        summed: list[tuple[np.ndarray, np.ndarray]] = []
+        new: list[np.ndarray] = []
+        waiting = 0
         for _, some in slices(batches):
-            found = grams(some, runs)
-            new.append(found[0])
-            waiting += len(found[0])
+            new.append(grams(some, runs)[0])
+            waiting += len(new[-1])
             if waiting > 4_000_000:
-                terms, counts = add_up()
+                summed = [_merged([*summed, _counted(new)])]
                 new, waiting = [], 0
-        terms, counts = add_up()
+        terms, counts = _merged([*summed, _counted(new)])
         yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(counts)], ["term", "n"])
 
     texts = texts.where(F.col("text").isNotNull())
     n = texts.count()
     counts = texts.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    rows = counts.where(F.col("n") * RARE >= n).toArrow()
+    rows = counts.where((F.col("n") * RARE >= n) & (F.col("n") > FEW)).toArrow()
     found = Frequent(rows["term"].to_numpy().view(np.uint64), rows["n"].to_numpy(), n)
     return texts.sparkSession.sparkContext.broadcast(found)

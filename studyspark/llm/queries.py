@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shared import Kept, table
+from . import disguise
 from . import near_copies as nc
+from . import overlap
 
 # Two tables in one corpus: a row's doc is twice its key, plus its table's number.
 
@@ -42,5 +44,53 @@ def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": p5_found, "p5_classes": p5_classes}
+CASES = [("routing_cases", "case_id"), ("diagnosis_cases", "case_id")]
+
+
+def _split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = F.lower(F.trim("split"))
+    held = F.when(split == "train", False).when(split.isin("validation", "test"), True)
+    parts = [
+        table(spark, sf_dir, t).select((F.col(k) * 2 + i).alias("doc"), F.lit(i).alias("tab"), held.alias("held"), "text", split.alias("split"), "source")
+        for i, (t, k) in enumerate(CASES)
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a training row and a validation or test row of one table whose texts are the same or nearly so."""
+    pairs = overlap.split_overlaps(_split_rows(spark, sf_dir).drop("split", "source"), Kept(spark))
+    a, b = F.floor(F.least("train", "held") / 2), F.floor(F.greatest("train", "held") / 2)
+    return pairs.select(_table("train", CASES).alias("tab"), a.alias("case_id_a"), b.alias("case_id_b"))
+
+
+def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By table, split and source of the held-out row: rows that overlap with training rows, and pairs."""
+    rows = _split_rows(spark, sf_dir)
+    pairs = overlap.split_overlaps(rows.drop("split", "source"), Kept(spark))
+    hits = pairs.groupBy("held").agg(F.count("*").alias("pairs"))
+    of = rows.where(F.col("held")).select("doc", "split", "source").dropDuplicates(["doc"])
+    return of.join(hits.withColumnRenamed("held", "doc"), "doc", "left").groupBy(_table("doc", CASES).alias("tab"), "split", "source").agg(
+        F.count("*").alias("held_rows"), F.count("pairs").alias("overlapping_rows"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")
+    )
+
+
+def _plain(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
+    parts = [table(spark, sf_dir, t).select(F.lit(t).alias("tab"), F.col(k).alias("case_id"), "text") for t, k in CASES]
+    return disguise.plain_texts(parts[0].unionByName(parts[1]), columns)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose text holds a character that is invisible or stands in for a common one of the same look."""
+    return _plain(spark, sf_dir, ["tab", "case_id"]).where("disguised").select("tab", "case_id").dropDuplicates(["tab", "case_id"])
+
+
+def p2_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts in one consistent form."""
+    return _plain(spark, sf_dir, ["tab", "case_id"]).dropDuplicates(["tab", "case_id"])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_plain": p2_plain, "p5_found": p5_found, "p5_classes": p5_classes,
+}
 ORACLE: dict[str, str] = {}

@@ -74,7 +74,7 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     fold, kinds, joined, several = _tables()
     whole = "".join(texts)
-    if any(c in whole for c in several if c < "﬇" and c > "﫿") or joined.search(whole):
+    if joined.search(whole):
         texts = [joined.sub(lambda m: several[m[0]], t) for t in texts]
         whole = "".join(texts)
     codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
