@@ -83,6 +83,6 @@ def code(column: str):
 
     Separators at the ends count as blanks.
     """
-    c = F.regexp_replace(F.lower(F.col(column)), r"(?U)[\s_\- ﻿​]+", "-")
+    c = F.regexp_replace(F.lower(F.col(column)), r"[\s_\-\x{a0}\x{2000}-\x{200b}\x{202f}\x{3000}\x{feff}]+", "-")
     c = F.regexp_replace(c, "^-|-$", "")
     return F.when(c != "", c)
