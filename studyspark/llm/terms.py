@@ -120,12 +120,16 @@ def grams(texts: list[str], runs: tuple[tuple[str, int], ...]) -> tuple[np.ndarr
 
     A text that is too short for any term gets its whole token sequence as its only term; a text without tokens has none.
     """
-    hashes, of, ideograph = tokens(texts)
+    return grams_of(*tokens(texts), len(texts), runs)
+
+
+def grams_of(hashes: np.ndarray, of: np.ndarray, ideograph: np.ndarray, n: int, runs: tuple[tuple[str, int], ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The same from the tokens of ``n`` texts."""
     parts = [_runs(hashes, of, ideograph, length, kind) for kind, length in runs]
     terms, docs = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     lacking = np.setdiff1d(of, docs)
     if len(lacking):
-        all_of = whole(hashes, of, len(texts))
+        all_of = whole(hashes, of, n)
         terms, docs = np.concatenate([terms, all_of[lacking]]), np.concatenate([docs, lacking.astype(np.int32)])
     order = np.lexsort((terms, docs))
     terms, docs = terms[order], docs[order]
