@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import slices
-from .terms import grams
+from .terms import grams_of, tokens
 
 #: A term is frequent if at least one text in so many has it. Texts have L terms on average, so at most RARE * L terms are frequent,
 #: however large the corpus; all others count as having this frequency.
@@ -21,6 +21,10 @@ RARE = 5_000
 FEW = 20
 
 
+#: Counts know a term by the upper bits of its hash, and a text within its slice by the other bits.
+_DOC_BITS = np.uint64(16)
+
+
 class Frequent:
     """The frequent terms' shares of texts, sorted by term; every other term counts as one in ``rare``."""
 
@@ -33,10 +37,21 @@ class Frequent:
         """ln(texts / texts with the term), where the latter are at least FEW and texts / RARE."""
         if not len(self.terms):
             return np.full(len(terms), self.most, np.float32)
+        terms = terms >> _DOC_BITS
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         return np.where(self.terms[at] == terms, np.minimum(self.logs[at], self.most), self.most).astype(np.float32)
 
 
+def _once(terms: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Known terms, one for each text that has it."""
+    out = []
+    for first in range(0, int(docs[-1]) + 1 if len(docs) else 0, 1 << int(_DOC_BITS)):
+        part = slice(*np.searchsorted(docs, (first, first + (1 << int(_DOC_BITS)))))
+        keys = np.sort((terms[part] >> _DOC_BITS << _DOC_BITS) | (docs[part] - first).astype(np.uint64))
+        out.append(keys[np.append(True, keys[1:] != keys[:-1])] >> _DOC_BITS)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def _counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     every = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
     first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
@@ -61,7 +76,9 @@ def frequent_terms(texts: DataFrame, runs: tuple[tuple[str, int], ...], rare: in
         new: list[np.ndarray] = []
         waiting = 0
         for _, some in slices(batches):
-            new.append(grams(some, runs)[0])
+            hashes, of, ideograph = tokens(some)
+            terms, docs = grams_of(hashes, of, ideograph, len(some), runs)
+            new.append(_once(terms, docs))
             waiting += len(new[-1])
             if waiting > 4_000_000:
                 summed = [_merged([*summed, _counted(new)])]

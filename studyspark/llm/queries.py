@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shared import Kept, table
-from . import disguise
+from . import disguise, leaks
 from . import near_copies as nc
-from . import overlap
+from . import overlap, topic_groups
 
 # Two tables in one corpus: a row's doc is twice its key, plus its table's number.
 
@@ -90,7 +90,38 @@ def p2_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(spark, sf_dir, ["tab", "case_id"]).dropDuplicates(["tab", "case_id"])
 
 
+def _topic_groups(spark: SparkSession, sf_dir: str, keep: Kept) -> DataFrame:
+    return topic_groups.topic_groups(table(spark, sf_dir, "topics").select(F.col("topic_id").alias("id"), "subject", "topic"), keep)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of topics that must share a split with another row, with the least topic_id of their group."""
+    return _topic_groups(spark, sf_dir, Kept(spark)).where("members > 1").select(F.col("id").alias("topic_id"), "group_id")
+
+
+def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every topic with its group and split."""
+    keep = Kept(spark)
+    found = topic_groups.assign_splits(_topic_groups(spark, sf_dir, keep), table(spark, sf_dir, "split_targets"), keep)
+    return found.select(F.col("id").alias("topic_id"), "group_id", "split")
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the held-out items whose own wording they contain."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the share of the item's own wording and its tokens."""
+    return _leaks(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_plain": p2_plain, "p5_found": p5_found, "p5_classes": p5_classes,
+    "p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_plain": p2_plain, "p4_found": p4_found, "p4_splits": p4_splits, "p5_found": p5_found, "p5_classes": p5_classes,
+    "p6_found": p6_found, "p6_shares": p6_shares,
 }
 ORACLE: dict[str, str] = {}

@@ -116,7 +116,7 @@ def _runs(hashes: np.ndarray, of: np.ndarray, ideograph: np.ndarray, length: int
 
 
 def grams(texts: list[str], runs: tuple[tuple[str, int], ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct terms of each text, in order of text and term; ``runs`` names kinds of token and how many make a term.
+    """Terms of each text and their texts, in order of text, with repeats; ``runs`` names kinds of token and how many make a term.
 
     A text that is too short for any term gets its whole token sequence as its only term; a text without tokens has none.
     """
@@ -127,10 +127,18 @@ def grams_of(hashes: np.ndarray, of: np.ndarray, ideograph: np.ndarray, n: int,
     """The same from the tokens of ``n`` texts."""
     parts = [_runs(hashes, of, ideograph, length, kind) for kind, length in runs]
     terms, docs = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    lacking = np.setdiff1d(of, docs)
+    has = np.zeros(n, bool)
+    has[docs] = True
+    lacking = np.flatnonzero(np.bincount(of, minlength=n).astype(bool) & ~has)
     if len(lacking):
         all_of = whole(hashes, of, n)
         terms, docs = np.concatenate([terms, all_of[lacking]]), np.concatenate([docs, lacking.astype(np.int32)])
+    order = np.argsort(docs, kind="stable")  # a merge of runs that are already in order
+    return terms[order], docs[order]
+
+
+def distinct(terms: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's terms once, in order of text and term."""
     order = np.lexsort((terms, docs))
     terms, docs = terms[order], docs[order]
     new = np.ones(len(terms), bool)

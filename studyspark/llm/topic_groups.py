@@ -37,8 +37,7 @@ def topic_keys(cell: str | None) -> list[str]:
     return sorted({k for k in map(topic_key, JOINS.split(compatible(cell)[0])) if k})
 
 
-@pandas_udf("array<string>")
-def _keys(cells: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _keys_of(cells: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in cells:
         yield s.map(topic_keys)
 
@@ -54,7 +53,7 @@ def topic_groups(rows: DataFrame, keep: Kept) -> DataFrame:
     """
     ship(rows.sparkSession)
     rows = rows.where(F.col("id").isNotNull()).dropDuplicates(["id"]).select("id", code("subject").alias("subject"), "topic")
-    named = rows.withColumn("keys", F.when(F.col("subject").isNotNull(), _keys("topic")))
+    named = rows.withColumn("keys", F.when(F.col("subject").isNotNull(), pandas_udf(_keys_of, "array<string>")("topic")))
     entities = F.transform("keys", lambda k: F.xxhash64(F.col("subject"), k))
     nodes = keep(named.select("id", "subject", F.when(F.size("keys") > 0, F.array_sort(entities)).alias("entities")), "topics")
     several = nodes.where(F.size("entities") > 1).select("entities").distinct()
