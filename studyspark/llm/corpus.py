@@ -28,10 +28,10 @@ _DOC_BITS = np.uint64(16)
 class Frequent:
     """The frequent terms' shares of texts, sorted by term; every other term counts as one in ``rare``."""
 
-    def __init__(self, terms: np.ndarray, texts: np.ndarray, n: int, rare: int = RARE):
+    def __init__(self, terms: np.ndarray, texts: np.ndarray, n: int, rare: int = RARE, few: int = FEW):
         order = np.argsort(terms)
         self.terms, self.logs = terms[order], np.log(max(n, 1) / np.maximum(texts[order], 1)).astype(np.float32)
-        self.most = float(np.log(max(2.0, n / max(FEW, n / rare))))
+        self.most = float(np.log(max(2.0, n / max(few, n / rare))))
 
     def idf(self, terms: np.ndarray) -> np.ndarray:
         """ln(texts / texts with the term), where the latter are at least FEW and texts / RARE."""
@@ -68,7 +68,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return terms[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def frequent_terms(texts: DataFrame, runs: tuple[tuple[str, int], ...], rare: int = RARE) -> Broadcast:
+def frequent_terms(texts: DataFrame, runs: tuple[tuple[str, int], ...], rare: int = RARE, few: int = FEW) -> Broadcast:
     """Counts every text of column ``text``; each task adds its own counts up before the shuffle, and rare terms go no further."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,6 +89,6 @@ def frequent_terms(texts: DataFrame, runs: tuple[tuple[str, int], ...], rare: in
     texts = texts.where(F.col("text").isNotNull())
     n = texts.count()
     counts = texts.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    rows = counts.where((F.col("n") * rare >= n) & (F.col("n") > FEW)).toArrow()
-    found = Frequent(rows["term"].to_numpy().view(np.uint64), rows["n"].to_numpy(), n, rare)
+    rows = counts.where((F.col("n") * rare >= n) & (F.col("n") > few)).toArrow()
+    found = Frequent(rows["term"].to_numpy().view(np.uint64), rows["n"].to_numpy(), n, rare, few)
     return texts.sparkSession.sparkContext.broadcast(found)

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shared import Kept, table
-from . import disguise, leaks
+from . import disguise, leaks, mixing
 from . import near_copies as nc
-from . import overlap, topic_groups
+from . import overlap, sampling, topic_groups
 
 # Two tables in one corpus: a row's doc is twice its key, plus its table's number.
 
@@ -120,8 +120,55 @@ def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir)
 
 
+SAMPLED = {"routing_cases": ("case_id", ["skill", "category"]), "subject_cases": ("id", ["subject"])}
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, DataFrame]]:
+    keep, targets = Kept(spark), table(spark, sf_dir, "sample_targets")
+    return [
+        (t, *sampling.sample_to_targets(table(spark, sf_dir, t), key, fields, targets.where(F.col("tab") == t).drop("tab"), keep))
+        for t, (key, fields) in SAMPLED.items()
+    ]
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each target with rows available, wanted and sampled, the share reached and its gap."""
+    reports = [r.select(F.lit(t).alias("tab"), "*") for t, _, r in _samples(spark, sf_dir)]
+    return reports[0].unionByName(reports[1])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets that the rows can't meet."""
+    return p3_report(spark, sf_dir).where("unmet").select("target_id")
+
+
+def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys that were drawn."""
+    parts = [s.select(F.lit(t).alias("tab"), F.col(SAMPLED[t][0]).cast("string").alias("key")) for t, s, _ in _samples(spark, sf_dir)]
+    return parts[0].unionByName(parts[1])
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), Kept(spark))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that can't supply their weight."""
+    return _mix(spark, sf_dir)[1].where("short").select("source")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's tokens, need, and actual share."""
+    return _mix(spark, sf_dir)[1]
+
+
+def p7_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture: documents and how often each is used."""
+    return _mix(spark, sf_dir)[0].select("doc_id", "source", "tokens", "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_plain": p2_plain, "p4_found": p4_found, "p4_splits": p4_splits, "p5_found": p5_found, "p5_classes": p5_classes,
-    "p6_found": p6_found, "p6_shares": p6_shares,
+    "p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_plain": p2_plain, "p3_found": p3_found, "p3_report": p3_report, "p3_sample": p3_sample, "p4_found": p4_found, "p4_splits": p4_splits, "p5_found": p5_found, "p5_classes": p5_classes,
+    "p6_found": p6_found, "p6_shares": p6_shares, "p7_found": p7_found, "p7_report": p7_report, "p7_copies": p7_copies,
 }
 ORACLE: dict[str, str] = {}
