@@ -17,11 +17,13 @@ from .disguise import compatible
 from .terms import grams_of, tokens
 
 #: Most reviewed-toxic documents, other reviewed and unlabelled documents that the classifier is fitted on, and characters of all of them.
-FIT_TOXIC, FIT_OTHER, FIT_UNLABELLED, FIT_CHARS = 3_000, 3_000, 3_000, 12_000_000
-#: Hashed features, documents of the fit that must have one, rounds of choosing the toxic passages of toxic documents, steps of
-#: each fit, the step size, the weights' decay, and parts for held-out thresholds.
-FEATURES, LEAST_DOCS, ROUNDS, STEPS, RATE, DECAY, FOLDS = 1 << 18, 3, 3, 60, 0.15, 1e-6, 3
-RUNS = (("words", 1), ("words", 2), ("words", 3), ("ideographs", 1), ("ideographs", 2), ("ideographs", 3), ("ideographs", 4), ("both", 2))
+FIT_TOXIC, FIT_OTHER, FIT_UNLABELLED, FIT_CHARS = 1_500, 1_500, 3_000, 12_000_000
+#: Hashed features; toxic documents, or documents at all, that must have one; rounds of choosing the toxic passages of toxic
+#: documents; steps of each fit, the step size and the weights' decay.
+FEATURES, LEAST_TOXIC, LEAST_DOCS, ROUNDS, STEPS, RATE, DECAY = 1 << 18, 2, 6, 2, 80, 0.05, 3e-4
+#: Share of passages of documents reviewed as harmless that an example passage must exceed; bounds of the class prior.
+ABOVE, PRIORS = 0.995, (5e-4, 0.05)
+RUNS = (("words", 1), ("words", 2), ("words", 3), ("ideographs", 2), ("ideographs", 3), ("ideographs", 4))
 
 _PASSAGE = re.compile(r"[\n\r]+|(?<=[。！？!?；;])|(?<=[.])\s+")
 _MASKS = re.compile(r"(?<=[^\W\d_])[*_\-·~^.#+]+(?=[^\W\d_])")
@@ -80,36 +82,33 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 def fit_nnpu(f: tuple, n: int, positive: np.ndarray, unlabelled: np.ndarray, prior: float, used: np.ndarray) -> Abuse:
     """Minimises prior * R_P(+) + max(0, R_U(-) - prior * R_P(-)) with the logistic loss, by Adam over the ``used`` features.
 
-    When the negative part falls below zero its gradient is turned round, which keeps the classifier from fitting the
-    unlabelled rows that are positive.
+    All is divided by the prior. When the negative part falls below zero its gradient is turned round, which keeps the
+    classifier from fitting the unlabelled rows that are positive.
     """
     rows, columns, values = f
     place = np.full(FEATURES, -1)
     place[used] = np.arange(len(used))
     keep = (place[columns] >= 0) & (positive | unlabelled)[rows]
     rows, columns, values = rows[keep], place[columns[keep]], values[keep]
-    w = np.zeros(len(used))
-    b = float(np.log(prior / (1 - prior)))
+    w, b = np.zeros(len(used)), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    np_, nu = max(1, positive.sum()), max(1, unlabelled.sum())
+    n_p, n_u = max(1, positive.sum()), max(1, unlabelled.sum()) * prior
     for step in range(1, STEPS + 1):
         s = np.bincount(rows, values * w[columns], minlength=n) + b
         p = _logistic(s)
-        loss_minus = np.logaddexp(0, s)
-        negative = loss_minus[unlabelled].sum() / nu - prior * loss_minus[positive].sum() / np_
+        loss = np.logaddexp(0, s)
         g = np.zeros(n)
-        if negative >= 0:
-            g[positive] -= prior / np_
-            g[unlabelled] += p[unlabelled] / nu
+        if loss[unlabelled].sum() / n_u >= loss[positive].sum() / n_p:
+            g[positive] -= 1 / n_p
+            g[unlabelled] += p[unlabelled] / n_u
         else:
-            g[positive] += prior * p[positive] / np_
-            g[unlabelled] -= p[unlabelled] / nu
-        gw = np.bincount(columns, values * g[rows], minlength=len(used)) + DECAY * w
-        gb = g.sum()
+            g[positive] += p[positive] / n_p
+            g[unlabelled] -= p[unlabelled] / n_u
+        gw, gb = np.bincount(columns, values * g[rows], minlength=len(used)) + DECAY * w, g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
-        w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
-        b -= RATE * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.99**step)) + 1e-7)
+        w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-5)
+        b -= RATE * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.99**step)) + 1e-5)
     out = np.zeros(FEATURES)
     out[used] = w
     return Abuse(out, b)
@@ -126,33 +125,30 @@ def _best_threshold(scores: np.ndarray, toxic: np.ndarray) -> float:
     return float(edges[least[np.argmax(widths[least])]])
 
 
-def _train(f: tuple, doc: np.ndarray, kind: np.ndarray, rate: float) -> tuple[Abuse, np.ndarray]:
+def _train(f: tuple, doc: np.ndarray, kind: np.ndarray) -> tuple[Abuse, np.ndarray]:
     """Scorer from passages ``f`` of documents ``doc``; ``kind`` of each document: 1 toxic, 0 reviewed otherwise, 2 unlabelled, -1 not used."""
     n, of = len(doc), kind[doc]
     in_toxic, rest = of == 1, (of == 0) | (of == 2)
+    harmless = of == 0 if (of == 0).any() else rest
     rows, columns, values = f
     pairs = np.unique(doc[rows] * np.int64(FEATURES) + columns)
     where, what = kind[pairs // FEATURES], pairs % FEATURES
     t = np.bincount(what[where == 1], minlength=FEATURES)
     u = np.bincount(what[(where == 0) | (where == 2)], minlength=FEATURES)
-    nt, nu = max(1, (kind == 1).sum()), max(1, ((kind == 0) | (kind == 2)).sum())
-    used = np.flatnonzero(t + u >= LEAST_DOCS)
-    # how much oftener in toxic documents, cautiously: less one standard deviation
-    ratio = np.log((np.maximum(t - np.sqrt(t), 0) + 1e-3) / nt) - np.log((u + 0.5) / nu)
-    ratio = np.where(t >= 2, np.maximum(ratio, 0), 0)
-    counts = np.bincount(rows, minlength=n)
-    s = np.bincount(rows, ratio[columns], minlength=n) / (counts + 3)
+    used = np.flatnonzero((t >= LEAST_TOXIC) | (t + u >= LEAST_DOCS))
+    # how much oftener in toxic documents, cautiously: less one standard deviation, and less a factor e
+    ratio = np.log((np.maximum(t - np.sqrt(t), 0) + 1e-3) / max(1, (kind == 1).sum())) - np.log((u + 0.5) / max(1, ((kind == 0) | (kind == 2)).sum()))
+    ratio = np.where(t >= LEAST_TOXIC, np.maximum(ratio - 1, 0), 0)
+    s = np.bincount(rows, ratio[columns], minlength=n) / (np.bincount(rows, minlength=n) + 4)
     model = Abuse(np.zeros(FEATURES), -30.0)
+    prior = None
     for _ in range(ROUNDS):
-        best = np.full(len(kind), -np.inf)
-        np.maximum.at(best, doc[in_toxic], s[in_toxic])
-        floor = np.quantile(s[rest], 0.98) if rest.any() else -np.inf
-        chosen = in_toxic & (s >= best[doc]) & (s > floor)
+        floor = np.quantile(s[harmless], ABOVE) if harmless.any() else 0.0
+        chosen = in_toxic & (s > floor)
         if not chosen.any():
             break
-        usual = np.quantile(s[chosen], 0.25)
-        chosen |= in_toxic & (s >= max(usual, floor))
-        prior = max(1e-4, min(0.3, rate * chosen.sum() / nt * len(np.unique(doc)) / n))
+        if prior is None:
+            prior = float(np.clip(2 * (s[rest] >= np.median(s[chosen])).mean() if rest.any() else PRIORS[1], *PRIORS))
         model = fit_nnpu(f, n, chosen, rest, prior, used)
         s = model.passage_scores(f, n)
     return model, s
@@ -161,11 +157,11 @@ def _train(f: tuple, doc: np.ndarray, kind: np.ndarray, rate: float) -> tuple[Ab
 def fit(toxic: list[str], other: list[str], unlabelled: list[str]) -> Abuse:
     """The scorer. A toxic document has a toxic passage, but which one isn't labelled.
 
-    First every passage is rated by how much oftener its terms occur in toxic documents than elsewhere; the best of each toxic
-    document is its confirmed example. Fits and choices then alternate; passages that the scorer finds as toxic as the chosen
-    ones join them, and documents whose best passage looks like unlabelled text (wrong verdicts) drop out. The class prior is
-    the reviewed rate of toxic documents times chosen passages a document over passages a document. The verdict's threshold is
-    the one with the fewest wrong verdicts on reviewed documents that a scorer of FOLDS was not fitted on.
+    First every passage is rated by how much oftener its terms occur in toxic documents than elsewhere. Passages of toxic
+    documents above nearly all passages of harmless ones are the confirmed examples, so a wrong verdict gives none; all
+    passages of the other documents are unlabelled. A fit, a second choice by its scores and a second fit follow. The class
+    prior is twice the share of unlabelled passages rated above the examples' median. The verdict's threshold is the one with
+    the fewest wrong verdicts on the third of the reviewed documents that a first scorer was not fitted on.
     """
     if not toxic:
         return Abuse(np.zeros(FEATURES), -30.0)
@@ -175,19 +171,15 @@ def fit(toxic: list[str], other: list[str], unlabelled: list[str]) -> Abuse:
     flat = [p for ps in groups for p in ps]
     doc = np.repeat(np.arange(len(texts)), [len(ps) for ps in groups])
     f = features(flat)
-    rate = max(0.01, min(0.5, len(toxic) / (len(toxic) + len(other)))) if other else 0.1
-    held = np.full(len(texts), -30.0)
-    fold = np.arange(len(texts)) % FOLDS
-    for k in range(FOLDS):
-        mine = (fold == k) & (kind != 2)
-        if (kind[~mine] == 1).any():
-            _, s = _train(f, doc, np.where(mine, -1, kind), rate)
-            best = np.full(len(texts), -30.0)
-            np.maximum.at(best, doc, s)
-            held[mine] = best[mine]
-    model, _ = _train(f, doc, kind, rate)
-    seen = kind != 2
-    threshold = _best_threshold(held[seen], kind[seen] == 1)
+    held = (np.arange(len(texts)) % 3 == 0) & (kind != 2)
+    if (kind[~held] == 1).any():
+        _, s = _train(f, doc, np.where(held, -1, kind))
+    else:
+        _, s = _train(f, doc, kind)
+    best = np.full(len(texts), -30.0)
+    np.maximum.at(best, doc, s)
+    model, _ = _train(f, doc, kind)
+    threshold = _best_threshold(best[held], kind[held] == 1) if held.any() else 0.0
     model.threshold = float(_logistic(np.array([threshold]))[0])
     return model
 
@@ -206,6 +198,7 @@ def scored(docs: DataFrame, labels: DataFrame, keep: Kept, seed: int = 42) -> Da
     Without any toxic verdict every score is 0.
     """
     ship(docs.sparkSession)
+    docs = docs.select("doc_id", "source", "text")
     h = F.xxhash64("doc_id", F.lit(seed))
     of = reviewed(labels)
     toxic = of.where("toxic").select("doc_id", F.lit(1).alias("kind"), h.alias("h")).orderBy("h").limit(FIT_TOXIC)

@@ -9,9 +9,10 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.shared import ship
@@ -35,7 +36,7 @@ _WIDE = (
 )
 _MARKS = "̀-ͯ᪰-᫿᷀-᷿⃐-゙゚⃰"
 _OTHER_SCRIPT = "".join(LOOK_ALIKES.values())
-#: A row whose text has none of these can't be a case; this is tested in the JVM.
+#: A row whose text has none of these can't be a case.
 SUSPECT = f"[{_BLANKS}{_IGNORABLE}‍︀-️{_WIDE}{_MARKS}{_OTHER_SCRIPT}]"
 
 
@@ -168,59 +169,109 @@ def consistent(text: str, model: Spelling) -> tuple[str, bool]:
     return "".join(out) + new[last:], changed
 
 
-def spelling_model(texts: DataFrame, most: int = NGRAMS) -> Broadcast:
-    """Counts all words' n-grams over all texts, by JVM expressions; the ``most`` frequent of each script are broadcast.
+_LETTERS = 0x530
 
-    The model only ranks spellings; rarer n-grams count as unseen, so the bound drops no text and no word.
-    """
-    words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{IsLatin}\p{IsGreek}\p{IsCyrillic}]+"), F.lit(0))).alias("w"))
-    words = words.groupBy("w").agg(F.count("*").alias("n")).where(F.length("w") > 1)
-    spelt = F.concat(F.lit("^" * (ORDER - 1)), F.col("w"))
-    gram = F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substring(spelt, i, F.lit(ORDER)))).alias("gram")
-    kind = F.when(F.col("w").rlike(r"^\p{IsLatin}+$"), "latin").when(F.col("w").rlike(r"^\p{IsGreek}+$"), "greek").when(F.col("w").rlike(r"^\p{IsCyrillic}+$"), "cyrillic")
-    counts = words.select(kind.alias("kind"), "n", gram).where(F.col("kind").isNotNull()).groupBy("kind", "gram").agg(F.sum("n").alias("n"))
-    rows: dict[str, int] = {}
-    for k in ("latin", "greek", "cyrillic"):
-        for r in counts.where(F.col("kind") == k).orderBy(F.desc("n"), "gram").limit(most).collect():
-            rows[r["gram"]] = rows.get(r["gram"], 0) + r["n"]
-    return texts.sparkSession.sparkContext.broadcast(Spelling(rows))
 
+@lru_cache(maxsize=1)
+def _letter_tables() -> tuple[np.ndarray, np.ndarray]:
+    """By code point below _LETTERS: the lower-case letter (0: none) and its script (1 latin, 2 greek, 3 cyrillic)."""
+    lower, scripts = np.zeros(_LETTERS, np.int64), np.zeros(_LETTERS, np.int8)
+    for cp in range(_LETTERS):
+        ch = chr(cp)
+        kind = ("latin", "greek", "cyrillic").index(script(ch)) + 1 if script(ch) != "other" else 0
+        if ch.isalpha() and kind:
+            lower[cp], scripts[cp] = ord(ch.lower()[0]), kind
+    return lower, scripts
+
+
+def _codes(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def ngram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Packed n-grams of all words of two or more letters of one script, with ``^`` before a word's start, and their counts."""
+    lower, scripts = _letter_tables()
+    codes = _codes(texts)
+    inside = codes < _LETTERS
+    low = np.where(inside, lower[np.where(inside, codes, 0)], 0)
+    kind = np.where(inside, scripts[np.where(inside, codes, 0)], 0)
+    letter = low > 0
+    edge = np.flatnonzero(np.append(True, letter[1:] != letter[:-1]))
+    length = np.diff(np.append(edge, len(low)))
+    most, least = np.maximum.reduceat(kind, edge), np.minimum.reduceat(kind, edge)
+    good = np.repeat(letter[edge] & (most == least) & (length > 1), length)
+    place = np.arange(len(low)) - np.repeat(edge, length)
+    packed = low.copy()
+    for back in range(1, ORDER):
+        before = np.append(np.zeros(back, np.int64), low[:-back])
+        packed |= np.where(place >= back, before, ord("^")) << (16 * back)
+    return np.unique(packed[good], return_counts=True)
 
-def consistent_texts(rows: DataFrame, columns: list[str], model: Broadcast) -> DataFrame:
-    """``rows`` (with ``text``) restricted to ``columns``, plus ``plain`` (the text in one form) and ``disguised``.
 
-    Null texts stay null and blank ones blank; neither is a case unless a blank is not the plain one.
-    """
-    types = dict(rows.dtypes)
+def spelling_model(texts: DataFrame, most: int = NGRAMS) -> Broadcast:
+    """Counts all words' n-grams over all texts, added up per task; the ``most`` frequent of each script are broadcast.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches):
-            nulls = part.column("text").is_null().to_pylist()
-            found = [consistent(t, model.value) for t in texts]
-            plain = pa.array([None if no else p for no, (p, _) in zip(nulls, found)], pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in columns), plain, pa.array([f for _, f in found], pa.bool_())], [*columns, "plain", "disguised"]
-            )
-
-    schema = ", ".join(f"`{c}` {types[c]}" for c in columns) + ", plain string, disguised boolean"
-    return rows.select(*columns, *([] if "text" in columns else ["text"])).mapInArrow(work, schema)
+    The model only ranks spellings; rarer n-grams count as unseen, so the bound drops no text and no word.
+    """
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter[int] = Counter()
+        for _, some in slices(batches):
+            grams, counts = ngram_counts(some)
+            total.update(dict(zip(grams.tolist(), counts.tolist())))
+        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], ["gram", "n"])
+
+    last = F.col("gram").bitwiseAND(F.lit(0xFFFF))
+    kind = F.when(last < 0x250, 1).when((last >= 0x370) & (last < 0x400), 2).when(last >= 0x400, 3).otherwise(1)
+    counts = texts.where(F.col("text").isNotNull()).select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy(kind).orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= most)
+    rows = {}
+    for r in ranked.collect():
+        rows["".join(chr(r["gram"] >> (16 * back) & 0xFFFF) for back in reversed(range(ORDER)))] = r["n"]
+    return texts.sparkSession.sparkContext.broadcast(Spelling(rows))
 
-def plain_texts(rows: DataFrame, columns: list[str], texts: DataFrame | None = None) -> DataFrame:
-    """All ``rows`` in one form: ``columns``, ``plain``, ``disguised``.
 
-    Rows without any suspect character (a JVM pattern tells) pass through the JVM unchanged; the others go through normalization and
-    the look-alike search. ``texts``: the corpus for the n-gram scores, by default the rows themselves.
+@lru_cache(maxsize=1)
+def _suspects() -> np.ndarray:
+    pattern = re.compile(SUSPECT)
+    table = np.zeros(0x110000, bool)
+    for cp in range(0x20000):
+        if not 0xD800 <= cp < 0xE000 and pattern.match(chr(cp)):
+            table[cp] = True
+    table[0x2F800:0x2FA20] = True
+    table[0xE0000:0xE0080] = True
+    return table
+
+
+def suspicious(texts: list[str]) -> np.ndarray:
+    """Whether each text has any character that may be invisible, a variant or a look-alike."""
+    marks = _suspects()[_codes(texts)]
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return np.diff(np.append(0, np.cumsum(marks)[ends - 1])) > 0 if texts else np.zeros(0, bool)
+
+
+def plain_texts(rows: DataFrame, columns: list[str], texts: DataFrame | None = None, with_text: bool = True) -> DataFrame:
+    """All ``rows`` (with ``text``): ``columns``, ``plain`` (the text in one form; only ``with_text``), and ``disguised``.
+
+    Texts without any suspicious character, which one table look-up tells, stay as they are; the others go through normalization
+    and the look-alike search. Null texts stay null and blank ones blank; neither is a case unless a blank is not the plain one.
+    ``texts``: the corpus for the n-gram scores, by default the rows themselves.
     """
     ship(rows.sparkSession)
     model = spelling_model(rows if texts is None else texts)
-    suspect = F.coalesce(F.col("text").rlike(SUSPECT_JVM), F.lit(False))
-    usual = rows.where(~suspect).select(*columns, F.col("text").alias("plain"), F.lit(False).alias("disguised"))
-    return usual.unionByName(consistent_texts(rows.where(suspect), columns, model))
-
-
-def _for_java(pattern: str) -> str:
-    return "".join(c if ord(c) < 128 else f"\\x{{{ord(c):x}}}" for c in pattern)
-
+    types = dict(rows.dtypes)
 
-SUSPECT_JVM = _for_java(SUSPECT)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, some in slices(batches):
+            found = np.zeros(len(some), bool)
+            plain = list(some)
+            for i in np.flatnonzero(suspicious(some)).tolist():
+                plain[i], found[i] = consistent(some[i], model.value)
+            out = [*(part.column(c) for c in columns), pa.array(found)]
+            if with_text:
+                nulls = part.column("text").is_null().to_pylist()
+                out.append(pa.array([None if no else p for no, p in zip(nulls, plain)], pa.string()))
+            yield pa.RecordBatch.from_arrays(out, [*columns, "disguised", *["plain"] * with_text])
+
+    schema = ", ".join(f"`{c}` {types[c]}" for c in columns) + ", disguised boolean" + ", plain string" * with_text
+    return rows.select(*columns, *([] if "text" in columns else ["text"])).mapInArrow(work, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shared import Kept, table
-from . import disguise, leaks, mixing
+from . import abuse, disguise, leaks, mixing
 from . import near_copies as nc
 from . import overlap, sampling, topic_groups
 
@@ -75,19 +75,19 @@ def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _plain(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
+def _plain(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
     parts = [table(spark, sf_dir, t).select(F.lit(t).alias("tab"), F.col(k).alias("case_id"), "text") for t, k in CASES]
-    return disguise.plain_texts(parts[0].unionByName(parts[1]), columns)
+    return disguise.plain_texts(parts[0].unionByName(parts[1]), ["tab", "case_id"], with_text=with_text)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose text holds a character that is invisible or stands in for a common one of the same look."""
-    return _plain(spark, sf_dir, ["tab", "case_id"]).where("disguised").select("tab", "case_id").dropDuplicates(["tab", "case_id"])
+    return _plain(spark, sf_dir, False).where("disguised").select("tab", "case_id").dropDuplicates(["tab", "case_id"])
 
 
 def p2_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts in one consistent form."""
-    return _plain(spark, sf_dir, ["tab", "case_id"]).dropDuplicates(["tab", "case_id"])
+    return _plain(spark, sf_dir, True).dropDuplicates(["tab", "case_id"])
 
 
 def _topic_groups(spark: SparkSession, sf_dir: str, keep: Kept) -> DataFrame:
@@ -167,8 +167,29 @@ def p7_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[0].select("doc_id", "source", "tokens", "copies")
 
 
+def _abuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"), Kept(spark))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an insulting, threatening, demeaning or sexually explicit passage."""
+    return _abuse(spark, sf_dir).where("toxic").select("doc_id")
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score."""
+    return _abuse(spark, sf_dir)
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By source: documents, toxic ones, and their rate."""
+    by = _abuse(spark, sf_dir).groupBy("source").agg(F.count("*").alias("documents"), F.count_if("toxic").alias("toxic"))
+    return by.withColumn("rate", F.col("toxic") / F.col("documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_plain": p2_plain, "p3_found": p3_found, "p3_report": p3_report, "p3_sample": p3_sample, "p4_found": p4_found, "p4_splits": p4_splits, "p5_found": p5_found, "p5_classes": p5_classes,
     "p6_found": p6_found, "p6_shares": p6_shares, "p7_found": p7_found, "p7_report": p7_report, "p7_copies": p7_copies,
+    "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
 }
 ORACLE: dict[str, str] = {}
