@@ -114,18 +114,18 @@ def fit_nnpu(f: tuple, n: int, positive: np.ndarray, unlabelled: np.ndarray, pri
     return Abuse(out, b)
 
 
-def _best_threshold(scores: np.ndarray, toxic: np.ndarray) -> float:
-    """The middle of the widest gap among thresholds with the fewest wrong verdicts."""
+def _best_threshold(scores: np.ndarray, toxic: np.ndarray, weight: float = 1.0) -> float:
+    """The middle of the widest gap among thresholds with the least wrong verdicts; one on a harmless document counts ``weight``."""
     order = np.argsort(scores)
     s, y = scores[order], toxic[order]
-    wrong = np.append(0, np.cumsum(y)) + (len(y) - y.sum()) - np.append(0, np.cumsum(~y))
+    wrong = np.append(0, np.cumsum(y)) + weight * ((~y).sum() - np.append(0, np.cumsum(~y)))
     edges = np.concatenate([[s[0] - 1 if len(s) else 0], (s[1:] + s[:-1]) / 2, [s[-1] + 1 if len(s) else 0]])
     widths = np.concatenate([[0], s[1:] - s[:-1], [0]])
-    least = np.flatnonzero(wrong == wrong.min())
+    least = np.flatnonzero(wrong <= wrong.min() + 1e-9)
     return float(edges[least[np.argmax(widths[least])]])
 
 
-def _train(f: tuple, doc: np.ndarray, kind: np.ndarray) -> tuple[Abuse, np.ndarray]:
+def _train(f: tuple, doc: np.ndarray, kind: np.ndarray) -> tuple[Abuse, np.ndarray, float]:
     """Scorer from passages ``f`` of documents ``doc``; ``kind`` of each document: 1 toxic, 0 reviewed otherwise, 2 unlabelled, -1 not used."""
     n, of = len(doc), kind[doc]
     in_toxic, rest = of == 1, (of == 0) | (of == 2)
@@ -151,7 +151,7 @@ def _train(f: tuple, doc: np.ndarray, kind: np.ndarray) -> tuple[Abuse, np.ndarr
             prior = float(np.clip(2 * (s[rest] >= np.median(s[chosen])).mean() if rest.any() else PRIORS[1], *PRIORS))
         model = fit_nnpu(f, n, chosen, rest, prior, used)
         s = model.passage_scores(f, n)
-    return model, s
+    return model, s, prior or PRIORS[0]
 
 
 def fit(toxic: list[str], other: list[str], unlabelled: list[str]) -> Abuse:
@@ -161,7 +161,8 @@ def fit(toxic: list[str], other: list[str], unlabelled: list[str]) -> Abuse:
     documents above nearly all passages of harmless ones are the confirmed examples, so a wrong verdict gives none; all
     passages of the other documents are unlabelled. A fit, a second choice by its scores and a second fit follow. The class
     prior is twice the share of unlabelled passages rated above the examples' median. The verdict's threshold is the one with
-    the fewest wrong verdicts on the third of the reviewed documents that a first scorer was not fitted on.
+    the fewest wrong verdicts on the third of the reviewed documents that a first scorer was not fitted on, where harmless ones
+    weigh as much more as toxic ones are commoner among reviewed documents than among all.
     """
     if not toxic:
         return Abuse(np.zeros(FEATURES), -30.0)
@@ -173,13 +174,15 @@ def fit(toxic: list[str], other: list[str], unlabelled: list[str]) -> Abuse:
     f = features(flat)
     held = (np.arange(len(texts)) % 3 == 0) & (kind != 2)
     if (kind[~held] == 1).any():
-        _, s = _train(f, doc, np.where(held, -1, kind))
+        _, s, prior = _train(f, doc, np.where(held, -1, kind))
     else:
-        _, s = _train(f, doc, kind)
+        _, s, prior = _train(f, doc, kind)
     best = np.full(len(texts), -30.0)
     np.maximum.at(best, doc, s)
-    model, _ = _train(f, doc, kind)
-    threshold = _best_threshold(best[held], kind[held] == 1) if held.any() else 0.0
+    model, _, _ = _train(f, doc, kind)
+    usual = min(0.5, prior * len(flat) / len(texts))
+    weight = float(np.clip(len(toxic) / max(1, len(other)) * (1 - usual) / usual, 1, 20))
+    threshold = _best_threshold(best[held], kind[held] == 1, weight) if held.any() else 0.0
     model.threshold = float(_logistic(np.array([threshold]))[0])
     return model
 
