@@ -89,8 +89,9 @@ def diagnose_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _smoke(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored answers; blank ones and those of unknown rubrics have no score and are left out before they are scored."""
     rows = first_by_key(table(spark, sf_dir, "smoke").select("case_no", "rubric", "text", "baseline"), "case_no")
-    return rubric.score(rows, baseline="baseline")
+    return rubric.score(rows.where((T.stripped(F.col("text")) != "") & rubric.rubric_name("rubric").isNotNull()), baseline="baseline")
 
 
 def rubric_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,16 +100,16 @@ def rubric_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rubric_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _smoke(spark, sf_dir).where("total is not null").select("case_no", "used_rubric", "total", "p0_passed", "style_passed", "passed")
+    return _smoke(spark, sf_dir).select("case_no", "used_rubric", "total", "p0_passed", "style_passed", "passed")
 
 
 def suite_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = rubric.summarize(_smoke(spark, sf_dir).where("total is not null"))
+    r = rubric.summarize(_smoke(spark, sf_dir))
     return r.withColumns({c: _six(F.col(c)) for c in ("accuracy", "average_score")})
 
 
 def rubric_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = rubric.breakdown(_smoke(spark, sf_dir).where("total is not null"))
+    r = rubric.breakdown(_smoke(spark, sf_dir))
     return r.withColumn("average_score", _six(F.col("average_score")))
 
 
