@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import slices
-from .terms import grams_of, tokens
+from .terms import grams_of, tokens, unseen, whole
 
 #: A term is frequent if at least one text in so many has it. Texts have L terms on average, so at most RARE * L terms are frequent,
 #: however large the corpus; all others count as having this frequency.
@@ -69,15 +69,21 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def frequent_terms(texts: DataFrame, runs: tuple[tuple[str, int], ...], rare: int = RARE, few: int = FEW) -> Broadcast:
-    """Counts every text of column ``text``; each task adds its own counts up before the shuffle, and rare terms go no further."""
+    """Counts every text of column ``text``; each task adds its own counts up before the shuffle, and rare terms go no further.
+
+    Equal contents count once a task, so that a text which a third of all rows repeat doesn't make its own words common.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summed: list[tuple[np.ndarray, np.ndarray]] = []
         new: list[np.ndarray] = []
         waiting = 0
+        seen: set[int] = set()
         for _, some in slices(batches):
             hashes, of, ideograph = tokens(some)
+            fresh = unseen(whole(hashes, of, len(some)), seen)
             terms, docs = grams_of(hashes, of, ideograph, len(some), runs)
+            terms, docs = terms[fresh[docs]], docs[fresh[docs]]
             new.append(_once(terms, docs))
             waiting += len(new[-1])
             if waiting > 4_000_000:

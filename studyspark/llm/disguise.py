@@ -203,7 +203,7 @@ def ngram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(low)) - np.repeat(edge, length)
     packed = low.copy()
     for back in range(1, ORDER):
-        before = np.append(np.zeros(back, np.int64), low[:-back])
+        before = np.append(np.zeros(back, np.int64), low)[: len(low)]
         packed |= np.where(place >= back, before, ord("^")) << (16 * back)
     return np.unique(packed[good], return_counts=True)
 

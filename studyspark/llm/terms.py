@@ -155,3 +155,13 @@ def whole(hashes: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
         powers = np.cumprod(np.full(int(where.max()) + 1, _PRIME, np.uint64))
         out[of[first]] = mixed(np.add.reduceat(hashes * powers[where], first) + np.uint64(1)) | np.uint64(1)
     return out
+
+
+def unseen(keys: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which of the keys, 0 apart, come for the first time; they join ``seen``."""
+    new = np.zeros(len(keys), bool)
+    for i, k in enumerate(keys.tolist()):
+        if k and k not in seen:
+            seen.add(k)
+            new[i] = True
+    return new
