@@ -41,7 +41,7 @@ def with_defaults(df: DataFrame) -> DataFrame:
 
 def overdue(due: Column, today: Column) -> Column:
     """Days past due, at least 0; an unknown due day counts as one day."""
-    return F.coalesce(F.greatest(F.lit(0), F.datediff(today, due)), F.lit(1))
+    return F.when(due.isNull(), 1).otherwise(F.greatest(F.lit(0), F.datediff(today, due)))
 
 
 def with_scores(df: DataFrame, today: str, due: str = "next_review") -> DataFrame:
