@@ -10,26 +10,38 @@ def _rank_hash(seed: int, *columns):
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *columns))
 
 
-def stratified(df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
-    """``df`` with ``split``: of each label's rows the first ceil(test_size * n) by hash are test.
+def first_share(rows: DataFrame, by: list[str], h: str, tie: str, share: float) -> DataFrame:
+    """``rows`` with ``first``: whether a row is among the first ceil(share * n) of its ``by`` values, in order of the hash ``h``.
 
-    A label's rows are not sorted: 4096 ranges of the hash are counted, the cut lies in one of them, and only that range is
-    ranked. Rows with a null label are train.
+    No set of rows is sorted as a whole: 4096 ranges of the hash are counted, the cut lies in one of them, and only that range is
+    ranked.
     """
+    ranged = rows.withColumn("__range", F.substring(h, 1, 3))
+    counts = ranged.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*by)
+    upto = counts.withColumns({"__upto": F.sum("__n").over(w.orderBy("__range")), "__all": F.sum("__n").over(w)})
+    upto = upto.withColumn("__want", F.ceil(F.lit(share) * F.col("__all")))
+    cut = upto.where(F.col("__upto") >= F.col("__want")).groupBy(*by).agg(F.min(F.struct("__range", F.col("__upto") - F.col("__n"), "__want")).alias("c"))
+    cut = cut.select(*(F.col(c).alias(f"__by_{c}") for c in by), F.col("c").getField("__range").alias("__cut"), (F.col("c.__want") - F.col("c.col2")).alias("__more"))
+    if by:
+        marked = ranged.join(cut, [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by], "left")
+    else:
+        marked = ranged.crossJoin(F.broadcast(cut))
+    edge = F.col("__range") == F.col("__cut")
+    place = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(h, tie))
+    sure = marked.where(~edge).withColumn("first", F.col("__range") < F.col("__cut"))
+    ranked = marked.where(edge).withColumn("first", place <= F.col("__more"))
+    return sure.unionByName(ranked).select(*rows.columns, "first")
+
+
+def stratified(df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
+    """``df`` with ``split``: of each label's rows the first ceil(test_size * n) by hash are test. Rows with a null label are train."""
     if not 0 < test_size < 1:
         raise ValueError("test_size must lie between 0 and 1")
-    h = _rank_hash(seed, F.col(key).cast("string"))
-    rows = df.withColumns({"__h": h, "__range": F.substring(h, 1, 3)})
-    counts = rows.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("__label"), "__range").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("__label")
-    upto = counts.withColumns({"before": F.sum("n").over(w.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), "all": F.sum("n").over(w)})
-    upto = upto.select("__label", F.col("__range").alias("__r"), "n", F.coalesce("before", F.lit(0)).alias("before"), F.ceil(F.lit(test_size) * F.col("all")).alias("want"))
-    joined = rows.join(F.broadcast(upto) if upto.count() <= 500_000 else upto, (F.col(label) == F.col("__label")) & (F.col("__range") == F.col("__r")), "left")
-    edge = F.coalesce((F.col("before") < F.col("want")) & (F.col("before") + F.col("n") > F.col("want")), F.lit(False))
-    place = F.row_number().over(Window.partitionBy("__label", "__range").orderBy("__h", F.col(key)))
-    sure = joined.where(~edge).withColumn("split", F.when(F.col("before") + F.col("n") <= F.col("want"), "test").otherwise("train"))
-    cut = joined.where(edge).withColumn("split", F.when(F.col("before") + place <= F.col("want"), "test").otherwise("train"))
-    return sure.unionByName(cut).select(*df.columns, "split")
+    rows = df.withColumn("__h", _rank_hash(seed, F.col(key).cast("string")))
+    marked = first_share(rows.where(F.col(label).isNotNull()), [label], "__h", key, test_size)
+    named = marked.withColumn("split", F.when(F.col("first"), "test").otherwise("train")).select(*df.columns, "split")
+    return named.unionByName(df.where(F.col(label).isNull()).withColumn("split", F.lit("train")))
 
 
 def group_candidates(df: DataFrame, group: str, label: str, test_size: float = 0.2, seed: int = 42, candidates: int = 128) -> DataFrame:
@@ -42,9 +54,7 @@ def group_candidates(df: DataFrame, group: str, label: str, test_size: float = 0
     groups = counts.select("g").distinct()
     spread = groups.crossJoin(F.broadcast(df.sparkSession.range(candidates).select(F.col("id").alias("candidate"))))
     spread = spread.withColumn("h", _rank_hash(seed, F.col("candidate").cast("string"), F.col("g")))
-    w = Window.partitionBy("candidate")
-    ranked = spread.withColumns({"place": F.row_number().over(w.orderBy("h", "g")), "of": F.count("*").over(w)})
-    test = ranked.select("candidate", "g", (F.col("place") <= F.ceil(F.lit(test_size) * F.col("of"))).alias("test"))
+    test = first_share(spread, ["candidate"], "h", "g", test_size).select("candidate", "g", F.col("first").alias("test"))
     by_label = test.join(counts, "g").groupBy("candidate", "l").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("test"), F.col("n")).otherwise(0)).alias("t"))
     scores = by_label.groupBy("candidate").agg(
         F.abs(F.sum("t") / F.sum("n") - test_size).alias("all_off"), F.avg(F.abs(F.col("t") / F.col("n") - test_size)).alias("label_off"),
@@ -57,7 +67,7 @@ def group_candidates(df: DataFrame, group: str, label: str, test_size: float = 0
 def grouped(df: DataFrame, key: str, group: str, label: str, test_size: float = 0.2, seed: int = 42, candidates: int = 128) -> DataFrame:
     """``df`` with ``split``: whole groups in train or test, by the candidate of least (score, number).
 
-    Labels with fewer than two groups are split by row; rows without group or label raise no error here but are train.
+    Labels with fewer than two groups are split by row; rows without group or label are train.
     """
     few = df.dropna(subset=[group, label]).groupBy(F.col(label).alias("__label")).agg((F.count_distinct(group) < 2).alias("__few"))
     rows = df.join(few, df[label] == few["__label"], "left").drop("__label")
@@ -66,10 +76,8 @@ def grouped(df: DataFrame, key: str, group: str, label: str, test_size: float =
     best = group_candidates(rows, "__unit", label, test_size, seed, candidates).agg(F.min(F.struct("score", "candidate")).alias("b")).collect()[0]["b"]
     if best is None:
         raise ValueError("no candidate has every label on both sides")
-    units = rows.select("__unit").dropna().distinct()
-    h = _rank_hash(seed, F.lit(str(best["candidate"])), F.col("__unit"))
-    n = units.count()
-    test = units.orderBy(h, "__unit").limit(-(-int(n * test_size * 10**9) // 10**9)).withColumn("__test", F.lit(True))
+    units = rows.select("__unit").dropna().distinct().withColumn("__h", _rank_hash(seed, F.lit(str(best["candidate"])), F.col("__unit")))
+    test = first_share(units, [], "__h", "__unit", test_size).where("first").select("__unit", F.lit(True).alias("__test"))
     return rows.join(test, "__unit", "left").withColumn("split", F.when(F.col("__test"), "test").otherwise("train")).select(*df.columns, "split")
 
 
