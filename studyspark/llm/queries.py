@@ -192,4 +192,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found, "p6_shares": p6_shares, "p7_found": p7_found, "p7_report": p7_report, "p7_copies": p7_copies,
     "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
 }
-ORACLE: dict[str, str] = {}
+
+
+def _code(c: str) -> str:
+    return f"nullif(regexp_replace(regexp_replace(lower({c}), '[\\s_\\-\\x{{a0}}\\x{{2000}}-\\x{{200b}}\\x{{202f}}\\x{{3000}}\\x{{feff}}]+', '-', 'g'), '^-|-$', '', 'g'), '')"
+
+
+_LISTED = f"""WITH targets AS (SELECT target_id, tab, field, {_code('value')} AS value, target_share, min_rows, sample_rate FROM sample_targets),
+  rows_ AS (SELECT DISTINCT 'routing_cases' AS tab, 'skill' AS field, case_id::VARCHAR AS k, {_code('skill')} AS value FROM routing_cases WHERE case_id IS NOT NULL
+    UNION ALL SELECT DISTINCT 'routing_cases', 'category', case_id::VARCHAR, {_code('category')} FROM routing_cases WHERE case_id IS NOT NULL
+    UNION ALL SELECT DISTINCT 'subject_cases', 'subject', id, {_code('subject')} FROM subject_cases WHERE id IS NOT NULL),
+  listed AS (SELECT r.tab, r.field, r.value, count(DISTINCT k) AS n FROM rows_ r JOIN targets t USING (tab, field, value) GROUP BY ALL),
+  sizes AS (SELECT tab, field, sum(n) AS n FROM listed GROUP BY ALL)"""
+ORACLE: dict[str, str] = {
+    "p3_found": f"""{_LISTED} SELECT target_id FROM targets LEFT JOIN listed USING (tab, field, value) LEFT JOIN sizes USING (tab, field)
+      WHERE coalesce(listed.n, 0) < greatest(min_rows, floor(target_share * floor(sample_rate * coalesce(sizes.n, 0))))""",
+}
