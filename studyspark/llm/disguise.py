@@ -23,21 +23,21 @@ from .terms import LOOK_ALIKES
 #: replaced letter that the replaced spelling must win by.
 ORDER, NGRAMS, MARGIN = 3, 60_000, 0.0
 
-_EMOJI = "\U0001f000-\U0001faff☀-➿⬀-⯿️\U0001f3fb-\U0001f3ff"
+_EMOJI = "\U0001f000-\U0001faff\u2600-\u27bf\u2b00-\u2bff\ufe0f\U0001f3fb-\U0001f3ff"
 # Blanks other than the plain one, and characters that show nothing.
-_BLANKS = "   -   　"
-_IGNORABLE = "­͏؜ᅟᅠ឴឵᠋-᠏​‌‎‏‪-‮⁠-⁯ㅤ﻿ﾠ\U000e0000-\U000e007f"
-_JOINER = f"(?<![{_EMOJI}])‍|‍(?![{_EMOJI}])"
-_VARIANT = f"(?<![{_EMOJI}0-9#*])[︀-️]"
+_BLANKS = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
+_IGNORABLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b\u200c\u200e\u200f\u202a-\u202e\u2060-\u206f\u3164\ufeff\uffa0\U000e0000-\U000e007f"
+_JOINER = f"(?<![{_EMOJI}])\u200d|\u200d(?![{_EMOJI}])"
+_VARIANT = f"(?<![{_EMOJI}0-9#*])[\ufe00-\ufe0f]"
 # Wide and joined letters, digits and ideographs, and their variant codes; signs, superscripts and fractions stay.
 _WIDE = (
-    "０-９Ａ-Ｚａ-ｚｦ-ﾝﾡ-ￜﬀ-ﬆﬓ-ﬗ⺀-⻳⼀-⿕豈-﫿"
-    "\U0001d400-\U0001d7cb\U0001d7ce-\U0001d7ff\U0002f800-\U0002fa1fĲĳŉǄ-ǌǱ-ǳ"
+    "\uff10-\uff19\uff21-\uff3a\uff41-\uff5a\uff66-\uff9d\uffa1-\uffdc\ufb00-\ufb06\ufb13-\ufb17\u2e80-\u2ef3\u2f00-\u2fd5\uf900-\ufaff"
+    "\U0001d400-\U0001d7cb\U0001d7ce-\U0001d7ff\U0002f800-\U0002fa1f\u0132\u0133\u0149\u01c4-\u01cc\u01f1-\u01f3"
 )
-_MARKS = "̀-ͯ᪰-᫿᷀-᷿⃐-゙゚⃰"
+_MARKS = "\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20f0\u3099\u309a"
 _OTHER_SCRIPT = "".join(LOOK_ALIKES.values())
 #: A row whose text has none of these can't be a case.
-SUSPECT = f"[{_BLANKS}{_IGNORABLE}‍︀-️{_WIDE}{_MARKS}{_OTHER_SCRIPT}]"
+SUSPECT = f"[{_BLANKS}{_IGNORABLE}\u200d\ufe00-\ufe0f{_WIDE}{_MARKS}{_OTHER_SCRIPT}]"
 
 
 @lru_cache(maxsize=1)

@@ -38,10 +38,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row that has a copy, with its group's least row and the size of the group."""
     members, _ = nc.near_copies(_docs(spark, sf_dir, P5), Kept(spark))
-    sizes = members.groupBy("group").agg(F.count("*").alias("members"))
-    return members.join(sizes, "group").select(
-        _table("doc", P5).alias("tab"), F.floor(F.col("doc") / 2).alias("key"), F.floor(F.col("group") / 2).alias("class_key"), "members"
-    )
+    members = members.withColumn("tab", _table("doc", P5))
+    classes = members.groupBy("group", "tab").agg(F.min("doc").alias("least"), F.count("*").alias("members")).where("members > 1")
+    return members.join(classes, ["group", "tab"]).select("tab", F.floor(F.col("doc") / 2).alias("key"), F.floor(F.col("least") / 2).alias("class_key"), "members")
 
 
 CASES = [("routing_cases", "case_id"), ("diagnosis_cases", "case_id")]

@@ -1,6 +1,5 @@
 """The eight problems' operators on small inputs: against brute force, exact expectations, and inputs that are odd in every way."""
 
-import itertools
 import math
 from pathlib import Path
 
