@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,3 +68,19 @@ def label_set_differences(df: DataFrame, label: str, expected: list[str]) -> Dat
     want = df.sparkSession.createDataFrame([(x,) for x in expected], "label string")
     have = df.select(F.col(label).alias("label")).distinct()
     return want.exceptAll(have).withColumn("problem", F.lit("missing")).unionByName(have.exceptAll(want).withColumn("problem", F.lit("unexpected")))
+
+
+def numbered(df: DataFrame, order: list[Column], keep: Callable[[DataFrame, str], DataFrame], name: str = "id", form: str = "%04d") -> DataFrame:
+    """``df`` with consecutive ids from 1 in the given order, as ``form`` writes them.
+
+    The order is made by a range-partitioned sort that is kept (``keep`` writes and reads a table); only the partitions' row counts
+    reach the driver, so no task numbers all rows.
+    """
+    parts = keep(df.orderBy(*order).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "sorted")
+    upto, start = 0, []
+    for r in parts.groupBy("__part").count().orderBy("__part").collect():
+        start.append((r["__part"], upto))
+        upto += r["count"]
+    starts = df.sparkSession.createDataFrame(start, "__part int, __start long")
+    place = F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return parts.join(F.broadcast(starts), "__part").withColumn(name, F.format_string(form, place)).select(*df.columns, name)
