@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ FIT_TOXIC, FIT_OTHER, FIT_UNLABELLED, FIT_CHARS = 1_500, 1_500, 3_000, 12_000_00
 FEATURES, LEAST_TOXIC, LEAST_DOCS, ROUNDS, STEPS, RATE, DECAY = 1 << 18, 2, 6, 2, 80, 0.05, 3e-4
 #: Share of passages of documents reviewed as harmless that an example passage must exceed; bounds of the class prior.
 ABOVE, PRIORS = 0.995, (5e-4, 0.05)
+#: Value of a feature that tells a kind of listed word, and the score from which a document counts as toxic.
+KIND, VERDICT = 0.6, 0.25
 RUNS = (("words", 1), ("words", 2), ("words", 3), ("ideographs", 2), ("ideographs", 3), ("ideographs", 4))
 
 _PASSAGE = re.compile(r"[\n\r]+|(?<=[。！？!?；;])|(?<=[.])\s+")
@@ -31,6 +34,30 @@ _LEET = re.compile(r"[A-Za-z0-9@$!]*[@$][A-Za-z0-9@$!]+|[A-Za-z]+[013457][A-Za-z
 # Signs and digits that stand for a letter inside a word.
 _LETTERS = str.maketrans("@$!013457", "asioieast")
 
+# Common words of each kind of abuse, as features that words never seen in reviewed documents share.
+WORDS = {
+    "insult": "idiot moron imbecile cretin halfwit stupid dumb loser scum trash garbage worthless pathetic ugly pig cow disgusting "
+    "白痴 蠢货 废物 垃圾 笨蛋 猪脑子 没脑子 混蛋 贱人 丢人现眼 恶心 脑残",
+    "swearing": "fuck fucking shit bullshit bitch bastard asshole dumbass shithead goddamn damn 操你 妈的 他妈 狗屁 滚出去 闭嘴 去死",
+    "threat": "kill smash break hunt stab shoot hang yourself die fingers bones 打断 砸烂 弄死 杀了 找到你 跑不掉 等着瞧 站不起来 上路",
+    "contempt": "vermin subhuman parasites rats filthy dirt breed immigrants tribe inferior scum disease 畜生 寄生虫 下等人 脏货 低贱 消灭 赶出去 口音",
+    "sexual": "porn nude naked nudes horny sex sext sexy xxx orgy blowjob hardcore undress uncensored explicit 色情 裸聊 裸照 全裸 约炮 成人 激情 十八禁 性感",
+}
+
+
+@lru_cache(maxsize=1)
+def _words() -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the listed words in order, and the feature of each one's kind."""
+    pairs = {}
+    for place, words in enumerate(WORDS.values()):
+        for w in words.split():
+            hashes, of, ideograph = tokens([w])
+            n = len(hashes)
+            terms, _ = grams_of(hashes, of, ideograph, 1, (("ideographs" if ideograph[0] else "words", n),))
+            pairs[int(terms[0])] = place
+    order = sorted(pairs)
+    return np.array(order, np.uint64), np.array([pairs[k] for k in order], np.int64)
+
 
 def passages(text: str) -> list[str]:
     """The text's sentences and lines, with masked spellings undone; long ones stay whole."""
@@ -44,12 +71,17 @@ def passages(text: str) -> list[str]:
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed terms of passages: passage, feature, value (unit norm)."""
+    """Hashed terms of passages and kinds of listed words: passage, feature, value (terms of unit norm, KIND for each kind)."""
     hashes, of, ideograph = tokens(texts)
     terms, rows = grams_of(hashes, of, ideograph, len(texts), RUNS)
-    columns = (terms % np.uint64(FEATURES)).astype(np.int64)
+    columns = (terms % np.uint64(FEATURES - len(WORDS))).astype(np.int64) + len(WORDS)
     norm = np.sqrt(np.bincount(rows, minlength=len(texts)))
-    return rows, columns, (1 / norm[rows]).astype(np.float64)
+    known, kind = _words()
+    at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
+    hit = known[at] == terms
+    pairs = np.unique(rows[hit].astype(np.int64) * len(WORDS) + kind[at[hit]])
+    values = np.concatenate([1 / norm[rows], np.full(len(pairs), KIND)])
+    return np.concatenate([rows, pairs // len(WORDS)]), np.concatenate([columns, pairs % len(WORDS)]), values
 
 
 @dataclass
@@ -58,7 +90,7 @@ class Abuse:
 
     weights: np.ndarray
     bias: float
-    threshold: float = 0.5
+    threshold: float = VERDICT
 
     def passage_scores(self, f: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
         rows, columns, values = f
@@ -114,18 +146,7 @@ def fit_nnpu(f: tuple, n: int, positive: np.ndarray, unlabelled: np.ndarray, pri
     return Abuse(out, b)
 
 
-def _best_threshold(scores: np.ndarray, toxic: np.ndarray, weight: float = 1.0) -> float:
-    """The middle of the widest gap among thresholds with the least wrong verdicts; one on a harmless document counts ``weight``."""
-    order = np.argsort(scores)
-    s, y = scores[order], toxic[order]
-    wrong = np.append(0, np.cumsum(y)) + weight * ((~y).sum() - np.append(0, np.cumsum(~y)))
-    edges = np.concatenate([[s[0] - 1 if len(s) else 0], (s[1:] + s[:-1]) / 2, [s[-1] + 1 if len(s) else 0]])
-    widths = np.concatenate([[0], s[1:] - s[:-1], [0]])
-    least = np.flatnonzero(wrong <= wrong.min() + 1e-9)
-    return float(edges[least[np.argmax(widths[least])]])
-
-
-def _train(f: tuple, doc: np.ndarray, kind: np.ndarray) -> tuple[Abuse, np.ndarray, float]:
+def _train(f: tuple, doc: np.ndarray, kind: np.ndarray) -> Abuse:
     """Scorer from passages ``f`` of documents ``doc``; ``kind`` of each document: 1 toxic, 0 reviewed otherwise, 2 unlabelled, -1 not used."""
     n, of = len(doc), kind[doc]
     in_toxic, rest = of == 1, (of == 0) | (of == 2)
@@ -151,7 +172,7 @@ def _train(f: tuple, doc: np.ndarray, kind: np.ndarray) -> tuple[Abuse, np.ndarr
             prior = float(np.clip(2 * (s[rest] >= np.median(s[chosen])).mean() if rest.any() else PRIORS[1], *PRIORS))
         model = fit_nnpu(f, n, chosen, rest, prior, used)
         s = model.passage_scores(f, n)
-    return model, s, prior or PRIORS[0]
+    return model
 
 
 def fit(toxic: list[str], other: list[str], unlabelled: list[str]) -> Abuse:
@@ -160,9 +181,8 @@ def fit(toxic: list[str], other: list[str], unlabelled: list[str]) -> Abuse:
     First every passage is rated by how much oftener its terms occur in toxic documents than elsewhere. Passages of toxic
     documents above nearly all passages of harmless ones are the confirmed examples, so a wrong verdict gives none; all
     passages of the other documents are unlabelled. A fit, a second choice by its scores and a second fit follow. The class
-    prior is twice the share of unlabelled passages rated above the examples' median. The verdict's threshold is the one with
-    the fewest wrong verdicts on the third of the reviewed documents that a first scorer was not fitted on, where harmless ones
-    weigh as much more as toxic ones are commoner among reviewed documents than among all.
+    prior is twice the share of unlabelled passages rated above the examples' median. Scores are posteriors under that prior,
+    held back by the weights' decay; the verdict is VERDICT or more at every size.
     """
     if not toxic:
         return Abuse(np.zeros(FEATURES), -30.0)
@@ -172,19 +192,7 @@ def fit(toxic: list[str], other: list[str], unlabelled: list[str]) -> Abuse:
     flat = [p for ps in groups for p in ps]
     doc = np.repeat(np.arange(len(texts)), [len(ps) for ps in groups])
     f = features(flat)
-    held = (np.arange(len(texts)) % 3 == 0) & (kind != 2)
-    if (kind[~held] == 1).any():
-        _, s, prior = _train(f, doc, np.where(held, -1, kind))
-    else:
-        _, s, prior = _train(f, doc, kind)
-    best = np.full(len(texts), -30.0)
-    np.maximum.at(best, doc, s)
-    model, _, _ = _train(f, doc, kind)
-    usual = min(0.5, prior * len(flat) / len(texts))
-    weight = float(np.clip(len(toxic) / max(1, len(other)) * (1 - usual) / usual, 1, 20))
-    threshold = _best_threshold(best[held], kind[held] == 1, weight) if held.any() else 0.0
-    model.threshold = float(_logistic(np.array([threshold]))[0])
-    return model
+    return _train(f, doc, kind)
 
 
 def reviewed(labels: DataFrame) -> DataFrame:
