@@ -127,6 +127,23 @@ def test_overlaps_are_all_between_splits_and_equal_brute_force(spark, small):
     assert got <= want and len(got) >= 0.95 * len(want) > 0
 
 
+def test_no_overlap_of_the_verdict_is_lost(spark, small):
+    rows = Q._split_rows(spark, small).drop("split", "source").dropDuplicates(["doc"]).where("tab = 0 and text is not null")
+    p = rows.toPandas().sort_values("doc")
+    p["held"] = [i % 2 == 1 for i in range(len(p))]
+    # copies of which a third of the words are misspelt: rare words outweigh what the two texts share
+    rng = np.random.RandomState(3)
+    edited = [" ".join(w + "qz%d" % rng.randint(10**6) if rng.rand() < 0.3 else w for w in t.split()) for t in p.text]
+    p = pd.concat([p, p.assign(doc=p.doc + 10**9, held=~p.held, text=edited)])
+    docs = frame(spark, list(zip(p.doc.tolist(), p.tab.tolist(), p.held.tolist(), p.text.tolist())), "doc long, tab int, held boolean, text string")
+    got = {(r["train"], r["held"]) for r in overlap.split_overlaps(docs, Kept(spark)).collect()}
+    frequent = frequent_terms(docs, overlap.RUNS, overlap.RARE, overlap.FEW).value
+    near = _brute(p.text.tolist(), frequent, overlap.RUNS, 1.75, 0.4401)
+    doc, held = p.doc.tolist(), p.held.tolist()
+    want = {(doc[i], doc[j]) if held[j] else (doc[j], doc[i]) for i, j in near if held[i] != held[j]}
+    assert len(want) > 500 and want <= got
+
+
 def test_postings_hold_the_first_common_term():
     rng = np.random.RandomState(1)
     for _ in range(50):
