@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import ship
 from .batches import slices
-from .terms import mixed, tokens
+from .terms import distinct, grams_of, mixed, tokens
 
 #: Token positions that a seed looks at (1) or ignores (0): for runs of words and for runs with ideographs.
 WORD_SEEDS = ("1111", "11011", "10111", "11101")
@@ -23,6 +23,8 @@ STOCK_ITEMS, STOCK_SHARE = 2, 0.01
 GAP = 2
 #: Share of an item's own wording that a document must hold, and the least number of its own tokens.
 SHARE, LEAST_TOKENS = 0.34, 4
+#: Items whose words and ideograph pairs agree to this Jaccard similarity are copies of one item where items are counted.
+COPY = 0.7
 #: Items in one broadcast block; larger sets are looked up block after block.
 ITEMS_PER_BLOCK = 20_000
 _BITS = 22
@@ -66,16 +68,48 @@ class Items:
     filter: np.ndarray
 
 
+def same_items(hashes: np.ndarray, of: np.ndarray, ideograph: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` items the item that it is a near copy of, else itself; the former is never a copy of another.
+
+    Items that share at least COPY of their terms (words, pairs of ideographs) have a term in common among the rarest of either's,
+    so only items that meet there are compared.
+    """
+    terms, docs = distinct(*grams_of(hashes, of, ideograph, n, (("words", 1), ("ideographs", 2))))
+    each, at, counts = np.unique(terms, return_inverse=True, return_counts=True)
+    starts = np.searchsorted(docs, np.arange(n + 1))
+    lists: dict[int, list[int]] = {}
+    first = np.arange(n)
+    sets: dict[int, set[int]] = {}
+    for i in range(n):
+        mine = at[starts[i] : starts[i + 1]]
+        if not len(mine):
+            continue
+        mine = mine[np.lexsort((mine, counts[mine]))].tolist()
+        prefix = mine[: len(mine) - int(np.ceil(COPY * len(mine))) + 1]
+        whole_set = set(mine)
+        for j in sorted({j for t in prefix for j in lists.get(t, ())}):
+            both = len(whole_set & sets[j])
+            if both >= COPY * (len(whole_set) + len(sets[j]) - both):
+                first[i] = first[j]
+                break
+        else:
+            sets[i] = whole_set
+            for t in prefix:
+                lists.setdefault(t, []).append(i)
+    return first
+
+
 def index_items(ids: list[int], texts: list[str]) -> Items:
-    """Seed hashes that are stock are left out. A token is an item's own wording if its word or three ideographs with it are not."""
-    most = max(STOCK_ITEMS, int(STOCK_SHARE * len(ids)))
+    """Seed hashes that are stock are left out; copies of one item count once. A token is an item's own wording if its word or three ideographs with it are not."""
+    hashes, of, ideograph = tokens(texts)
+    first = same_items(hashes, of, ideograph, len(texts))
+    most = max(STOCK_ITEMS, int(STOCK_SHARE * len(np.unique(first))))
 
     def rare(values: np.ndarray, item: np.ndarray) -> np.ndarray:
-        distinct = np.unique(np.stack([values, item.astype(np.uint64)]), axis=1)
+        distinct = np.unique(np.stack([values, first[item].astype(np.uint64)]), axis=1)
         each, items = np.unique(distinct[0], return_counts=True)
         return items[np.searchsorted(each, values)] <= most if len(values) else np.zeros(0, bool)
 
-    hashes, of, ideograph = tokens(texts)
     parts = seed_hashes(hashes, of, ideograph)
     seeds = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
     places = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)

@@ -277,6 +277,13 @@ def test_leaks_are_found_and_phrases_are_not(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(1, 1), (2, 2), (7, 3)}
 
 
+def test_an_item_under_many_ids_still_leaks(spark):
+    copies = [(10 + i, ITEMS[0][1].replace("record", ["record", "note", "log", "write"][i % 4])) for i in range(6)]
+    docs = [(1, "Notes.\n" + ITEMS[0][1] + "\nMore notes."), (2, ITEMS[2][1]), (3, STOCK * 3)]
+    got = leaks.leaked(frame(spark, docs, "doc_id long, text string"), frame(spark, [*ITEMS, *copies], "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(1, 1), (2, 3)} | {(1, i) for i, _ in copies}
+
+
 # 7
 
 
