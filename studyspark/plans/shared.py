@@ -37,9 +37,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests, one machine), a new temporary folder."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset and all runs on one machine, a new temporary folder.
+
+    On a cluster without a shared folder this raises: a folder of the driver's machine would be another one on every executor.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="studyspark-checkpoint-")
         spark.sparkContext.setCheckpointDir(configured)
         atexit.register(shutil.rmtree, configured, True)
@@ -56,20 +61,46 @@ def _remove(spark: SparkSession, path: str) -> None:
         shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
 
 
+#: Removes a query's shuffle files once it has ended; what is written to the shared folder doesn't need them any more.
+_CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Kept:
-    """Tables written to the shared folder, so that later jobs neither recompute them nor depend on any executor."""
+    """Tables written to the shared folder, so that later jobs neither recompute them nor depend on any executor.
+
+    Shuffles behind a written table are removed as soon as it is there. ``free`` removes tables that no later step reads; what is
+    left goes when the process ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/kept-{os.getpid()}-{uuid.uuid4().hex}"
         self.n = 0
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
         atexit.register(_remove, spark, self.root)
 
     def __call__(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}-{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        before = self.spark.conf.get(_CLEAN_SHUFFLES, None)
+        self.spark.conf.set(_CLEAN_SHUFFLES, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEAN_SHUFFLES)
+            else:
+                self.spark.conf.set(_CLEAN_SHUFFLES, before)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = (table, path)
+        return table
+
+    def free(self, *tables: DataFrame) -> None:
+        """Removes kept tables, given as they were returned; all that reads them must have been written or shown before."""
+        for t in tables:
+            found = self.paths.pop(id(t), None)
+            if found is not None:
+                _remove(self.spark, found[1])
 
 
 def first_by_key(df: DataFrame, *keys: str) -> DataFrame:
