@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from ..plans.shared import Kept
 
 
-def components(edges: DataFrame, keep: Kept, most_rounds: int = 60) -> DataFrame:
-    """``node, label`` for every node of ``edges`` (a, b; both bigint): label is the component's smallest node.
+def components(edges: DataFrame, keep: Kept) -> DataFrame:
+    """``node, label`` (and ``old``) for every node of ``edges`` (a, b; both bigint): label is the component's smallest node.
 
     Each round takes the least label of all neighbours and then the label of one's label, so that long chains shrink by
     doubling. Labels are summed up per task before each shuffle, so a node with very many neighbours costs one row per task.
-    Every round's labels are written to the shared folder; lost executors cost no earlier round. Edges to oneself are allowed.
+    Every round's labels are written to the shared folder; lost executors cost no earlier round, and the round before is removed.
+    Labels only ever fall, so the rounds come to an end. Edges to oneself are allowed.
     """
     e = edges.select("a", "b").dropna()
     both = keep(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).dropDuplicates(["a", "b"]), "edges")
-    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    for _ in range(most_rounds):
+    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumn("old", F.col("label")), "labels")
+    while True:
         neighbours = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("n")).agg(F.min("label").alias("least"))
-        better = labels.join(neighbours, labels.node == neighbours.n).select(
+        better = labels.drop("old").join(neighbours, labels.node == neighbours.n).select(
             "node", F.col("label").alias("old"), F.least("label", "least").alias("label")
         )
         jump = labels.select(F.col("node").alias("via"), F.col("label").alias("further"))
@@ -30,7 +31,8 @@ def components(edges: DataFrame, keep: Kept, most_rounds: int = 60) -> DataFrame
             ),
             "labels",
         )
-        labels = after.select("node", "label")
+        keep.free(labels)
+        labels = after
         if after.where(F.col("old") != F.col("label")).isEmpty():
-            return labels
-    raise RuntimeError(f"labels still change after {most_rounds} rounds")
+            keep.free(both)
+            return after

@@ -10,12 +10,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import Kept
 from .batches import slices
-from .terms import grams_of, tokens, unseen, whole
+from .terms import distinct, grams_of, tokens
 
-#: A term is frequent if at least one text in so many has it. Texts have L terms on average, so at most RARE * L terms are frequent,
-#: however large the corpus; all others count as having this frequency.
+#: A term is frequent if at least one text in so many has it; all others count as having this frequency.
 RARE = 5_000
+#: Most frequent terms that are broadcast (12 bytes each). Of P terms of all texts at most MOST are held by P / MOST texts or more, so
+#: where texts are so long that RARE alone would let more through, terms count as frequent from P / MOST texts on.
+MOST = 2_000_000
 #: A term that at most so many texts have is no rarer than one that this many have: in a small corpus a slip of the pen must not
 #: outweigh the names that two copies share.
 FEW = 20
@@ -26,30 +29,36 @@ _DOC_BITS = np.uint64(16)
 
 
 class Frequent:
-    """The frequent terms' shares of texts, sorted by term; every other term counts as one in ``rare``."""
+    """The frequent terms' shares of texts, sorted by term; every other term counts as one in ``rare``.
 
-    def __init__(self, terms: np.ndarray, texts: np.ndarray, n: int, rare: int = RARE, few: int = FEW):
+    An idf is a whole number of steps of 1 / STEPS, so that all texts put their terms in one order by it.
+    """
+
+    STEPS = 4096
+
+    def __init__(self, terms: np.ndarray, texts: np.ndarray, n: int, rare: float = RARE, few: int = FEW):
         order = np.argsort(terms)
-        self.terms, self.logs = terms[order], np.log(max(n, 1) / np.maximum(texts[order], 1)).astype(np.float32)
-        self.most = float(np.log(max(2.0, n / max(few, n / rare))))
+        self.most = self._steps(np.log(max(2.0, n / max(few, n / rare))))
+        self.terms = terms[order]
+        self.logs = np.minimum(self._steps(np.log(max(n, 1) / np.maximum(texts[order], 1))), self.most).astype(np.uint16)
 
-    def idf(self, terms: np.ndarray) -> np.ndarray:
-        """ln(texts / texts with the term), where the latter are at least FEW and texts / RARE."""
-        if not len(self.terms):
-            return np.full(len(terms), self.most, np.float32)
-        terms = terms >> _DOC_BITS
-        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        return np.where(self.terms[at] == terms, np.minimum(self.logs[at], self.most), self.most).astype(np.float32)
+    def _steps(self, x: np.ndarray) -> np.ndarray:
+        return np.minimum(np.rint(np.maximum(x, 0) * self.STEPS), 65535).astype(np.uint16)
 
+    def steps(self, terms: np.ndarray) -> np.ndarray:
+        """ln(texts / texts with the term) in steps, where the latter are at least FEW and texts / RARE."""
+        if not len(self.terms):
+            return np.full(len(terms), self.most, np.uint16)
+        order = np.argsort(terms)  # look-ups in order are several times faster
+        ordered = terms[order] >> _DOC_BITS
+        at = np.minimum(np.searchsorted(self.terms, ordered), len(self.terms) - 1)
+        out = np.empty(len(terms), np.uint16)
+        out[order] = np.where(self.terms[at] == ordered, self.logs[at], self.most)
+        return out
 
-def _once(terms: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Known terms, one for each text that has it."""
-    out = []
-    for first in range(0, int(docs[-1]) + 1 if len(docs) else 0, 1 << int(_DOC_BITS)):
-        part = slice(*np.searchsorted(docs, (first, first + (1 << int(_DOC_BITS)))))
-        keys = np.sort((terms[part] >> _DOC_BITS << _DOC_BITS) | (docs[part] - first).astype(np.uint64))
-        out.append(keys[np.append(True, keys[1:] != keys[:-1])] >> _DOC_BITS)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        """The same as a number."""
+        return self.steps(terms).astype(np.float32) / np.float32(self.STEPS)
 
 
 def _counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,33 +77,38 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return terms[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def frequent_terms(texts: DataFrame, runs: tuple[tuple[str, int], ...], rare: int = RARE, few: int = FEW) -> Broadcast:
+def frequent_terms(texts: DataFrame, runs: tuple[tuple[str, int], ...], keep: Kept, rare: int = RARE, few: int = FEW, most: int = MOST) -> Broadcast:
     """Counts every text of column ``text``; each task adds its own counts up before the shuffle, and rare terms go no further.
 
-    Equal contents count once a task, so that a text which a third of all rows repeat doesn't make its own words common.
+    ``texts`` should hold each content once, so that a text which a third of all rows repeat doesn't make its own words common.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summed: list[tuple[np.ndarray, np.ndarray]] = []
         new: list[np.ndarray] = []
         waiting = 0
-        seen: set[int] = set()
         for _, some in slices(batches):
             hashes, of, ideograph = tokens(some)
-            fresh = unseen(whole(hashes, of, len(some)), seen)
-            terms, docs = grams_of(hashes, of, ideograph, len(some), runs)
-            terms, docs = terms[fresh[docs]], docs[fresh[docs]]
-            new.append(_once(terms, docs))
+            new.append(distinct(*grams_of(hashes, of, ideograph, len(some), runs))[0] >> _DOC_BITS)
             waiting += len(new[-1])
             if waiting > 4_000_000:
                 summed = [_merged([*summed, _counted(new)])]
                 new, waiting = [], 0
-        terms, counts = _merged([*summed, _counted(new)])
-        yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(counts)], ["term", "n"])
+                if len(summed[0][0]) > 16_000_000:
+                    yield _batch(*summed.pop())
+        yield _batch(*_merged([*summed, _counted(new)]))
 
     texts = texts.where(F.col("text").isNotNull())
     n = texts.count()
     counts = texts.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    rows = counts.where((F.col("n") * rare >= n) & (F.col("n") > few)).toArrow()
-    found = Frequent(rows["term"].to_numpy().view(np.uint64), rows["n"].to_numpy(), n, rare, few)
+    kept = keep(counts.where((F.col("n") * rare >= n) & (F.col("n") > few)), "frequent")
+    held = kept.agg(F.sum("n")).first()[0] or 0
+    least = -(-held // most)
+    rows = kept.where(F.col("n") >= least).toArrow()
+    keep.free(kept)
+    found = Frequent(rows["term"].to_numpy().view(np.uint64), rows["n"].to_numpy(), n, min(rare, n / max(least, 1)), few)
     return texts.sparkSession.sparkContext.broadcast(found)
+
+
+def _batch(terms: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(counts)], ["term", "n"])

@@ -36,11 +36,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row that has a copy, with its group's least row and the size of the group."""
-    members, _ = nc.near_copies(_docs(spark, sf_dir, P5), Kept(spark))
-    members = members.withColumn("tab", _table("doc", P5))
-    classes = members.groupBy("group", "tab").agg(F.min("doc").alias("least"), F.count("*").alias("members")).where("members > 1")
-    return members.join(classes, ["group", "tab"]).select("tab", F.floor(F.col("doc") / 2).alias("key"), F.floor(F.col("least") / 2).alias("class_key"), "members")
+    """Every row that has a copy, with its group's least row, the size of the group, and to how many rows it is linked itself.
+
+    Links between contents stay pairs of contents; copies are counted, not paired.
+    """
+    members, links = nc.near_copies(_docs(spark, sf_dir, P5), Kept(spark))
+    members = members.withColumn("t", F.pmod("doc", F.lit(2)))
+    classes = members.groupBy("group", "t").agg(F.min("doc").alias("least"), F.count("*").alias("members")).where("members > 1")
+    sizes = members.groupBy("content", "t").agg(F.count("*").alias("copies"))
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(sizes.withColumnRenamed("content", "b"), "b").groupBy(F.col("a").alias("content"), "t").agg(F.sum("copies").alias("others"))
+    linked = sizes.join(others, ["content", "t"], "left").select("content", "t", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    return members.drop("copies").join(classes, ["group", "t"]).join(linked, ["content", "t"]).select(
+        _table("doc", P5).alias("tab"), F.floor(F.col("doc") / 2).alias("key"), F.floor(F.col("least") / 2).alias("class_key"), "members", "links"
+    )
 
 
 CASES = [("routing_cases", "case_id"), ("diagnosis_cases", "case_id")]
@@ -66,8 +75,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By table, split and source of the held-out row: rows that overlap with training rows, and pairs."""
     rows = _split_rows(spark, sf_dir)
-    pairs = overlap.split_overlaps(rows.drop("split", "source"), Kept(spark))
-    hits = pairs.groupBy("held").agg(F.count("*").alias("pairs"))
+    hits = overlap.overlap_counts(rows.drop("split", "source"), Kept(spark))
     of = rows.where(F.col("held")).select("doc", "split", "source").dropDuplicates(["doc"])
     return of.join(hits.withColumnRenamed("held", "doc"), "doc", "left").groupBy(_table("doc", CASES).alias("tab"), "split", "source").agg(
         F.count("*").alias("held_rows"), F.count("pairs").alias("overlapping_rows"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")

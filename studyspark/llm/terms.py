@@ -137,31 +137,36 @@ def grams_of(hashes: np.ndarray, of: np.ndarray, ideograph: np.ndarray, n: int,
     return terms[order], docs[order]
 
 
-def distinct(terms: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's terms once, in order of text and term."""
-    order = np.lexsort((terms, docs))
-    terms, docs = terms[order], docs[order]
-    new = np.ones(len(terms), bool)
-    new[1:] = (terms[1:] != terms[:-1]) | (docs[1:] != docs[:-1])
-    return terms[new], docs[new]
+def keyed(terms: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Text number and the upper 48 bits of the term as one number, by which a batch is put in order at once; texts below 2^16."""
+    return docs.astype(np.uint64) << np.uint64(48) | terms >> np.uint64(16)
 
 
-def whole(hashes: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+def distinct(terms: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's terms once (``docs`` must be in order), in order of text and term; of a term's hash the upper 48 bits count and the others become 0."""
+    out = []
+    step = 1 << 16
+    for first in range(0, int(docs[-1]) + 1 if len(docs) else 0, step):
+        part = slice(*np.searchsorted(docs, (first, first + step)))
+        keys = np.sort(keyed(terms[part], docs[part] - first))
+        keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+        out.append((keys << np.uint64(16), (keys >> np.uint64(48)).astype(np.int32) + np.int32(first)))
+    if not out:
+        return terms[:0], docs[:0]
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+
+
+def whole(hashes: np.ndarray, of: np.ndarray, n: int, prime: np.uint64 = _PRIME) -> np.ndarray:
     """A hash of each text's token sequence; 0 where a text has no token."""
     out = np.zeros(n, np.uint64)
     if len(hashes):
         first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
         where = np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of))))
-        powers = np.cumprod(np.full(int(where.max()) + 1, _PRIME, np.uint64))
+        powers = np.cumprod(np.full(int(where.max()) + 1, prime, np.uint64))
         out[of[first]] = mixed(np.add.reduceat(hashes * powers[where], first) + np.uint64(1)) | np.uint64(1)
     return out
 
 
-def unseen(keys: np.ndarray, seen: set[int]) -> np.ndarray:
-    """Which of the keys, 0 apart, come for the first time; they join ``seen``."""
-    new = np.zeros(len(keys), bool)
-    for i, k in enumerate(keys.tolist()):
-        if k and k not in seen:
-            seen.add(k)
-            new[i] = True
-    return new
+def both_wholes(hashes: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each text's token sequence, 127 bits in all, by which equal texts are known."""
+    return whole(hashes, of, n), whole(mixed(hashes ^ _MIX1), of, n, _MIX2)
