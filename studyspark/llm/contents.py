@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -37,37 +37,59 @@ def hashed(docs: DataFrame, others: str = "") -> DataFrame:
 
 
 def distinct_contents(docs: DataFrame, keep: Kept, others: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``rows`` (doc, one, two, others), ``contents`` (content, copies, one, two, others) and ``texts`` (content, text, others).
+    """``rows`` (doc, one, two, others; as often as delivered), ``contents`` (content, several, n rows, one, two, others) and ``texts`` (content, text, others).
 
-    A content is known by its least doc; rows that differ in ``others`` are different contents. Redelivered docs count once. Only
-    hashes are grouped, and added up per task before the shuffle; each distinct text is shuffled once, so what follows reads every
-    content once, however the files are cut.
+    A content is known by its least doc; rows that differ in ``others`` are different contents; ``several`` says that more than one
+    doc has it. Only hashes are grouped, and added up per task before the shuffle. Texts of rows that surely are the only ones of
+    their content (a bit map of fixed size tells) stay where they are; the others meet their content's doc in a join. What follows
+    reads every content once, however the files are cut.
     """
     names = [x.split()[0] for x in others.split(",") if x]
-    rows = keep(hashed(docs, others).dropDuplicates(["doc"]), "rows")
-    contents = keep(rows.groupBy("one", "two", *names).agg(F.min("doc").alias("content"), F.count("*").alias("copies")), "contents")
-    firsts = contents.select(F.col("content").alias("doc"))
-    texts = docs.select("doc", "text", *names).join(firsts, "doc", "left_semi").groupBy(F.col("doc").alias("content"), *names).agg(F.min("text").alias("text"))
+    rows = keep(hashed(docs, others), "rows")
+    grouped = rows.groupBy("one", "two", *names).agg(F.min("doc").alias("content"), (F.max("doc") > F.min("doc")).alias("several"), F.count("*").alias("n"))
+    contents = keep(grouped, "contents")
+    again = rows.select("doc", "one", "two").join(contents.where("n > 1").select("one", "two"), ["one", "two"], "left_semi").select(F.col("doc").alias("content"))
+    sure, rest = divided(docs.select(F.col("doc").alias("content"), "text", *names), again)
+    least = rest.join(contents.select("content"), "content", "left_semi").groupBy("content").agg(F.min(F.struct(*names, "text")).alias("t"))
+    texts = sure.where(F.length("text") > 0).unionByName(least.select("content", F.col("t.text").alias("text"), *(F.col(f"t.{n}").alias(n) for n in names)))
     return rows, contents, keep(texts, "texts")
 
 
-def needed(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Those of ``texts`` (content, text) that ``ids`` (content) may name, by a bit map of fixed size; a few others may stay.
+def bit_map(ids: DataFrame, place: Column, bits: int) -> np.ndarray:
+    """A map of 2^bits bits, as 64-bit words, with a bit set for each ``place`` of ``ids``.
 
-    The map's words are made by an aggregate, so at most 2^20 rows of 16 bytes reach the driver, whatever the number of ids.
+    The words are made by an aggregate, so at most 2^(bits - 6) rows of 16 bytes reach the driver, whatever the number of ids.
     """
-    h = F.xxhash64("content")
-    place = h.bitwiseAND(F.lit((1 << _BITS) - 1))
-    bits = ids.select(F.shiftright(place, 6).cast("int").alias("word"), F.expr("shiftleft(1L, int(xxhash64(content) & 63))").alias("bit"))
-    rows = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    words = np.zeros(1 << (_BITS - 6), np.uint64)
-    words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-    known = texts.sparkSession.sparkContext.broadcast(words)
+    rows = ids.select(F.shiftright(place, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    found = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return words
+
+
+def in_map(words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether the bits at the places are set."""
+    return (words[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def _marked(texts: DataFrame, ids: DataFrame) -> Column:
+    place = F.xxhash64("content").bitwiseAND(F.lit((1 << _BITS) - 1))
+    known = texts.sparkSession.sparkContext.broadcast(bit_map(ids, place, _BITS))
 
     @pandas_udf("boolean")
     def there(places: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for p in places:
-            at = p.to_numpy()
-            yield pd.Series((known.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+            yield pd.Series(in_map(known.value, p.to_numpy()))
 
-    return texts.where(there(place))
+    return there(place)
+
+
+def divided(texts: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``texts`` (content, ...) that ``ids`` (content) surely don't name, and those that it may name."""
+    marked = _marked(texts, ids)
+    return texts.where(~marked), texts.where(marked)
+
+
+def needed(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Those of ``texts`` (content, text) that ``ids`` (content) may name, by a bit map of fixed size; a few others may stay."""
+    return texts.where(_marked(texts, ids))
