@@ -47,7 +47,7 @@ def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = both.join(sizes.withColumnRenamed("content", "b"), "b").groupBy(F.col("a").alias("content"), "t").agg(F.sum("copies").alias("others"))
     linked = sizes.join(others, ["content", "t"], "left").select("content", "t", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
-    return members.drop("copies").join(classes, ["group", "t"]).join(linked, ["content", "t"]).select(
+    return members.join(classes, ["group", "t"]).join(linked, ["content", "t"]).select(
         _table("doc", P5).alias("tab"), F.floor(F.col("doc") / 2).alias("key"), F.floor(F.col("least") / 2).alias("class_key"), "members", "links"
     )
 
@@ -114,7 +114,7 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
+    return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"), Kept(spark))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
