@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,9 @@ from .terms import LOOK_ALIKES
 
 #: Signs that join two topics in one cell.
 JOINS = re.compile(r"[/&+|;\u3001\uff1b\uff0b\uff0f\uff06\uff5c]")
-#: Strata with splits of their own, hash buckets a stratum is divided into, and the share of rows from which a group is placed by itself.
-STRATA, BUCKETS, LARGE = 200, 1024, 0.0005
+#: Largest subjects that are balanced by themselves, hash classes of all other subjects (each class is balanced), hash buckets of
+#: groups, and the share of rows from which a group is placed by itself. They bound the driver's table, not what is balanced.
+STRATA, CLASSES, BUCKETS, LARGE = 512, 512, 1024, 0.0005
 
 
 def topic_key(name: str) -> str:
@@ -69,42 +71,54 @@ def topic_groups(rows: DataFrame, keep: Kept) -> DataFrame:
     return nodes.select("id", "subject").join(found.unionByName(alone), "id")
 
 
+def place(units: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """For each unit (a row of row counts by stratum) the split it goes to, largest units first.
+
+    Each goes where the sum of squared deviations, of every stratum relative to its size and of the whole, ends up least.
+    """
+    sizes = np.maximum(units.sum(0), 1).astype(float)
+    total = max(float(units.sum()), 1.0)
+    have = np.zeros((len(want), units.shape[1]))
+    out = np.zeros(len(units), np.int64)
+    n_of = units.sum(1)
+    for u in np.lexsort((np.arange(len(units)), -n_of)):
+        row = np.flatnonzero(units[u])
+        n = units[u, row].astype(float)
+        off = have[:, row] - want[:, None] * sizes[row]
+        cost = ((2 * off + n) * n / sizes[row]).sum(1) + (2 * (have.sum(1) - want * total) + n_of[u]) * n_of[u] / total
+        out[u] = int(np.argmin(cost))
+        have[out[u], row] += n
+    return out
+
+
 def assign_splits(groups: DataFrame, targets: DataFrame, keep: Kept, seed: int = 42) -> DataFrame:
     """``id, group_id, split``: all rows of a group in one split, the splits' shares near ``targets`` (split, share) in all and per subject.
 
-    Groups of at least LARGE of all rows are placed one by one, the largest first; all others go by hash into BUCKETS buckets a
-    stratum (the STRATA largest subjects, and one for the rest), and whole buckets are placed, so the driver sees a table of
-    bounded size. Each goes to the split that leaves the least squared deviation of its stratum and of the whole.
+    What is placed is a group of at least LARGE of all rows, or a hash bucket of smaller groups, as a whole: a group whose rows lie
+    in several subjects is one unit with a count for each. Strata are the STRATA largest subjects and CLASSES hash classes of all
+    others (rows without subject are one class more), so the driver sees at most (BUCKETS + 1 / LARGE) * (STRATA + CLASSES + 1)
+    counts, whatever the number of rows, groups or subjects. Empty tables give no rows; without targets the split is null.
     """
     groups = keep(groups, "groups")
     total = groups.count()
-    want = {r["split"]: r["share"] for r in targets.dropDuplicates(["split"]).collect()}
-    names = sorted(want, key=lambda s: (-want[s], s))
+    want = {r["split"]: r["share"] for r in targets.where("split is not null").groupBy("split").agg(F.max("share").alias("share")).collect()}
+    names = sorted(want, key=lambda s: (-(want[s] or 0.0), s))
     if not total or not names:
         return groups.select("id", "group_id", F.lit(None).cast("string").alias("split"))
-    top = [r["subject"] for r in groups.groupBy("subject").count().orderBy(F.desc("count"), "subject").limit(STRATA).collect() if r["subject"]]
-    stratum = F.when(F.col("subject").isin(top), F.col("subject")).otherwise("") if top else F.lit("")
+    by_subject = groups.where("subject is not null").groupBy("subject").agg(F.count("*").alias("n"))
+    top = by_subject.orderBy(F.desc("n"), "subject").limit(STRATA).withColumn("own", F.concat(F.lit("s"), "subject")).drop("n")
+    other = F.concat(F.lit("h"), F.pmod(F.xxhash64("subject"), F.lit(CLASSES)))
+    stratum = F.when(F.col("subject").isNull(), "").otherwise(F.coalesce("own", other))
     large = F.col("members") >= max(2, LARGE * total)
     unit = F.when(large, F.concat(F.lit("g"), F.col("group_id"))).otherwise(
         F.concat(F.lit("b"), F.pmod(F.xxhash64(F.col("group_id"), F.lit(seed)), F.lit(BUCKETS)))
     )
-    marked = groups.select("id", "group_id", stratum.alias("stratum"), unit.alias("unit"))
-    units = marked.groupBy("stratum", "unit").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "stratum", "unit").collect()
-    size: dict[str, int] = {}
-    for u in units:
-        size[u["stratum"]] = size.get(u["stratum"], 0) + u["n"]
-    have = {(s, x): 0 for s in size for x in names}
-    whole = dict.fromkeys(names, 0)
-    placed = []
-    for u in units:
-        s, n = u["stratum"], u["n"]
-
-        def cost(x: str) -> float:
-            return (2 * (have[s, x] - want[x] * size[s]) + n) * n / size[s] + (2 * (whole[x] - want[x] * total) + n) * n / total
-
-        best = min(names, key=lambda x: (cost(x), names.index(x)))
-        have[s, best] += n
-        whole[best] += n
-        placed.append((s, u["unit"], best))
-    table = groups.sparkSession.createDataFrame(placed, "stratum string, unit string, split string")
-    return marked.join(F.broadcast(table), ["stratum", "unit"]).select("id", "group_id", "split")
+    marked = groups.join(F.broadcast(top), "subject", "left").select("id", "group_id", stratum.alias("stratum"), unit.alias("unit"))
+    counts = marked.groupBy("unit", "stratum").agg(F.count("*").alias("n")).toArrow().sort_by([("unit", "ascending"), ("stratum", "ascending")])
+    units, at = np.unique(np.array(counts["unit"].to_pylist(), object), return_inverse=True)
+    strata, where = np.unique(np.array(counts["stratum"].to_pylist(), object), return_inverse=True)
+    table = np.zeros((len(units), len(strata)), np.int64)
+    np.add.at(table, (at, where), counts["n"].to_numpy())
+    chosen = place(table, np.array([float(want[s] or 0.0) for s in names]))
+    splits = groups.sparkSession.createDataFrame([(u, names[c]) for u, c in zip(units.tolist(), chosen.tolist())], "unit string, split string")
+    return marked.join(F.broadcast(splits), "unit").select("id", "group_id", "split")
