@@ -19,9 +19,8 @@ from ..plans.shared import ship
 from .batches import slices
 from .terms import LOOK_ALIKES
 
-#: Length of the character n-grams, the corpus' most frequent n-grams of each script that are broadcast, and the log-odds per
-#: replaced letter that the replaced spelling must win by.
-ORDER, NGRAMS, MARGIN = 3, 60_000, 0.0
+#: Length of the character n-grams, and the corpus' most frequent n-grams of each script that are broadcast.
+ORDER, NGRAMS = 3, 60_000
 
 _EMOJI = "\U0001f000-\U0001faff\u2600-\u27bf\u2b00-\u2bff\ufe0f\U0001f3fb-\U0001f3ff"
 # Blanks other than the plain one, and characters that show nothing.
@@ -31,7 +30,7 @@ _JOINER = f"(?<![{_EMOJI}])\u200d|\u200d(?![{_EMOJI}])"
 _VARIANT = f"(?<![{_EMOJI}0-9#*])[\ufe00-\ufe0f]"
 # Wide and joined letters, digits and ideographs, and their variant codes; signs, superscripts and fractions stay.
 _WIDE = (
-    "\uff10-\uff19\uff21-\uff3a\uff41-\uff5a\uff66-\uff9d\uffa1-\uffdc\ufb00-\ufb06\ufb13-\ufb17\u2e80-\u2ef3\u2f00-\u2fd5\uf900-\ufaff"
+    "\uff10-\uff19\uff21-\uff3a\uff41-\uff5a\uff66-\uff9f\uffa1-\uffdc\ufb00-\ufb06\ufb13-\ufb17\u2e80-\u2ef3\u2f00-\u2fd5\uf900-\ufaff"
     "\U0001d400-\U0001d7cb\U0001d7ce-\U0001d7ff\U0002f800-\U0002fa1f\u0132\u0133\u0149\u01c4-\u01cc\u01f1-\u01f3"
 )
 _MARKS = "\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20f0\u3099\u309a"
@@ -100,24 +99,25 @@ class Spelling:
         return math.log((seen + (0.5 if own else 1e-4)) / (self.before.get(context, 0) + 0.5 * max(26, self.total.get(of, 0))))
 
 
-def best_spelling(word: str, model: Spelling, margin: float = MARGIN) -> str:
+def best_spelling(word: str, model: Spelling) -> str:
     """The word's likeliest spelling by its look.
 
-    Each letter may be itself or any letter of the same look (the lattice). For each script, Viterbi search finds the path of
-    greatest n-gram score in which all letters with a look-alike belong to that script; the best of these wins over the word as
-    it is if it has fewer scripts and its score is greater by ``margin`` a replaced letter. A word that can be written whole in
-    the script of its letters without a Latin twin (whole words of another script) stays as it is.
+    A word whose letters are all of one script other than Latin stays as it is: that is a whole word in that script. In any other
+    each letter may be itself or a letter of the same look (the lattice): in Latin the plain letter, in Greek and Cyrillic any. For
+    each script Viterbi search finds the path of greatest n-gram score whose letters all belong to it; the best of these is the
+    spelling. Equal scores prefer Latin, then plain letters, then the letters as they are.
     """
     plain = _plain_letters()
     scripts = {script(c) for c in word}
-    if "latin" not in scripts and not all(c in plain for c in word):
+    if "latin" not in scripts and (len(scripts) == 1 or not all(c in plain for c in word)):
         return word
     best, best_score = word, None
     for of in ("latin", "greek", "cyrillic"):
         choices = []
         for c in word:
-            own = {c} | ({plain[c]} if c in plain else set()) | {o for o in LOOK_ALIKES.get(plain.get(c, c), "")}
-            choices.append(sorted(x for x in own if script(x) == of))
+            own = [plain[c]] if c in plain else []
+            own += [c] + ([] if of == "latin" else sorted(LOOK_ALIKES.get(plain.get(c, c), "")))
+            choices.append([x for x in dict.fromkeys(own) if script(x) == of])
         if not all(choices):
             continue
         paths = {"^" * (ORDER - 1): (0.0, "")}
@@ -131,8 +131,7 @@ def best_spelling(word: str, model: Spelling, margin: float = MARGIN) -> str:
                     if key not in after or s > after[key][0]:
                         after[key] = (s, said + ch)
             paths = after
-        score, said = max(paths.values())
-        score -= margin * sum(a != b for a, b in zip(said, word))
+        score, said = max(paths.values(), key=lambda x: x[0])  # the first of equals, and plain letters come first
         if best_score is None or score > best_score:
             best, best_score = said, score
     if best_score is None:  # no script can write all of it: at least its look-alikes go with the letters around them
