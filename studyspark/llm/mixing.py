@@ -1,4 +1,4 @@
-"""Mixtures of sources with target weights (problem 7): soft memberships, token counts, projected-gradient rates."""
+"""Mixtures of sources with target weights (problem 7): token counts, predicted domains, rates by projected gradient."""
 
 from __future__ import annotations
 
@@ -16,12 +16,11 @@ from ..plans.shared import Kept, ship
 from .batches import slices
 from .terms import grams
 
-#: Rows with a listed source that the domain classifier is fitted on, its hashed features, and steps of its fit.
-FIT_ROWS, FEATURES, FIT_STEPS = 6_000, 1 << 13, 60
-#: How far a document's stated source is trusted over the classifier's posterior.
-TRUST = 0.9
-#: Steps of the rates' fit.
-STEPS = 12
+#: Rows with a listed source that the domain classifier is fitted on, the longest of them in characters, its hashed features, and steps
+#: of its fit.
+FIT_ROWS, FIT_LONGEST, FEATURES, FIT_STEPS = 6_000, 20_000, 1 << 13, 60
+#: Levels of the greatest posterior that documents are told apart by, and steps of the rates' fit.
+LEVELS, STEPS = 20, 400
 RUNS = (("words", 1), ("ideographs", 2))
 
 
@@ -32,17 +31,19 @@ def default_tokenizer() -> str:
 
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _encodings: dict[str, object] = {}
+_given: dict[str, set[str]] = {}
 
 
-def encoding(path: str):
-    """The byte-level tokenizer of a rank file; read once a worker."""
-    if path not in _encodings:
+def encoding(name: str):
+    """The byte-level tokenizer of a rank file that was given to all executors; read once a worker."""
+    if name not in _encodings:
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(path, "rb") as lines:
+        with open(SparkFiles.get(name), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encodings[path] = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[path]
+        _encodings[name] = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[name]
 
 
 @dataclass
@@ -54,144 +55,158 @@ class Domains:
     bias: np.ndarray
 
     def posteriors(self, texts: list[str]) -> np.ndarray:
-        rows, columns, values = features(texts)
-        scores = np.tile(self.bias, (len(texts), 1))
-        for k in range(len(self.names)):
-            scores[:, k] += np.bincount(rows, values * self.weights[columns, k], minlength=len(texts))
-        scores -= scores.max(1, keepdims=True)
-        e = np.exp(scores)
+        scores = _scores(*features(texts), len(texts), self.weights) + self.bias
+        e = np.exp(scores - scores.max(1, keepdims=True)) if len(texts) else scores
         return e / e.sum(1, keepdims=True)
 
 
+def _scores(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
+    """Sums of weighted rows of ``weights`` by text; ``rows`` are in order."""
+    out = np.zeros((n, weights.shape[1]))
+    if len(rows):
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        out[rows[first]] = np.add.reduceat(weights[columns] * values[:, None], first)
+    return out
+
+
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed terms, each text's of unit norm: text, feature, value."""
     terms, docs = grams(texts, RUNS)
     columns = (terms % np.uint64(FEATURES)).astype(np.int64)
     norm = np.sqrt(np.bincount(docs, minlength=len(texts)))
-    return docs, columns, 1 / norm[docs]
+    return docs, columns, (1 / norm[docs]).astype(np.float32)
 
 
 def fit_domains(names: list[str], texts: list[str], labels: list[str]) -> Domains:
     """Gradient descent on the logistic loss, on the driver; with no rows all posteriors are equal."""
-    d = Domains(names, np.zeros((FEATURES, len(names))), np.zeros(len(names)))
+    d = Domains(names, np.zeros((FEATURES, len(names)), np.float32), np.zeros(len(names)))
     if not texts:
         return d
+    x = np.zeros((len(texts), FEATURES), np.float32)  # FIT_ROWS * FEATURES numbers, 200 MB
     rows, columns, values = features(texts)
-    truth = np.zeros((len(texts), len(names)))
-    truth[np.arange(len(texts)), [names.index(x) for x in labels]] = 1
+    np.add.at(x, (rows, columns), values)
+    truth = np.zeros((len(texts), len(names)), np.float32)
+    truth[np.arange(len(texts)), [names.index(s) for s in labels]] = 1
     d.bias = np.log(truth.mean(0) + 1e-6)
     for _ in range(FIT_STEPS):
-        scores = np.tile(d.bias, (len(texts), 1))
-        for k in range(len(names)):
-            scores[:, k] += np.bincount(rows, values * d.weights[columns, k], minlength=len(texts))
+        scores = x @ d.weights + d.bias
         e = np.exp(scores - scores.max(1, keepdims=True))
-        slope = e / e.sum(1, keepdims=True) - truth
-        for k in range(len(names)):
-            d.weights[:, k] -= 8.0 * np.bincount(columns, values * slope[rows, k], minlength=FEATURES) / len(texts)
+        d.weights -= 8.0 / len(texts) * (x.T @ (e / e.sum(1, keepdims=True) - truth))
     return d
 
 
-def mix(docs: DataFrame, targets: DataFrame, keep: Kept, tokenizer: str | None = None, trust: float = TRUST, steps: int = STEPS, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def project(rates: np.ndarray, tokens: np.ndarray, most: float, total: float) -> np.ndarray:
+    """The nearest rates (in the metric of tokens) between 0 and ``most`` whose tokens add up to ``total``, or to the most there can be."""
+    if tokens.sum() * most <= total:
+        return np.full(len(rates), most)
+    low, high = -rates.max(), most - rates.min()
+    for _ in range(60):
+        shift = (low + high) / 2
+        if (np.clip(rates + shift, 0, most) * tokens).sum() < total:
+            low = shift
+        else:
+            high = shift
+    return np.clip(rates + high, 0, most)
+
+
+def fit_rates(own: np.ndarray, tokens: np.ndarray, soft: np.ndarray, goal: np.ndarray, most: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """Rates of cells of documents (own source, tokens, mean memberships) by projected gradient.
+
+    Minimises the squares of expected domain totals less their goals, relative to these, over rates between 0 and ``most`` whose
+    tokens give each source its goal, or as much of it as there is. Both are constraints of the fit, not repairs of its result.
+    """
+    rates = np.ones(len(own))
+
+    def projected(r: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(r))
+        for s in range(len(goal)):
+            mine = own == s
+            if mine.any():
+                out[mine] = project(r[mine], tokens[mine], most[s], goal[s])
+        return out
+
+    scale = 1 / np.maximum(goal, max(goal.sum(), 1e-9) * 1e-6)
+    m = soft * scale
+    bend = np.linalg.norm(m.T @ (m * tokens[:, None]), 2) if len(own) else 0.0
+    rates = projected(rates)
+    for _ in range(steps if bend > 0 else 0):
+        off = (rates * tokens) @ soft * scale - (goal > 0)
+        after = projected(rates - m @ off / bend)
+        moved = np.abs(after - rates).max()
+        rates = after
+        if moved < 1e-7:
+            break
+    return rates
+
+
+def mix(docs: DataFrame, targets: DataFrame, keep: Kept, tokenizer: str | None = None, steps: int = STEPS, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Copies of documents so that each source supplies its weight of all tokens, and a report by source.
 
     ``docs``: doc_id, source, text; ``targets``: source, weight, max_repeats. Documents with a null or unlisted source are not in
     the mixture, whose size is the tokens of all others; null and empty texts have no tokens. Gives ``copies`` (doc_id, source,
-    tokens, rate, copies >= 1) and ``report`` (a row per source: tokens, needed, supply at most, soft tokens in the fit, actual
-    tokens and share, and ``short``: supply at most is less than needed).
-
-    1. One pass counts tokens and predicts each document's domains: ``trust`` on its own source, the rest by a classifier that
-       was fitted on a sample of FIT_ROWS labelled rows (the least hashes, so the same at every run).
-    2. Rates start at 1. Each step sums expected tokens by domain over all documents (one small row a task) and moves every
-       rate against the domains' relative excess, weighted by its memberships, then back between 0 and its source's
-       max_repeats: a projected gradient step of the least squares of domain totals, scaled by token counts. A rate is a
-       function of the steps so far, so steps keep no state in executors.
-    3. Rates of a source are scaled to its exact total where its supply allows; copies are the whole part of the rate, and one
-       more with the probability of the rest, by the document's hash.
+    tokens, rate, copies >= 1) and ``report`` (a row per source: tokens, needed, supply at most, tokens at the fitted rates, expected
+    tokens of the domain at these, actual tokens and share, and ``short``: the fitted rates of a source, all at max_repeats, give
+    less than it needs).
+
+    1. One pass counts tokens by a public tokenizer, whose file is given to all executors, and predicts each document's domains by
+       a classifier that was fitted on a sample of FIT_ROWS labelled rows (the least hashes, so the same at every run).
+    2. Rates depend on a document's source, likeliest domain and how likely that is (LEVELS). Tokens and memberships are added up
+       once by these cells, of which there are at most LEVELS times the squared number of sources, over all documents.
+    3. ``fit_rates`` fits the cells' rates to the expected domain totals under the sources' exact totals. Copies are the whole part
+       of the rate, and one more with the probability of the rest, by the document's hash.
     """
     ship(docs.sparkSession)
-    sc = docs.sparkSession.sparkContext
+    spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     path = tokenizer or default_tokenizer()
-    plan = {r["source"]: (float(r["weight"]), float(r["max_repeats"])) for r in targets.where("source is not null").dropDuplicates(["source"]).collect()}
+    if path not in _given.setdefault(sc.applicationId, set()):
+        sc.addFile(path)
+        _given[sc.applicationId].add(path)
+    file = path.rstrip("/").rsplit("/", 1)[-1]
+    plan = {r["source"]: (float(r["weight"] or 0), float(r["max_repeats"] or 0)) for r in targets.where("source is not null").groupBy("source").agg(F.max("weight").alias("weight"), F.max("max_repeats").alias("max_repeats")).collect()}
     names = sorted(plan)
     weight, most = np.array([plan[s][0] for s in names]), np.array([plan[s][1] for s in names])
     listed = docs.where(F.col("source").isin(names)).select("doc_id", "source", "text") if names else docs.limit(0).select("doc_id", "source", "text")
-    chosen = listed.where(F.length("text") > 0).select("source", F.xxhash64("doc_id", F.lit(seed)).alias("h"), "doc_id").orderBy("h").limit(FIT_ROWS)
-    sample = listed.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").select("source", "text").toArrow()
+    short_enough = F.length("text").between(1, FIT_LONGEST)
+    chosen = listed.where(short_enough).select("doc_id", F.xxhash64("doc_id", F.lit(seed)).alias("h")).orderBy("h").limit(FIT_ROWS)
+    sample = listed.where(short_enough).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").select("source", "text").toArrow()
     classifier = sc.broadcast(fit_domains(names, sample["text"].to_pylist(), sample["source"].to_pylist()))
     place = {s: i for i, s in enumerate(names)}
+    k = len(names)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path)
+        enc = encoding(file)
         for part, texts in slices(batches):
-            soft = classifier.value.posteriors(texts) * (1 - trust)
-            own = np.array([place[s] for s in part.column("source").to_pylist()])
-            soft[np.arange(len(own)), own] += trust
-            tokens = pa.array([len(enc.encode_ordinary(t)) for t in texts], pa.int64())
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(soft.astype(np.float32).ravel()), len(names)).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), tokens, flat], ["doc_id", "source", "tokens", "soft"])
+            soft = classifier.value.posteriors(texts)
+            own = np.array([place[s] for s in part.column("source").to_pylist()], np.int64)
+            first = soft.argmax(1)
+            level = np.minimum((soft.max(1) * LEVELS).astype(np.int64), LEVELS - 1)
+            tokens = pa.array([len(t) for t in enc.encode_ordinary_batch(texts, num_threads=1)], pa.int64())
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(soft.astype(np.float32).ravel()), k).cast(pa.list_(pa.float32()))
+            columns = [part.column("doc_id"), part.column("source"), tokens, pa.array(((own * k + first) * LEVELS + level).astype(np.int32)), flat]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "source", "tokens", "cell", "soft"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    counted = keep(listed.mapInArrow(measure, f"doc_id {kind}, source string, tokens long, soft array<float>"), "tokens")
-    have = {r["source"]: r["n"] for r in counted.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
-    tokens_of = np.array([have.get(s, 0) for s in names], float)
+    counted = keep(listed.mapInArrow(measure, f"doc_id {kind}, source string, tokens long, cell int, soft array<float>"), "tokens")
+    sums = counted.groupBy("cell").agg(F.sum("tokens").alias("n"), *(F.sum(F.col("tokens") * F.get("soft", F.lit(i))).alias(f"m{i}") for i in range(k)))
+    rows = sums.orderBy("cell").toArrow()
+    cells, tokens = rows["cell"].to_numpy(), rows["n"].to_numpy().astype(float)
+    soft = np.stack([rows[f"m{i}"].to_numpy() for i in range(k)], 1) / np.maximum(tokens, 1)[:, None] if k else np.zeros((0, 0))
+    own = cells // (LEVELS * max(k, 1))
+    tokens_of = np.bincount(own, tokens, minlength=k)
     total = tokens_of.sum()
     goal = weight * total
-    moves: list[np.ndarray] = []
-
-    def rates(part: pa.RecordBatch, so_far: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        soft = part.column("soft").flatten().to_numpy().reshape(len(part), len(names)).astype(float)
-        own = np.array([place[s] for s in part.column("source").to_pylist()], int)
-        r = np.ones(len(part))
-        for m in so_far:
-            r = np.clip(r - soft @ m, 0, most[own])
-        return part.column("tokens").to_numpy().astype(float), soft, own, r
-
-    def expected(so_far: list[np.ndarray]):
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((3, len(names)))
-            for part in batches:
-                if len(part):
-                    t, soft, own, r = rates(part, so_far)
-                    sums[0] += (t * r) @ soft
-                    sums[1] += t @ soft
-                    sums[2] += np.bincount(own, t * r, minlength=len(names))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(names), dtype=np.int32)), *map(pa.array, sums)], ["i", "soft", "full", "hard"])
-
-        out = np.zeros((3, len(names)))
-        found = counted.select("source", "tokens", "soft").mapInArrow(add, "i int, soft double, full double, hard double")
-        for row in found.groupBy("i").agg(F.sum("soft"), F.sum("full"), F.sum("hard")).collect():
-            out[:, row[0]] = row[1:]
-        return out
-
-    sums = np.zeros((3, len(names)))
-    for _ in range(steps if total else 0):
-        sums = expected(moves)
-        move = np.where(sums[1] > 0, (sums[0] - goal) / np.maximum(sums[1], 1e-9), 0.0)
-        if np.abs(move).max() < 1e-4:
-            break
-        moves.append(move)
-    else:
-        sums = expected(moves) if total else sums
-    scale = np.where(sums[2] > 0, goal / np.maximum(sums[2], 1e-9), 0.0)
-    done = list(moves)
-
-    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            if len(part):
-                _, _, own, r = rates(part, done)
-                r = np.minimum(r * scale[own], most[own])
-                columns = [part.column(c) for c in ("doc_id", "source", "tokens")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(r)], ["doc_id", "source", "tokens", "rate"])
-
-    rated = counted.mapInArrow(copy, f"doc_id {kind}, source string, tokens long, rate double")
+    rates = fit_rates(own, tokens, soft, goal, most, steps)
+    fitted, expected = np.bincount(own, rates * tokens, minlength=k), (rates * tokens) @ soft
+    table = spark.createDataFrame([(int(c), float(r)) for c, r in zip(cells, rates)], "cell int, rate double")
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed + 1)), 11).cast("double") + 0.5) / float(1 << 53)
-    copies = keep(rated.withColumn("copies", (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")), "rated")
+    rated = counted.drop("soft").join(F.broadcast(table), "cell").drop("cell")
+    copies = rated.withColumn("copies", (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
     used = {r["source"]: r["n"] for r in copies.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("n")).collect()}
     actual = sum(used.values())
     report = [
-        (s, float(weight[i]), int(most[i]), int(tokens_of[i]), float(goal[i]), float(tokens_of[i] * most[i]), float(sums[0][i]), int(used.get(s, 0)),
-         used.get(s, 0) / actual if actual else 0.0, bool(tokens_of[i] * most[i] < goal[i]))
+        (s, float(weight[i]), int(most[i]), int(tokens_of[i]), float(goal[i]), float(tokens_of[i] * most[i]), float(fitted[i]), float(expected[i]),
+         int(used.get(s, 0)), used.get(s, 0) / actual if actual else 0.0, bool(fitted[i] < goal[i] and (rates[own == i] >= most[i]).all()))
         for i, s in enumerate(names)
     ]
-    schema = "source string, weight double, max_repeats int, tokens long, needed double, most double, soft_tokens double, actual_tokens long, actual_share double, short boolean"
-    return copies.where("copies > 0"), docs.sparkSession.createDataFrame(report, schema)
+    schema = "source string, weight double, max_repeats int, tokens long, needed double, most double, fitted_tokens double, domain_tokens double, actual_tokens long, actual_share double, short boolean"
+    return copies.where("copies > 0"), spark.createDataFrame(report, schema)
