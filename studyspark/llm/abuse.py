@@ -9,28 +9,32 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.shared import Kept, ship
 from .batches import slices
-from .disguise import compatible
+from .disguise import compatible, suspicious
 from .terms import grams_of, tokens
 
-#: Most reviewed-toxic documents, other reviewed and unlabelled documents that the classifier is fitted on, and characters of all of them.
-FIT_TOXIC, FIT_OTHER, FIT_UNLABELLED, FIT_CHARS = 1_500, 1_500, 3_000, 12_000_000
+#: Most reviewed-toxic documents, other reviewed and unlabelled documents that the classifier is fitted on, and the most characters of
+#: one of them and of all of each kind.
+FIT_TOXIC, FIT_OTHER, FIT_UNLABELLED, FIT_LONGEST, FIT_CHARS = 1_500, 1_500, 3_000, 20_000, 4_000_000
 #: Hashed features; toxic documents, or documents at all, that must have one; rounds of choosing the toxic passages of toxic
-#: documents; steps of each fit, the step size and the weights' decay.
-FEATURES, LEAST_TOXIC, LEAST_DOCS, ROUNDS, STEPS, RATE, DECAY = 1 << 18, 2, 6, 2, 80, 0.05, 3e-4
+#: documents; rounds in which unlabelled passages of log-odds over SURE join the examples; steps of each fit, the step size and the
+#: weights' decay.
+FEATURES, LEAST_TOXIC, LEAST_DOCS, ROUNDS, MORE, SURE, STEPS, RATE, DECAY = 1 << 18, 2, 6, 2, 2, -1.0, 80, 0.05, 3e-4
 #: Share of passages of documents reviewed as harmless that an example passage must exceed; bounds of the class prior.
 ABOVE, PRIORS = 0.995, (5e-4, 0.05)
 #: Value of a feature that tells a kind of listed word, and the score from which a document counts as toxic.
-KIND, VERDICT = 0.6, 0.25
+KIND, VERDICT = 0.6, 0.35
 RUNS = (("words", 1), ("words", 2), ("words", 3), ("ideographs", 2), ("ideographs", 3), ("ideographs", 4))
 
-_PASSAGE = re.compile(r"[\n\r]+|(?<=[。！？!?；;])|(?<=[.])\s+")
-_MASKS = re.compile(r"(?<=[^\W\d_])[*_\-·~^.#+]+(?=[^\W\d_])")
-_LEET = re.compile(r"[A-Za-z0-9@$!]*[@$][A-Za-z0-9@$!]+|[A-Za-z]+[013457][A-Za-z]+[A-Za-z013457]*")
+_INSIDE = r"[^\n\r。！？!?；;.]*"
+_PASSAGE = re.compile(_INSIDE + r"(?:\.(?!\s)" + _INSIDE + r")*(?:[。！？!?；;]|[\n\r]+|\.\s+|\Z)")
+_MASKS = re.compile(r"[*_\-·~^.#+]+(?=[^\W\d_])")
+_LEET = re.compile(r"(?<![A-Za-z])[A-Za-z]*(?:[@$]+[A-Za-z013457]|[A-Za-z][013457]+[A-Za-z]|[A-Za-z]!+[a-z])[A-Za-z013457@$!]*")
+_LEET_HINT = re.compile(r"[@$]|[013457!][A-Za-z]")
 # Signs and digits that stand for a letter inside a word.
 _LETTERS = str.maketrans("@$!013457", "asioieast")
 
@@ -46,8 +50,8 @@ WORDS = {
 
 
 @lru_cache(maxsize=1)
-def _words() -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the listed words in order, and the feature of each one's kind."""
+def _words() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the listed words in order, the feature of each one's kind, and which lower 16 bits any of them has."""
     pairs = {}
     for place, words in enumerate(WORDS.values()):
         for w in words.split():
@@ -55,32 +59,40 @@ def _words() -> tuple[np.ndarray, np.ndarray]:
             n = len(hashes)
             terms, _ = grams_of(hashes, of, ideograph, 1, (("ideographs" if ideograph[0] else "words", n),))
             pairs[int(terms[0])] = place
-    order = sorted(pairs)
-    return np.array(order, np.uint64), np.array([pairs[k] for k in order], np.int64)
+    order = np.array(sorted(pairs), np.uint64)
+    some = np.zeros(1 << 16, bool)
+    some[(order & np.uint64(0xFFFF)).astype(np.int64)] = True
+    return order, np.array([pairs[k] for k in order.tolist()], np.int64), some
 
 
-def passages(text: str) -> list[str]:
-    """The text's sentences and lines, with masked spellings undone; long ones stay whole."""
-    text = compatible(text)[0]
-    out = []
-    for p in _PASSAGE.split(text):
-        p = _LEET.sub(lambda m: m[0].translate(_LETTERS), _MASKS.sub("", p))
-        if not p.isspace() and p:
-            out.append(p)
-    return out
+def _unmasked(m: re.Match[str]) -> str:
+    word = m[0].rstrip("!")  # an exclamation mark at the end is no letter
+    return word.translate(_LETTERS) + m[0][len(word) :]
+
+
+def passages(text: str, plain: bool = False) -> list[str]:
+    """The text's sentences and lines, with masked spellings undone; long ones stay whole. ``plain`` texts are in one form already."""
+    if not plain:
+        text = compatible(text)[0]
+    # signs between two letters are a mask
+    text = _MASKS.sub(lambda m: "" if m.start() and text[m.start() - 1].isalpha() else m[0], text)
+    if _LEET_HINT.search(text):
+        text = _LEET.sub(_unmasked, text)
+    return [p for p in map(str.strip, _PASSAGE.findall(text)) if p]
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed terms of passages and kinds of listed words: passage, feature, value (terms of unit norm, KIND for each kind)."""
     hashes, of, ideograph = tokens(texts)
-    terms, rows = grams_of(hashes, of, ideograph, len(texts), RUNS)
+    terms, rows = grams_of(hashes, of, ideograph, len(texts), RUNS, in_order=False)
     columns = (terms % np.uint64(FEATURES - len(WORDS))).astype(np.int64) + len(WORDS)
-    norm = np.sqrt(np.bincount(rows, minlength=len(texts)))
-    known, kind = _words()
-    at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
-    hit = known[at] == terms
-    pairs = np.unique(rows[hit].astype(np.int64) * len(WORDS) + kind[at[hit]])
-    values = np.concatenate([1 / norm[rows], np.full(len(pairs), KIND)])
+    norm = (1 / np.sqrt(np.maximum(np.bincount(rows, minlength=len(texts)), 1))).astype(np.float32)
+    known, kind, some = _words()
+    maybe = np.flatnonzero(some[(terms & np.uint64(0xFFFF)).astype(np.int64)])
+    at = np.minimum(np.searchsorted(known, terms[maybe]), len(known) - 1)
+    hit = known[at] == terms[maybe]
+    pairs = np.unique(rows[maybe[hit]].astype(np.int64) * len(WORDS) + kind[at[hit]])
+    values = np.concatenate([norm[rows], np.full(len(pairs), KIND, np.float32)])
     return np.concatenate([rows, pairs // len(WORDS)]), np.concatenate([columns, pairs % len(WORDS)]), values
 
 
@@ -97,7 +109,7 @@ class Abuse:
         return np.bincount(rows, values * self.weights[columns], minlength=n) + self.bias
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        parts = [passages(t) for t in texts]
+        parts = [passages(t, not odd) for t, odd in zip(texts, suspicious(texts).tolist())]
         flat = [p for ps in parts for p in ps]
         counts = np.array([len(p) for p in parts])
         out = np.full(len(texts), -30.0)
@@ -172,6 +184,13 @@ def _train(f: tuple, doc: np.ndarray, kind: np.ndarray) -> Abuse:
             prior = float(np.clip(2 * (s[rest] >= np.median(s[chosen])).mean() if rest.any() else PRIORS[1], *PRIORS))
         model = fit_nnpu(f, n, chosen, rest, prior, used)
         s = model.passage_scores(f, n)
+    for _ in range(MORE if prior is not None else 0):
+        more = (of == 2) & (s > SURE)
+        examples = chosen | more | in_toxic & (s > SURE)
+        known = np.union1d(used, np.flatnonzero(np.bincount(columns[examples[rows]], minlength=FEATURES) >= LEAST_TOXIC))
+        grown = float(np.clip(max(prior, 1.5 * more.sum() / max(1, rest.sum())), *PRIORS))
+        model = fit_nnpu(f, n, examples, rest & ~more, grown, known)
+        s = model.passage_scores(f, n)
     return model
 
 
@@ -180,15 +199,16 @@ def fit(toxic: list[str], other: list[str], unlabelled: list[str]) -> Abuse:
 
     First every passage is rated by how much oftener its terms occur in toxic documents than elsewhere. Passages of toxic
     documents above nearly all passages of harmless ones are the confirmed examples, so a wrong verdict gives none; all
-    passages of the other documents are unlabelled. A fit, a second choice by its scores and a second fit follow. The class
-    prior is twice the share of unlabelled passages rated above the examples' median. Scores are posteriors under that prior,
-    held back by the weights' decay; the verdict is VERDICT or more at every size.
+    passages of the other documents are unlabelled. A fit, a second choice by its scores and a second fit follow. Then, MORE
+    times, unlabelled passages that the last fit is SURE of join the examples, whose terms the verdicts may not show. The class
+    prior is twice the share of unlabelled passages rated above the examples' median, or half as much again as have joined.
+    Scores are posteriors under that prior, held back by the weights' decay; the verdict is VERDICT or more at every size.
     """
     if not toxic:
         return Abuse(np.zeros(FEATURES), -30.0)
     texts = [*toxic, *other, *unlabelled]
     kind = np.repeat([1, 0, 2], [len(toxic), len(other), len(unlabelled)])
-    groups = [passages(t) for t in texts]
+    groups = [passages(t, not odd) for t, odd in zip(texts, suspicious(texts).tolist())]
     flat = [p for ps in groups for p in ps]
     doc = np.repeat(np.arange(len(texts)), [len(ps) for ps in groups])
     f = features(flat)
@@ -205,24 +225,25 @@ def scored(docs: DataFrame, labels: DataFrame, keep: Kept, seed: int = 42) -> Da
     """``doc_id, source, score, toxic`` for every document; null and blank texts score 0.
 
     ``docs``: doc_id, source, text; ``labels``: doc_id, toxic (1, 0 or null). The scorer is fitted on the driver on bounded numbers
-    of reviewed and unlabelled documents (FIT_*, least hashes first, so every run takes the same); all documents are scored.
+    of reviewed and unlabelled documents (FIT_*, least hashes first, so every run takes the same; documents of more than FIT_LONGEST
+    characters are no examples); all documents are scored whole.
     Without any toxic verdict every score is 0.
     """
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "source", "text")
     h = F.xxhash64("doc_id", F.lit(seed))
     of = reviewed(labels)
-    toxic = of.where("toxic").select("doc_id", F.lit(1).alias("kind"), h.alias("h")).orderBy("h").limit(FIT_TOXIC)
-    other = of.where("not toxic").select("doc_id", F.lit(0).alias("kind"), h.alias("h")).orderBy("h").limit(FIT_OTHER)
-    free = docs.join(of.select("doc_id"), "doc_id", "left_anti").where(F.length("text") > 0).select("doc_id", F.lit(2).alias("kind"), h.alias("h")).orderBy("h").limit(FIT_UNLABELLED)
-    chosen = keep(toxic.unionByName(other).unionByName(free), "chosen")
-    rows = docs.where(F.length("text") > 0).join(F.broadcast(chosen), "doc_id").select("kind", "h", "text").orderBy("h").toArrow()
+    labelled = docs.where(F.length("text").between(1, FIT_LONGEST)).select("doc_id", F.length("text").alias("n"), h.alias("h")).join(of, "doc_id", "left")
+    kind = F.when(F.col("toxic").isNull(), 2).otherwise(F.col("toxic").cast("int")).alias("kind")
+    some = labelled.select("doc_id", "n", "h", kind)
+    parts = [some.where(F.col("kind") == k).orderBy("h").limit(most) for k, most in ((1, FIT_TOXIC), (0, FIT_OTHER), (2, FIT_UNLABELLED))]
+    few = parts[0].unionByName(parts[1]).unionByName(parts[2])  # at most FIT_TOXIC + FIT_OTHER + FIT_UNLABELLED rows
+    upto = F.sum("n").over(Window.partitionBy("kind").orderBy("h", "doc_id"))
+    chosen = keep(few.withColumn("upto", upto).where(F.col("upto") <= FIT_CHARS).select("doc_id", "kind", "h"), "chosen")
+    rows = docs.where(F.length("text").between(1, FIT_LONGEST)).join(F.broadcast(chosen), "doc_id").select("kind", "h", "text").orderBy("h").toArrow()
     texts: dict[int, list[str]] = {0: [], 1: [], 2: []}
-    size = 0
-    for kind, text in zip(rows["kind"].to_pylist(), rows["text"].to_pylist()):
-        size += len(text)
-        if size <= FIT_CHARS or not texts[kind]:
-            texts[kind].append(text)
+    for k, text in zip(rows["kind"].to_pylist(), rows["text"].to_pylist()):
+        texts[k].append(text)
     model = docs.sparkSession.sparkContext.broadcast(fit(texts[1], texts[0], texts[2]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

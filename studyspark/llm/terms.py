@@ -123,8 +123,10 @@ def grams(texts: list[str], runs: tuple[tuple[str, int], ...]) -> tuple[np.ndarr
     return grams_of(*tokens(texts), len(texts), runs)
 
 
-def grams_of(hashes: np.ndarray, of: np.ndarray, ideograph: np.ndarray, n: int, runs: tuple[tuple[str, int], ...]) -> tuple[np.ndarray, np.ndarray]:
-    """The same from the tokens of ``n`` texts."""
+def grams_of(
+    hashes: np.ndarray, of: np.ndarray, ideograph: np.ndarray, n: int, runs: tuple[tuple[str, int], ...], in_order: bool = True
+) -> tuple[np.ndarray, np.ndarray]:
+    """The same from the tokens of ``n`` texts; unless ``in_order``, by kind of run."""
     parts = [_runs(hashes, of, ideograph, length, kind) for kind, length in runs]
     terms, docs = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     has = np.zeros(n, bool)
@@ -133,6 +135,8 @@ def grams_of(hashes: np.ndarray, of: np.ndarray, ideograph: np.ndarray, n: int,
     if len(lacking):
         all_of = whole(hashes, of, n)
         terms, docs = np.concatenate([terms, all_of[lacking]]), np.concatenate([docs, lacking.astype(np.int32)])
+    if not in_order:
+        return terms, docs
     order = np.argsort(docs, kind="stable")  # a merge of runs that are already in order
     return terms[order], docs[order]
 
