@@ -27,8 +27,8 @@ GAP = 2
 SHARE, LEAST_TOKENS = 0.34, 4
 #: Items whose pairs of words and triples of ideographs agree to this Jaccard similarity are versions of one item, a family.
 VERSION, VERSION_RUNS = 0.5, (("words", 2), ("ideographs", 3))
-#: Tokens in a hit's window; bits a seed has in the map that documents are searched by, and bounds of the map's size.
-_WIDE, _BITS_A_SEED, _LEAST_BITS, _MOST_BITS = max(map(len, IDEOGRAPH_SEEDS)) + 2 * GAP, 16, 20, 28
+#: Tokens in a hit's window; bits for each seed, of which it sets two, in the map that documents are searched by, and bounds of its size.
+_WIDE, _BITS_A_SEED, _LEAST_BITS, _MOST_BITS = max(map(len, IDEOGRAPH_SEEDS)) + 2 * GAP, 64, 20, 29
 
 
 def seed_hashes(hashes: np.ndarray, of: np.ndarray, ideograph: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,14 +142,16 @@ def hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     n = seeds.count()
     bits = min(_MOST_BITS, max(_LEAST_BITS, math.ceil(math.log2(_BITS_A_SEED * max(n, 1)))))
     low = np.uint64((1 << bits) - 1)
-    known = docs.sparkSession.sparkContext.broadcast(bit_map(seeds, F.col("seed").bitwiseAND(F.lit(int(low))), bits))
+    two = [F.col("seed").bitwiseAND(F.lit(int(low))), F.shiftright("seed", 32).bitwiseAND(F.lit(int(low)))]
+    known = docs.sparkSession.sparkContext.broadcast(bit_map(seeds.select(F.explode(F.array(*two)).alias("place")), F.col("place"), bits))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
             hashes, of, ideograph = tokens(texts)
             found, at, spans = seed_hashes(hashes, of, ideograph)
-            maybe = in_map(known.value, (found & low).astype(np.int64))
-            found, at, spans = found[maybe], at[maybe], spans[maybe]
+            for shift in (0, 32):  # both of a seed's bits must be set
+                maybe = in_map(known.value, (found >> np.uint64(shift) & low).astype(np.int64))
+                found, at, spans = found[maybe], at[maybe], spans[maybe]
             ids = part.column("doc_id").take(pa.array(of[at], pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), ids, _lists(windows(hashes, of, at, spans))], ["seed", "doc_id", "window"])
 
