@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
@@ -55,20 +56,102 @@ def fit(items: DataFrame, budget: int) -> DataFrame:
     return ordered.mapInPandas(fold, "grp string, ord bigint, tokens int, kept boolean, used bigint")
 
 
-def assemble(header: str, rules: str, skills: list[tuple[str, str]], memory: str, budget: int | None, estimate) -> tuple[str, list[str], bool]:
-    """Prompt text, kept skills, and whether anything was left out. Header and rules always stay; memory comes last and if it fits."""
-    parts, used = [header, rules], estimate(header + rules)
-    kept, short = [], False
-    for name, body in skills:
-        cost = estimate(body)
-        if budget is None or used + cost + estimate(memory) <= budget:
-            parts.append(body)
-            kept.append(name)
-            used += cost
+def fitting(items: DataFrame, budget: int, keep: Callable[[DataFrame, str], DataFrame], at_once: int = 4096) -> DataFrame:
+    """``grp, ord, tokens, used``: the items that ``fit`` keeps, without any group in one task.
+
+    In each round only items that still fit come into question, and of these the first ``at_once`` of each group, which a limited
+    window finds task by task before its shuffle. They are folded; then comes what lies behind them and fits what is left. The
+    first item of a round always fits, so rounds end, and a group takes part only until nothing more fits.
+    """
+
+    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        left, kept, used = int(rows["left"].iloc[0]), [], []
+        rows = rows.sort_values(["ord", "tokens"])
+        for t in rows["tokens"].tolist():
+            fits = t <= left
+            left -= t if fits else 0
+            kept.append(fits)
+            used.append(budget - left)
+        return rows.assign(kept=kept, used=used)[["grp", "ord", "tokens", "kept", "used"]]
+
+    rows = items.dropna(subset=["grp", "ord"]).select("grp", "ord", F.coalesce("tokens", F.lit(1)).cast("int").alias("tokens"))
+    state = None
+    out = rows.limit(0).withColumn("used", F.lit(None).cast("bigint"))
+    order = Window.partitionBy("grp").orderBy("ord", "tokens")
+    while True:
+        if state is None:
+            open_ = rows.where(F.col("tokens") <= budget).withColumn("left", F.lit(budget).cast("bigint"))
+        else:
+            open_ = rows.join(state, "grp").where((F.col("ord") > F.col("last")) & (F.col("tokens") <= F.col("left"))).drop("last")
+        first = open_.withColumn("r", F.row_number().over(order)).where(F.col("r") <= at_once).drop("r")
+        done = keep(first.groupBy("grp").applyInPandas(fold, "grp string, ord bigint, tokens int, kept boolean, used bigint"), "round")
+        if done.isEmpty():
+            return out
+        out = out.unionByName(done.where("kept").drop("kept"))
+        state = done.groupBy("grp").agg((F.lit(budget) - F.max("used")).cast("bigint").alias("left"), F.max("ord").alias("last"))
+
+
+@dataclass(frozen=True)
+class Target:
+    """A form that a prompt is made for: how it is called, the file it goes to, and whether it can read local files."""
+
+    name: str
+    label: str
+    file: str
+    files: bool = True
+
+
+#: Forms by name; others are given by the caller.
+TARGETS = {"generic": Target("generic", "Generic Agent", "agent-system-prompt.md")}
+
+
+def target(name: str, targets: dict[str, Target] | None = None) -> Target:
+    """The form of that name, whatever its case and outer blanks; an unknown one raises."""
+    known = TARGETS if targets is None else targets
+    found = known.get(name.strip().lower())
+    if found is None:
+        raise ValueError(f"unknown target {name!r}; known: {', '.join(sorted(known))}")
+    return found
+
+
+def header(form: Target) -> str:
+    note = "Use local files as memory where there are any." if form.files else "There is no local memory; what is to be remembered must be given."
+    return f"# Compiled prompt\n\nTarget: {form.label}\n\n- Load this as the system instruction.\n- Keep the sections apart.\n- {note}\n"
+
+
+def _text_tokens(text: str) -> int:
+    plain = sum(c < "\x80" for c in text)
+    return max(1, int(plain / 4 + (len(text) - plain) / 1.7))
+
+
+RULE = "\n\n---\n\n"
+
+
+def assemble(form: Target, rules: str, skills: list[tuple[str, str]], memory: str = "", budget: int | None = None) -> tuple[str, list[str], bool]:
+    """Prompt text, kept skills, and whether anything was left out.
+
+    Header and rules always stay. If the whole doesn't fit, skills come in order, each if the whole candidate with it and the
+    memory section still fits by its estimate; the memory comes last and if the whole with it fits.
+    """
+
+    def put(parts: list[str]) -> str:
+        return "".join(parts).strip() + "\n"
+
+    first = [header(form), RULE + "# Global Rules\n\n", rules.strip()]
+    sections = [(n, f"{RULE}# Skill: {n}\n\n{b.strip()}\n") for n, b in skills]
+    last = [f"{RULE}# Memory Strategy\n\n{memory.strip()}\n"] if memory else []
+    whole = put([*first, *(b for _, b in sections), *last])
+    if not budget or _text_tokens(whole) <= budget:
+        return whole, [n for n, _ in skills], False
+    parts, kept = list(first), []
+    for n, b in sections:
+        if _text_tokens(put([*parts, b, *last])) <= budget:
+            parts.append(b)
+            kept.append(n)
+    short = len(kept) < len(skills)
+    if last:
+        if _text_tokens(put(parts + last)) <= budget:
+            parts += last
         else:
             short = True
-    if memory and (budget is None or used + estimate(memory) <= budget):
-        parts.append(memory)
-    elif memory:
-        short = True
-    return "\n\n".join(p for p in parts if p), kept, short
+    return put(parts), kept, short

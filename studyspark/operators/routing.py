@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,29 +44,39 @@ def _result(skill: Column | str, confidence: float, rules: Column) -> Column:
     return F.struct(s.alias("skill"), F.lit(confidence).alias("confidence"), rules.alias("matched_rules"))
 
 
+def _when_hit(rule: Rule) -> Callable[[Column], Column]:
+    return lambda h: F.when(F.size(h) > 0, _result(rule.skill, rule.confidence, h))
+
+
 def routed(t: Column, stripped: Column, rules: list[Rule] = RULES) -> Column:
     """struct(skill, confidence, matched_rules): the first rule that hits.
 
     ``t`` is the normalized text and ``stripped`` the text without outer white space; both should be columns, since every rule
     looks at them. Empty text, explicit skill names and single English words come before the list of rules; without any hit the
-    default skill gets a low confidence.
+    default skill gets a low confidence. Each rule's hits are found once, and only if no rule before it has hit.
     """
     first = F.coalesce(*(F.when(F.contains(t, F.lit(s)), F.lit(s)) for s in V.SKILLS))
     single = F.when(stripped.rlike(T.java(SINGLE_WORD)), F.lit("word:single-english-word"))
     comparison = F.when(t.rlike(T.java(V.COMPARISON_PATTERN, ignore_case=True)), F.lit("word:english-word-comparison"))
     words = F.concat(T.tagged("word", T.found_literals(t, V.WORD_PHRASES)), F.array_compact(F.array(single, comparison)))
-    out = F.when(t == "", _result(V.DEFAULT_SKILL, 0.2, F.array(F.lit("empty:fallback"))))
-    out = out.when(first.isNotNull(), _result(first, 1.0, F.array(F.concat(F.lit("explicit:"), first))))
-    out = out.when(F.size(words) > 0, _result("word-deep-dive", 0.95, words))
+
+    def bound(value: Column, result: Callable[[Column], Column]) -> Column:
+        return F.get(F.transform(F.array(value), result), F.lit(0))
+
+    steps = [
+        F.when(t == "", _result(V.DEFAULT_SKILL, 0.2, F.array(F.lit("empty:fallback")))),
+        bound(first, lambda s: F.when(s.isNotNull(), _result(s, 1.0, F.array(F.concat(F.lit("explicit:"), s))))),
+        bound(words, lambda h: F.when(F.size(h) > 0, _result("word-deep-dive", 0.95, h))),
+    ]
     for rule in rules:
         hits = T.tagged(rule.tag, T.found_literals(t, rule.phrases))
         if rule.patterns:
             hits = F.concat(hits, T.tagged(rule.pattern_tag, T.found_patterns(t, rule.patterns)))
-        hit = F.size(hits) > 0
         if rule.vetoes:
-            hit = hit & (F.size(T.found_literals(t, rule.vetoes)) == 0)
-        out = out.when(hit, _result(rule.skill, rule.confidence, hits))
-    return out.otherwise(_result(V.DEFAULT_SKILL, 0.4, F.array(F.lit("fallback:" + V.DEFAULT_SKILL))))
+            vetoed = reduce(lambda a, b: a | b, [F.contains(t, F.lit(v)) for v in rule.vetoes])
+            hits = F.when(~vetoed, hits).otherwise(F.array().cast("array<string>"))
+        steps.append(bound(hits, _when_hit(rule)))
+    return F.coalesce(*steps, _result(V.DEFAULT_SKILL, 0.4, F.array(F.lit("fallback:" + V.DEFAULT_SKILL))))
 
 
 def route(df: DataFrame, text: str = "text", rules: list[Rule] = RULES) -> DataFrame:

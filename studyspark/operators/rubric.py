@@ -11,7 +11,6 @@ from ..functions import text as T
 from ..functions import vocabulary as V
 from ..plans.shared import code
 
-DIMENSIONS = {r: [tuple(d.split("=")) for d in dims.split(", ")] for r, dims in V.RUBRICS.items()}
 LINE_ENDS = r"\r\n|[\n-\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 
 
@@ -121,20 +120,34 @@ def scorers(text: Column, rows: Column, stripped: Column) -> dict[str, Column]:
     return out
 
 
-def score(df: DataFrame, text: str = "text", rubric: str = "rubric", baseline: str | None = None) -> DataFrame:
-    """``df`` with ``used_rubric``, ``scores`` (array of dimension and score), ``total``, ``p0_passed``, ``style_passed`` and ``passed``.
-
-    Rows with null or blank text or an unknown rubric have null scores and have not passed. Only the dimensions of a row's own
-    rubric are computed.
-    """
-    usable = F.when(T.stripped(F.col(text)) != "", F.col(text))
+def score(
+    df: DataFrame, text: str = "text", rubric: str | None = "rubric", baseline: str | None = None, inline: bool = False,
+    allow_inline_baseline: bool = False, allow_stop: bool = False, strict: bool = False,
+) -> DataFrame:
+    """``df`` with ``used_rubric``, ``scores`` (array of dimension and score), ``total``, ``max_score``, ``p0_passed``, ``style_passed`` and ``passed``.
+
+    Rows with null or blank text or an unknown rubric have null scores and have not passed; with ``strict`` they raise. Only the
+    dimensions of a row's own rubric are computed. With ``inline`` a row without a value in ``rubric`` is scored by the rubric that
+    a marker comment in its text's first lines names. Such a marker makes a row a baseline only with ``allow_inline_baseline``, and a
+    stop marker ends what is scored only with ``allow_stop``, so that no text exempts itself.
+    """
+    said = T.stripped(F.col(text)) != ""
+    usable = F.when(said, scorable(F.col(text)) if allow_stop else F.col(text))
+    if strict:
+        usable = F.when(F.coalesce(said, F.lit(False)), usable).otherwise(F.raise_error(F.lit("the text must not be blank")))
     by = scorers(F.col("__text"), F.col("__rows"), F.col("__s"))
     arrays = F.lit(None).cast("array<struct<dimension:string,score:int>>")
     cases = None
-    for name, dims in DIMENSIONS.items():
+    for name, dims in V.RUBRICS.items():
         these = F.array(*(F.struct(F.lit(d).alias("dimension"), by[s].cast("int").alias("score")) for d, s in dims))
         cases = F.when(F.col("used_rubric") == name, these) if cases is None else cases.when(F.col("used_rubric") == name, these)
-    out = df.withColumns({"used_rubric": rubric_name(rubric), "__text": usable})
+    given = F.col(rubric).cast("string") if rubric is not None else F.lit(None).cast("string")
+    marks = file_rubric(F.col(text))
+    asked = df.withColumn("__asked", F.coalesce(given, marks["rubric"]) if inline else given)
+    used = rubric_name("__asked")
+    if strict:
+        used = F.coalesce(used, F.raise_error(F.concat(F.lit("unknown rubric: "), F.col("__asked"))))
+    out = asked.withColumns({"used_rubric": used, "__text": usable}).drop("__asked")
     out = out.withColumns({"__rows": misconception_rows(F.col("__text")), "__s": T.stripped(F.col("__text"))})
     out = out.withColumn("scores", F.when(F.col("__text").isNotNull(), F.coalesce(cases, arrays))).drop("__text", "__rows", "__s")
 
@@ -143,14 +156,46 @@ def score(df: DataFrame, text: str = "text", rubric: str = "rubric", baseline: s
         return F.coalesce(F.get(hit, F.lit(0))["score"], F.lit(0))
 
     total = F.aggregate("scores", F.lit(0), lambda a, x: a + x["score"])
-    out = out.withColumns({"total": total, "p0_passed": of("常见误区", "关键误区") == 2, "style_passed": of("避免空泛") == 2})
+    out = out.withColumns({"total": total, "max_score": 2 * F.size("scores"), "p0_passed": of("常见误区", "关键误区") == 2, "style_passed": of("避免空泛") == 2})
     passed = (F.col("total") >= V.PASS_SCORE) & F.col("p0_passed") & F.col("style_passed")
     judged = {"passed": F.coalesce(passed, F.lit(False))}
-    if baseline is not None:
-        judged["is_baseline"] = F.coalesce(F.col(baseline), F.lit(False))
+    own = F.lit(False)
+    if inline and allow_inline_baseline:
+        own = F.coalesce(marks["baseline"], F.lit(False))
+    if baseline is not None or inline:
+        judged["is_baseline"] = F.coalesce(F.col(baseline), own) if baseline is not None else own
     return out.withColumns(judged)
 
 
+def markdown_report(results: DataFrame, label: str, most: int = 10_000) -> str:
+    """A Markdown report of scored cases (with ``is_baseline``): the summary and a row a case, in order of label.
+
+    A report is read by people; more than ``most`` cases raise, rather than being left out.
+    """
+    s = summarize(results).first()
+    rows = results.select(F.col(label).cast("string").alias("label"), "used_rubric", "total", "max_score", "passed", "is_baseline").orderBy("label").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} cases are too many for a report")
+    head = [
+        "# Eval report", "", f"- Cases: {s['total']}", f"- Judged: {s['judged']}", f"- Baselines: {s['baseline']}", f"- Passed: {s['passed']}/{s['judged']}",
+        f"- Mean score: {s['average_score']:.1f}/{s['max_score']}", "", "| Case | Rubric | Score | Status |", "|---|---|---:|---|",
+    ]
+    state = {(True, True): "BASELINE", (True, False): "BASELINE", (False, True): "PASS", (False, False): "FAIL"}
+    return "\n".join([*head, *(f"| {r['label']} | {r['used_rubric']} | {r['total']}/{r['max_score']} | {state[bool(r['is_baseline']), bool(r['passed'])]} |" for r in rows)])
+
+
+def text_lines(results: DataFrame, label: str, dimensions: bool = True) -> DataFrame:
+    """``label, line``: each case in lines for a terminal: name and rubric, a bar of half the maximum with the score, the dimensions."""
+    status = F.when(F.col("is_baseline"), "BASELINE").when(F.col("passed"), "PASS").otherwise("FAIL")
+    width = F.floor(F.col("max_score") / 2).cast("int")
+    filled = F.floor(width * F.col("total") / F.col("max_score")).cast("int")
+    head = F.concat(F.col(label).cast("string"), F.lit(" ["), F.col("used_rubric"), F.lit("]"))
+    bar = F.concat(F.lit("  "), F.repeat(F.lit("█"), filled), F.repeat(F.lit("░"), width - filled), F.lit(" "), status, F.lit("  "), F.concat_ws("/", F.col("total").cast("string"), F.col("max_score").cast("string")))
+    each = F.transform("scores", lambda x: F.concat(F.lit("  "), x["dimension"], F.lit(" "), x["score"].cast("string"), F.lit("/2")))
+    lines = F.concat(F.array(head, bar), each) if dimensions else F.array(head, bar)
+    return results.where("scores is not null").select(F.col(label).cast("string").alias("label"), F.posexplode(lines).alias("n", "line")).orderBy("label", "n").select("label", "line")
+
+
 def summarize(results: DataFrame) -> DataFrame:
     """One row over scored cases with ``is_baseline``: counts, share passed and mean total of the judged ones (0.0 without any)."""
     judged = ~F.col("is_baseline")

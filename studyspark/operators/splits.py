@@ -47,15 +47,17 @@ def stratified(df: DataFrame, key: str, label: str, test_size: float = 0.2, seed
 def group_candidates(df: DataFrame, group: str, label: str, test_size: float = 0.2, seed: int = 42, candidates: int = 128) -> DataFrame:
     """``candidate, score, test_groups``: for each candidate shuffle of the groups how far test shares are off, over all rows and labels.
 
-    Candidates that leave a label out of either side are not listed. Rows are first counted by group and label; only these
-    counts meet the candidates.
+    Candidates that leave a label out of either side are not listed. Rows are first counted by group and label. A group meets all
+    candidates where it lies; what is shuffled are counts by candidate and range of hashes, then by candidate and label, and the
+    groups of the one range that holds a candidate's cut.
     """
     counts = df.dropna(subset=[group, label]).groupBy(F.col(group).alias("g"), F.col(label).alias("l")).agg(F.count("*").alias("n"))
-    groups = counts.select("g").distinct()
-    spread = groups.crossJoin(F.broadcast(df.sparkSession.range(candidates).select(F.col("id").alias("candidate"))))
+    groups = counts.groupBy("g").agg(F.collect_list(F.struct("l", "n")).alias("labels"))
+    spread = groups.withColumn("candidate", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(candidates - 1).cast("bigint"))))
     spread = spread.withColumn("h", _rank_hash(seed, F.col("candidate").cast("string"), F.col("g")))
-    test = first_share(spread, ["candidate"], "h", "g", test_size).select("candidate", "g", F.col("first").alias("test"))
-    by_label = test.join(counts, "g").groupBy("candidate", "l").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("test"), F.col("n")).otherwise(0)).alias("t"))
+    test = first_share(spread, ["candidate"], "h", "g", test_size).withColumn("test", F.col("first"))
+    each = test.select("candidate", "test", F.explode("labels").alias("x")).select("candidate", "test", F.col("x.l").alias("l"), F.col("x.n").alias("n"))
+    by_label = each.groupBy("candidate", "l").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("test"), F.col("n")).otherwise(0)).alias("t"))
     scores = by_label.groupBy("candidate").agg(
         F.abs(F.sum("t") / F.sum("n") - test_size).alias("all_off"), F.avg(F.abs(F.col("t") / F.col("n") - test_size)).alias("label_off"),
         F.min(F.least("t", F.col("n") - F.col("t"))).alias("least"),

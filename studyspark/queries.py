@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import vocabulary as V
-from .operators import budget, dataset, diagnosis, documents, linear, metrics, routing, rubric, scheduler, splits, tfidf
-from .plans.shared import code, first_by_key, table
+from .operators import budget, dataset, diagnosis, documents, generator, linear, metrics, router, routing, rubric, scheduler, splits, tfidf
+from .plans.shared import Kept, code, first_by_key, table
 from .sql import oracle
 
 TODAY = oracle.TODAY
@@ -24,18 +25,21 @@ def _routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_by_key(table(spark, sf_dir, "routing_cases").select("case_id", "text", "skill", "category", "split", "source"), "case_id")
 
 
-def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.route(_routing(spark, sf_dir)).withColumn("expected", code("skill"))
+def _routed(spark: SparkSession, sf_dir: str, *columns) -> DataFrame:
+    """Requests with their route, each key once: texts are routed where they lie, and only ``columns`` of the result are shuffled."""
+    rows = table(spark, sf_dir, "routing_cases").select("case_id", "text", "skill", "source")
+    routed = routing.route(rows).withColumn("expected", code("skill"))
+    return first_by_key(routed.select("case_id", *(columns or ("predicted", "expected", "source"))), "case_id")
 
 
 def route_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each request's skill, confidence and the rules that matched."""
-    return _routed(spark, sf_dir).select("case_id", "predicted", "confidence", F.array_join("matched_rules", "|").alias("matched_rules"))
+    return _routed(spark, sf_dir, "predicted", "confidence", F.array_join("matched_rules", "|").alias("matched_rules"))
 
 
 def route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests by skill."""
-    return _routed(spark, sf_dir).groupBy("predicted").agg(F.count("*").alias("n"))
+    return _routed(spark, sf_dir, "predicted").groupBy("predicted").agg(F.count("*").alias("n"))
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,27 +75,29 @@ def route_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("place", "expected", F.array_join("row", ",").alias("row"))
 
 
-def _diagnosed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = first_by_key(table(spark, sf_dir, "diagnosis_cases").select("case_id", "text", "label"), "case_id")
-    return diagnosis.diagnose(rows).withColumn("expected", F.replace(code("label"), F.lit("-"), F.lit("_")))
+def _diagnosed(spark: SparkSession, sf_dir: str, *columns) -> DataFrame:
+    rows = diagnosis.diagnose(table(spark, sf_dir, "diagnosis_cases").select("case_id", "text", "label"))
+    rows = rows.withColumn("expected", F.replace(code("label"), F.lit("-"), F.lit("_")))
+    return first_by_key(rows.select("case_id", *columns), "case_id")
 
 
 def diagnose_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each statement's label, confidence, evidence and secondary labels."""
-    return _diagnosed(spark, sf_dir).select(
-        "case_id", "predicted", "name", "confidence", F.array_join("evidence", " ; ").alias("evidence"), F.array_join("secondary", ",").alias("secondary")
+    return _diagnosed(
+        spark, sf_dir, "predicted", "name", "confidence", F.array_join("evidence", " ; ").alias("evidence"), F.array_join("secondary", ",").alias("secondary")
     )
 
 
 def diagnose_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = _diagnosed(spark, sf_dir).where(F.col("expected").isin(list(V.DIAGNOSES)))
+    judged = _diagnosed(spark, sf_dir, "predicted", "expected").where(F.col("expected").isin(list(V.DIAGNOSES)))
     return metrics.accuracy(judged).withColumn("accuracy", _six(F.col("accuracy")))
 
 
 def _smoke(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored answers; blank ones and those of unknown rubrics have no score and are left out before they are scored."""
-    rows = first_by_key(table(spark, sf_dir, "smoke").select("case_no", "rubric", "text", "baseline"), "case_no")
-    return rubric.score(rows.where((T.stripped(F.col("text")) != "") & rubric.rubric_name("rubric").isNotNull()), baseline="baseline")
+    rows = table(spark, sf_dir, "smoke").select("case_no", "rubric", "text", "baseline")
+    scored = rubric.score(rows.where((T.stripped(F.col("text")) != "") & rubric.rubric_name("rubric").isNotNull()), baseline="baseline")
+    return first_by_key(scored.drop("text", "rubric", "baseline"), "case_no")
 
 
 def rubric_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,8 +121,17 @@ def rubric_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def md_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct substantive rows of each answer's best misconception table."""
-    rows = first_by_key(table(spark, sf_dir, "smoke").select("case_no", "text"), "case_no").where("text is not null")
-    return rows.select("case_no", rubric.misconception_rows(F.col("text")).alias("n"))
+    rows = table(spark, sf_dir, "smoke").select("case_no", "text").where("text is not null")
+    return first_by_key(rows.select("case_no", rubric.misconception_rows(F.col("text")).alias("n")), "case_no")
+
+
+def inline_rubric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers whose rubric stands in a marker within the text and which a stop marker ends; what follows it doesn't count."""
+    rows = table(spark, sf_dir, "smoke").where((T.stripped(F.col("text")) != "") & F.coalesce(F.trim("rubric"), F.lit("")).rlike("^[A-Za-z][A-Za-z0-9_-]*$"))
+    marker = F.concat(F.lit("<!-- rubric: "), F.trim("rubric"), F.lit(" -->\n"), F.when(F.col("baseline"), "<!-- rubric: baseline -->\n").otherwise(""))
+    told = rows.select("case_no", F.concat(marker, F.col("text"), F.lit(oracle.AFTER_STOP)).alias("text"))
+    scored = rubric.score(told, rubric=None, inline=True, allow_inline_baseline=True, allow_stop=True).where("used_rubric is not null")
+    return first_by_key(scored.select("case_no", "used_rubric", "is_baseline", "total", "max_score", "passed"), "case_no")
 
 
 def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +141,7 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def budget_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of each source that fit 20,000 estimated tokens, in order, passing over what doesn't fit."""
     items = table(spark, sf_dir, "documents").select(F.col("source").alias("grp"), F.col("doc_id").alias("ord"), budget.estimated_tokens(F.col("text")).alias("tokens"))
-    return budget.fit(items, 20_000).where("kept").select("grp", "ord", "tokens", "used")
+    return budget.fitting(items, 20_000, Kept(spark))
 
 
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,6 +164,51 @@ def dataset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.profile(_routing(spark, sf_dir), "skill", "category", "source")
 
 
+def generator_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated requests by label, category, source and diagnosis: from topics, and from the words, passages and requests of other tables."""
+    topics = first_by_key(table(spark, sf_dir, "topics").select(F.col("topic_id").alias("place"), *generator.FIELDS[1:], "difficulty"), "place")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("place"), F.col("p_name").alias("word"), F.col("p_type").alias("other"))
+    passages = table(spark, sf_dir, "heldout_items").select(F.col("item_id").alias("place"), "text")
+    others = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("place"), F.col("n_name").alias("text"))
+    return dataset.profile(generator.records(topics, parts, passages, others), "label", "category", "source", "diagnosis")
+
+
+def request_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that the learned router would refuse, and why; others stay out."""
+    rows = table(spark, sf_dir, "routing_cases").select("case_id", "text")
+    return first_by_key(router.quarantined(rows)[1].select("case_id", "problem"), "case_id")
+
+
+def router_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out statements classified by an exported model: idf of the training rows' n-grams, coefficients the labels' mean vectors.
+
+    The model is written, read again and validated before it scores; held-out texts have n-grams that it doesn't know.
+    """
+    keep = Kept(spark)
+    label = F.replace(code("label"), F.lit("-"), F.lit("_"))
+    rows = first_by_key(table(spark, sf_dir, "diagnosis_cases").select("case_id", "text", label.alias("label"), F.lower(F.trim("split")).alias("split")), "case_id")
+    rows = keep(rows.where((T.stripped(F.col("text")) != "") & F.col("label").isin(list(V.DIAGNOSES))), "rows")
+    ours = rows.where("split = 'train'")
+    n = ours.count()
+    common = F.col("df") >= F.greatest(F.lit(5), F.ceil(F.lit(n) / 200))
+    idf = keep(tfidf.vocabulary(tfidf.inverse_frequencies(tfidf.term_counts(ours, "case_id"), n).where(common)), "idf")
+    weights = tfidf.document_weights(ours, "case_id", idf)
+    means = weights.join(ours.select("case_id", "label"), "case_id").groupBy("gram", "label").agg(F.sum("w").alias("s"))
+    sizes = {r["label"]: r["count"] for r in ours.groupBy("label").count().collect()}
+    labels = sorted(sizes)
+    table_ = means.join(idf, "gram").groupBy("gram", "idx", "idf").agg(F.array(*(F.coalesce(F.sum(F.when(F.col("label") == x, F.col("s"))), F.lit(0.0)) for x in labels)).alias("sums"))
+    grams = table_.orderBy("idx").collect()
+    columns = [[r["sums"][k] / sizes[x] for r in grams] for k, x in enumerate(labels)]
+    model = linear.payload({r["gram"]: i for i, r in enumerate(grams)}, [r["idf"] for r in grams], labels, columns, [0.0] * len(labels), {})
+    if linear.problems(model, labels):  # too few rows for a model
+        return spark.createDataFrame([], "case_id bigint, skill string, confidence double")
+    with tempfile.TemporaryDirectory() as folder:
+        linear.save(model, f"{folder}/model.json.gz", labels)
+        model = linear.load(f"{folder}/model.json.gz", labels)
+    found = router.predictions(rows.where("split in ('validation', 'test')").select("case_id", "text"), model, "case_id")
+    return found.select("case_id", "skill", _six(F.col("confidence")).alias("confidence"))
+
+
 def dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first request of each text."""
     return dataset.first_of_each(_routing(spark, sf_dir), [F.col("case_id")]).select("case_id")
@@ -189,12 +249,12 @@ def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far each of 32 candidate hold-outs of whole topics is off."""
-    return splits.group_candidates(_topics(spark, sf_dir), "topic", "label", candidates=32)
+    """How far each of 128 candidate hold-outs of whole topics is off."""
+    return splits.group_candidates(_topics(spark, sf_dir), "topic", "label")
 
 
 def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.grouped(_topics(spark, sf_dir), "topic_id", "topic", "label", candidates=32).select("topic_id", "split")
+    return splits.grouped(_topics(spark, sf_dir), "topic_id", "topic", "label").select("topic_id", "split")
 
 
 def leakage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +288,8 @@ def idf_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tfidf_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each statement's greatest weight and sum of weights."""
     rows, counts = _counts(spark, sf_dir)
-    w = tfidf.weights(counts, tfidf.inverse_frequencies(counts, rows.count()), "case_id")
+    idf = Kept(spark)(tfidf.inverse_frequencies(counts, rows.count()), "idf")
+    w = tfidf.document_weights(rows, "case_id", idf)
     return w.groupBy("case_id").agg(_six(F.max("w")).alias("most"), _six(F.sum("w")).alias("total"))
 
 
@@ -294,9 +355,10 @@ def basic_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_contract_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with front matter made of their kind and subject, and what breaks the contract."""
+    """Documents with front matter made of their kind and subject, a good table, a broken one or none, and what breaks the contract."""
     d = table(spark, sf_dir, "documents")
-    front = F.concat(F.lit("---\nname: "), F.coalesce("kind", F.lit("")), F.lit("\ndescription: "), F.coalesce("subject", F.lit("")), F.lit("\n---\n"), F.coalesce("text", F.lit("")))
+    rows_ = F.when(F.col("doc_id") % 3 == 0, oracle.GOOD_TABLE).when(F.col("doc_id") % 3 == 1, oracle.BAD_TABLE).otherwise("")
+    front = F.concat(F.lit("---\nname: "), F.coalesce("kind", F.lit("")), F.lit("\ndescription: "), F.coalesce("subject", F.lit("")), F.lit("\n---\n"), F.coalesce("text", F.lit("")), rows_)
     out = documents.errors(d.select("doc_id", front.alias("text"), F.replace(F.coalesce("kind", F.lit("")), F.lit("_"), F.lit("-")).alias("name")))
     return out.select("doc_id", F.array_join("errors", "; ").alias("errors"))
 
@@ -306,7 +368,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         route_cascade, route_counts, route_accuracy, route_confusion, route_class_report, route_averages, route_slice, route_matrix,
         diagnose_rank, diagnose_accuracy, rubric_scores, rubric_gate, suite_summary, rubric_breakdown, md_table_rows, token_estimate,
-        budget_greedy, subject_summary, subject_filter, dataset_profile, dedup_first_wins, record_keys, repeated_ids, label_set,
+        budget_greedy, inline_rubric, generator_profile, request_check, router_scores, subject_summary, subject_filter, dataset_profile, dedup_first_wins, record_keys, repeated_ids, label_set,
         template_expand, stratified_split, group_candidates, group_split, leakage_report, holdout_replay, ngram_counts, idf_profile,
         tfidf_norms, linear_softmax, sm2_fold, sched_scores, due_queue, weakest_items, mastery_stats, review_step, basic_interval,
         doc_contract_errors,

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``path, line, value`` of every line that isn't blank, with its number from 1; files are read whole, since numbers count from their start."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    split = files.select("path", F.posexplode(F.split("value", "\n", -1)).alias("line", "value"))
-    return split.where(F.trim("value").rlike(r"(?U)\S")).select("path", (F.col("line") + 1).alias("line"), "value")
+    """``path, line, value`` of every line that isn't blank, with its number from 1.
+
+    Files are read in blocks, so a file of any size is spread over tasks. Lines are numbered within their block; the blocks' counts
+    (a row a block) are added up in each file's order.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    rows = raw.withColumn("at", F.monotonically_increasing_id())
+    blocks = rows.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")
+    starts = blocks.select(F.col("path").alias("p"), F.col("block").alias("b"), (before - F.col("first") + 1).alias("start"))
+    joined = rows.join(starts, (F.col("path") == F.col("p")) & (F.col("block") == F.col("b")))
+    return joined.where(F.trim("value").rlike(r"(?U)\S")).select("path", (F.col("at") + F.col("start")).cast("int").alias("line"), "value")
 
 
 def checked(spark: SparkSession, path: str, schema: T.StructType, required: list[str], allowed: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -63,7 +71,7 @@ def documents(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFram
 
 
 def files_per_directory(spark: SparkSession, path: str, pattern: str = "*.{json,md}") -> DataFrame:
-    """``directory, files``: files by the name of their directory, README files left out; only the listing is read."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path")
+    """``directory, files``: files lying in each directory of ``path`` itself, README.md left out; only the listing is read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path.rstrip("/") + "/*").select("path")
     part = F.split("path", "/")
-    return found.where(~F.upper(F.element_at(part, -1)).startswith("README")).groupBy(F.element_at(part, -2).alias("directory")).agg(F.count("*").alias("files"))
+    return found.where(F.element_at(part, -1) != "README.md").groupBy(F.element_at(part, -2).alias("directory")).agg(F.count("*").alias("files"))

@@ -5,13 +5,20 @@ from __future__ import annotations
 from ..functions import vocabulary as V
 from ..functions.text import SPACE
 from ..functions.text import sql_literal as q
+from ..operators import generator as G
+from ..operators.documents import LEAST_ROWS_SAID, TABLE_HEADER, TABLE_RULE
 from ..operators.routing import RULES, SINGLE_WORD
-from ..operators.rubric import DIMENSIONS, LINE_ENDS
+from ..operators.rubric import LINE_ENDS
 
 TODAY = "2024-02-01"
 TEMPLATES = [("什么是{topic}？能从{simple}讲起吗？", "zero"), ("{topic}这题怎么做？", "problem"), ("我总是{mistake}，{topic}错在哪？", "mistake")]
 
 
+AFTER_STOP = "\n<!-- eval:stop -->\n总结：例如，为什么？诊断卡点；显然，加油"
+GOOD_TABLE = "\n常见误区，至少 2 条\n| 常见错误 | 为什么错 | 正确理解 |\n|---|:---:|---|\n| a | b | c |\n| d | e | f |\n"
+BAD_TABLE = "\n常见误区\n| 常见错误 | 为什么错 | 正确理解 |\n|---|---|---|\n| a | b | c |\n| d |  | f |\n"
+
+
 def _re(p: str, flags: str = "") -> str:
     return q((f"(?{flags})" if flags else "") + p.replace(r"\s", SPACE))
 
@@ -155,13 +162,24 @@ def _tables() -> str:
       best AS (SELECT case_no, max(n) AS n FROM good GROUP BY case_no)"""
 
 
+def _inline() -> str:
+    """The same answers with the rubric taken from the marker, which is part of the text; nothing after the stop marker counts."""
+    plain = _rubric()
+    told = f"""concat('<!-- rubric: ', trim(rubric), ' -->', chr(10), CASE WHEN baseline THEN concat('<!-- rubric: baseline -->', chr(10)) ELSE '' END, text, chr(10))"""
+    old = "answers AS (SELECT DISTINCT case_no, rubric, text, baseline FROM smoke WHERE case_no IS NOT NULL)"
+    new = f"""answers AS (SELECT DISTINCT case_no, CASE WHEN baseline THEN 'concept' ELSE trim(rubric) END AS rubric, {told} AS text, baseline FROM smoke
+        WHERE case_no IS NOT NULL AND {_strip('text')} <> '' AND regexp_full_match(trim(coalesce(rubric, '')), '[A-Za-z][A-Za-z0-9_-]*'))"""
+    assert old in plain
+    return plain.replace(old, new)
+
+
 def _rubric() -> str:
     by = _scorers()
     named = _code("rubric")
     alias = f"CASE {named} " + " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in V.RUBRIC_ALIASES.items()) + f" ELSE coalesce({named}, 'concept') END"
-    used = sorted({s for dims in DIMENSIONS.values() for _, s in dims})
+    used = sorted({s for dims in V.RUBRICS.values() for _, s in dims})
     unions = " UNION ALL ".join(
-        f"SELECT case_no, used_rubric, is_baseline, {q(d)} AS dimension, s_{s} AS score FROM scored WHERE used_rubric = {q(r)}" for r, dims in DIMENSIONS.items() for d, s in dims
+        f"SELECT case_no, used_rubric, is_baseline, {q(d)} AS dimension, s_{s} AS score FROM scored WHERE used_rubric = {q(r)}" for r, dims in V.RUBRICS.items() for d, s in dims
     )
     return f"""{_tables()},
       cases AS (SELECT answers.case_no, {alias} AS used_rubric, text, coalesce(baseline, false) AS is_baseline, coalesce(best.n, 0) AS table_rows
@@ -186,7 +204,7 @@ _TOPICS = f"topic_rows AS (SELECT DISTINCT topic_id, {_code('difficulty')} AS la
 def _candidates(unit: str) -> str:
     return f"""counts AS (SELECT {unit} AS g, label AS l, count(*) AS n FROM topic_rows WHERE {unit} IS NOT NULL AND label IS NOT NULL GROUP BY ALL),
       spread AS (SELECT candidate, g, row_number() OVER (PARTITION BY candidate ORDER BY md5('42|' || candidate || '|' || g), g) <= ceil(0.2::DOUBLE * count(*) OVER (PARTITION BY candidate)) AS test
-        FROM (SELECT DISTINCT g FROM counts), range(32) AS r(candidate)),
+        FROM (SELECT DISTINCT g FROM counts), range(128) AS r(candidate)),
       by_label AS (SELECT candidate, l, sum(n) AS n, sum(CASE WHEN test THEN n ELSE 0 END) AS t FROM spread JOIN counts USING (g) GROUP BY ALL),
       rated AS (SELECT candidate, round_even((abs(sum(t)::DOUBLE / sum(n)::DOUBLE - 0.2) + avg(abs(t::DOUBLE / n::DOUBLE - 0.2))) * 1e9, 0) / 1e9 AS score, min(least(t, n - t)) AS least FROM by_label GROUP BY candidate)"""
 
@@ -220,6 +238,55 @@ _SCORES = f"""late AS (SELECT item AS id, reviews, correct_streak, interval_days
 )} END AS review_priority FROM risks)"""
 _ITEMS = f"WITH RECURSIVE {_FOLD}, {_SCORES}"
 
+def _generated() -> str:
+    """Each template as a row, filled in by nested replaces; the first of equal texts by part, place and number."""
+    topic = [(t, label, c, G.diagnosis_of(c, label), "synthetic_from_public_course_topic") for label, ts in G.TEMPLATES.items() for t, c in ts]
+    topic += [(t, label, c, d, "synthetic_hard_negative") for t, label, c, d in G.HARD_NEGATIVES]
+    word = [(t, "word-deep-dive", "word", None, "synthetic_word_cases") for t in G.WORD_REQUESTS]
+    passage = [(t, "text-memorizer", "text", None, "synthetic_text_memory") for t in G.PASSAGE_REQUESTS]
+
+    def values(rows) -> str:
+        said = ", ".join(f"({i}, " + ", ".join("NULL::VARCHAR" if v is None else q(v) for v in r) + ")" for i, r in enumerate(rows))
+        return f"(VALUES {said}) AS v(n, template, label, category, diagnosis, source)"
+
+    def fill(fields: dict[str, str]) -> str:
+        out = "template"
+        for name, x in fields.items():
+            out = f"replace({out}, '{{{name}}}', coalesce({x}, ''))"
+        return out
+
+    called = "CASE subject " + " ".join(f"WHEN {q(k)} THEN {q(n)}" for k, n in G.SUBJECT_NAMES.items()) + " ELSE subject END"
+    of_topic = fill({"subject_cn": called, **{f: f for f in G.FIELDS[1:]}})
+    columns = "label, category, v.diagnosis AS diagnosis, source"
+    return f"""WITH rows_ AS (SELECT 0 AS part, topic_id AS place, n, {of_topic} AS text, {columns}
+          FROM (SELECT DISTINCT topic_id, subject, topic, simple, pair, problem, mistake, prerequisite FROM topics WHERE topic_id IS NOT NULL), {values(topic)}
+        UNION ALL SELECT 1, p_partkey, n, {fill({'word': 'p_name', 'other': 'p_type'})}, {columns} FROM part, {values(word)}
+        UNION ALL SELECT 2, item_id, n, {fill({'text': 'h.text', 'short': 'left(h.text, 18)'})}, {columns} FROM heldout_items h, {values(passage)}
+        UNION ALL SELECT 3, n_nationkey, 0, n_name, 'non-learning', 'out_of_scope', NULL, 'visible_conversation_or_platform_pattern' FROM nation),
+      firsts AS (SELECT * FROM rows_ WHERE {_strip('text')} <> '' QUALIFY row_number() OVER (PARTITION BY {_strip('text')} ORDER BY part, place, n) = 1)
+      {_profile('firsts', ['label', 'category', 'source', 'diagnosis'])}"""
+
+
+def _centroids() -> str:
+    grams = _GRAMS.replace("SELECT DISTINCT case_id, regexp_replace(lower(text)", f"SELECT DISTINCT case_id, lower(trim(split)) AS split, replace({_code('label')}, '-', '_') AS label, regexp_replace(lower(text)")
+    grams = grams.replace("text IS NOT NULL)", f"{_strip('text')} <> '' AND replace({_code('label')}, '-', '_') IN {_in(V.DIAGNOSES)})", 1)
+    head = grams[: grams.index("idf AS (")]
+    train = "SELECT case_id FROM rows_ WHERE split = 'train'"
+    return f"""WITH {head} size AS (SELECT count(*) AS n FROM rows_ WHERE split = 'train'),
+      idf AS (SELECT gram, ln((1.0::DOUBLE + (SELECT n FROM size)) / (1 + count(*))) + 1 AS idf FROM tf WHERE case_id IN ({train}) GROUP BY gram
+        HAVING count(*) >= greatest(5, ceil((SELECT n FROM size) / 200.0::DOUBLE))),
+      raw AS (SELECT case_id, gram, (1 + ln(n)) * idf AS r FROM tf JOIN idf USING (gram)),
+      w AS (SELECT case_id, gram, r / sqrt(sum(r * r) OVER (PARTITION BY case_id)) AS w FROM raw),
+      sizes AS (SELECT label, count(*) AS n FROM rows_ WHERE split = 'train' GROUP BY label),
+      coef AS (SELECT gram, label, sum(w) / any_value(sizes.n) AS c FROM w JOIN rows_ USING (case_id) JOIN sizes USING (label) WHERE split = 'train' GROUP BY gram, label),
+      held AS (SELECT case_id FROM rows_ WHERE split IN ('validation', 'test')),
+      scores AS (SELECT held.case_id, sizes.label, coalesce(d.s, 0) AS s FROM held CROSS JOIN sizes
+        LEFT JOIN (SELECT case_id, label, sum(w * c) AS s FROM w JOIN coef USING (gram) GROUP BY ALL) d ON d.case_id = held.case_id AND d.label = sizes.label),
+      e AS (SELECT case_id, label, exp(s - max(s) OVER (PARTITION BY case_id)) AS e FROM scores),
+      p AS (SELECT case_id, label, e / sum(e) OVER (PARTITION BY case_id) AS p FROM e)
+      SELECT case_id, label AS skill, {_six('p')} AS confidence FROM p QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY p DESC, label) = 1"""
+
+
 SQL: dict[str, str] = {
     "route_cascade": f"{_CASCADE} SELECT case_id, r.skill AS predicted, r.confidence AS confidence, array_to_string(r.rules, '|') AS matched_rules FROM routed",
     "route_counts": f"{_CASCADE} SELECT r.skill AS predicted, count(*) AS n FROM routed GROUP BY 1",
@@ -236,6 +303,10 @@ SQL: dict[str, str] = {
     "suite_summary": f"WITH {_rubric()} SELECT count(*) AS total, count(*) FILTER (NOT is_baseline) AS judged, count(*) FILTER (is_baseline) AS baseline, count(*) FILTER (NOT is_baseline AND passed) AS passed, {_six('count(*) FILTER (NOT is_baseline AND passed) / count(*) FILTER (NOT is_baseline)')} AS accuracy, {_six('avg(total) FILTER (NOT is_baseline)')} AS average_score, {V.MAX_SCORE}::INT AS max_score FROM judged",
     "rubric_breakdown": f"WITH {_rubric()} SELECT used_rubric AS rubric, count(*) AS cases, count(*) FILTER (passed) AS passed, {_six('avg(total)')} AS average_score FROM judged GROUP BY 1",
     "md_table_rows": f"WITH {_tables()} SELECT case_no, coalesce(n, 0)::INT AS n FROM answers LEFT JOIN best USING (case_no) WHERE text IS NOT NULL",
+    "inline_rubric": f"WITH {_inline()} SELECT case_no, used_rubric, is_baseline, total, {V.MAX_SCORE}::INT AS max_score, passed FROM judged",
+    "generator_profile": _generated(),
+    "request_check": f"SELECT DISTINCT case_id, CASE WHEN text IS NULL THEN 'the request is no text' WHEN {_strip('text')} = '' THEN 'the request is empty' ELSE concat('the request has ', length(text), ' characters; the limit is 20000') END AS problem FROM routing_cases WHERE case_id IS NOT NULL AND (text IS NULL OR {_strip('text')} = '' OR length(text) > 20000)",
+    "router_scores": _centroids(),
     "token_estimate": f"SELECT doc_id, tokens FROM ({_TOKENS})",
     "budget_greedy": f"""WITH RECURSIVE items AS (SELECT source AS grp, doc_id AS ord, tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM ({_TOKENS}) WHERE source IS NOT NULL),
       fold AS (SELECT grp, k, ord, tokens, tokens <= 20000 AS kept, CASE WHEN tokens <= 20000 THEN tokens ELSE 0 END::BIGINT AS used FROM items WHERE k = 1
@@ -271,8 +342,17 @@ SQL: dict[str, str] = {
     "basic_interval": """WITH reviews AS (SELECT concat_ws('|', user_id, event_type) AS item, ts, event_id, CASE WHEN floor(value)::BIGINT % 6 < 0 THEN floor(value)::BIGINT % 6 + 6 ELSE floor(value)::BIGINT % 6 END AS q FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
       runs AS (SELECT item, q, sum((q < 3)::INT) OVER (PARTITION BY item ORDER BY ts DESC, event_id DESC) AS wrong_after FROM reviews)
       SELECT item, least(32, pow(2, least(5, count(*) FILTER (wrong_after = 0))))::INT AS interval_days FROM runs GROUP BY item""",
-    "doc_contract_errors": f"""SELECT doc_id, CASE WHEN NOT regexp_matches(coalesce(text, ''), {q('[^' + SPACE[1:])}) THEN 'the body is empty' ELSE concat_ws('; ', CASE WHEN coalesce(kind, '') = '' THEN 'no name' END,
+    "doc_contract_errors": f"""WITH docs AS (SELECT doc_id, kind, subject, doc_id % 3 AS m, concat(coalesce(text, ''), CASE doc_id % 3 WHEN 0 THEN {q(GOOD_TABLE)} WHEN 1 THEN {q(BAD_TABLE)} ELSE '' END) AS body FROM documents),
+      lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM (SELECT doc_id, string_split_regex(body, '\\r\\n|\\n|\\r') AS l FROM docs)),
+      heads AS (SELECT a.doc_id, a.pos FROM lines a JOIN lines b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1
+        WHERE regexp_full_match(a.line, {_re(TABLE_HEADER[2:-2])}) AND regexp_full_match(b.line, {_re(TABLE_RULE[2:-2])})),
+      ends AS (SELECT h.doc_id, h.pos, coalesce(min(l.pos), 1000000000) AS upto FROM heads h LEFT JOIN lines l ON l.doc_id = h.doc_id AND l.pos > h.pos + 1 AND NOT starts_with({_strip('l.line')}, '|') GROUP BY ALL),
+      cells AS (SELECT e.doc_id, e.pos AS head, list_transform(string_split(regexp_replace({_strip('l.line')}, '^\\|+|\\|+$', '', 'g'), '|'), lambda x: {_strip('x')}) AS c FROM ends e JOIN lines l ON l.doc_id = e.doc_id AND l.pos > e.pos + 1 AND l.pos < e.upto),
+      tables AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, head, count(*) FILTER (len(c) = 3 AND NOT list_contains(c, '')) AS n FROM cells GROUP BY ALL) GROUP BY doc_id)
+      SELECT doc_id, CASE WHEN NOT regexp_matches(body, {q('[^' + SPACE[1:])}) THEN 'the body is empty' ELSE concat_ws('; ', CASE WHEN coalesce(kind, '') = '' THEN 'no name' END,
       CASE WHEN coalesce(kind, '') <> '' AND NOT regexp_full_match(kind, '[a-z0-9]+(-[a-z0-9]+)*') THEN 'name is not in lower case with hyphens' END,
       CASE WHEN contains(kind, '_') THEN 'name and directory differ' END, CASE WHEN coalesce(subject, '') = '' THEN 'no description' END,
-      CASE WHEN NOT contains(coalesce(text, ''), '常见误区') THEN 'no section on misconceptions' END) END AS errors FROM documents""",
+      CASE WHEN NOT contains(body, '常见误区') THEN 'no section on misconceptions' END,
+      CASE WHEN contains(body, '常见误区') AND NOT {_hit('body', LEAST_ROWS_SAID)} THEN 'the least number of misconceptions is not said' END,
+      CASE WHEN coalesce(n, 0) < 2 THEN 'no table of two misconceptions' END) END AS errors FROM docs LEFT JOIN tables USING (doc_id)""",
 }
