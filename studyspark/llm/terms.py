@@ -67,36 +67,74 @@ def _tables() -> tuple[np.ndarray, np.ndarray, re.Pattern[str], dict[str, str]]:
     return fold, kinds, re.compile("[" + "".join(map(re.escape, several)) + "]"), several
 
 
+@lru_cache(maxsize=1)
+def _classed() -> np.ndarray:
+    """Folded code point and, above 24 bits, its class (3: ignored) by code point."""
+    fold, kinds, _, _ = _tables()
+    return np.where(fold == IGNORED, np.uint32(3 << 24), fold & np.uint32(0xFFFFFF) | kinds.astype(np.uint32) << np.uint32(24)).astype(np.uint32)
+
+
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the prime and of its inverse (modulo 2^64), at least ``n``."""
+    if len(_powers[0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        inverse = np.uint64(pow(int(_PRIME), -1, 1 << 64))
+        for i, factor in enumerate((_PRIME, inverse)):
+            every = np.full(size, factor, np.uint64)
+            every[0] = 1
+            _powers[i] = np.cumprod(every)
+    return _powers[0], _powers[1]
+
+
+def _run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each run of values the sum of value times prime to its place in the run: differences of one running sum."""
+    powers, inverse = _power_tables(len(values))
+    sums = np.cumsum(values * powers[: len(values)])
+    before = np.where(starts > 0, sums[np.maximum(starts, 1) - 1], np.uint64(0))
+    return mixed((sums[ends - 1] - before) * inverse[starts])
+
+
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all texts in turn: each token's hash, its text's index, and whether it is an ideograph.
 
     A token is a run of letters and digits or one ideograph; punctuation, spacing and invisible characters are dropped.
     """
-    fold, kinds, joined, several = _tables()
+    _, _, joined, several = _tables()
     whole = "".join(texts)
     if joined.search(whole):
         texts = [joined.sub(lambda m: several[m[0]], t) for t in texts]
         whole = "".join(texts)
+    offsets = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)), out=offsets[1:])
     codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-    of = np.repeat(np.arange(len(texts), dtype=np.int32), np.fromiter(map(len, texts), np.int64, len(texts)))
-    codes = np.where(codes < _PLANES, codes, 0)
-    folded, kind = fold[codes], kinds[codes]
-    keep = folded != IGNORED
-    if not keep.all():
-        folded, kind, of = folded[keep], kind[keep], of[keep]
-    start = kind == 2
+    found = _classed().take(codes, mode="clip")  # the last entry, of a code point without a character, is a separator
+    kind = (found >> np.uint32(24)).astype(np.uint8)
+    ignored = kind == 3
+    if ignored.any():
+        keep = ~ignored
+        offsets = np.append(0, np.cumsum(keep))[offsets]
+        found, kind = found[keep], kind[keep]
+    if not len(kind):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, bool)
     word = kind == 1
-    if len(word):
-        start[0] |= word[0]
-        start[1:] |= word[1:] & (~word[:-1] | (of[1:] != of[:-1]))
-    used = np.flatnonzero(start | word)
-    if not len(used):
+    bound = np.zeros(len(kind) + 1, bool)
+    bound[offsets] = True
+    first = kind == 2
+    last = first.copy()
+    inner = word[1:] & word[:-1] & ~bound[1:-1]  # a character and the one before it are of one word
+    first[0] |= word[0]
+    first[1:] |= word[1:] & ~inner
+    last[-1] |= word[-1]
+    last[:-1] |= word[:-1] & ~inner
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, bool)
-    first = np.flatnonzero(start[used])
-    where = np.arange(len(used)) - np.repeat(first, np.diff(np.append(first, len(used))))
-    powers = np.cumprod(np.full(int(where.max()) + 1, _PRIME, np.uint64))
-    hashes = mixed(np.add.reduceat((folded[used].astype(np.uint64) + np.uint64(1)) * powers[where], first))
-    return hashes, of[used][first], kind[used][first] == 2
+    hashes = _run_hashes((found & np.uint32(0xFFFFFF)).astype(np.uint64) + np.uint64(1), starts, ends)
+    per_text = np.diff(np.searchsorted(starts, offsets))
+    return hashes, np.repeat(np.arange(len(texts), dtype=np.int32), per_text), kind[starts] == 2
 
 
 def _runs(hashes: np.ndarray, of: np.ndarray, ideograph: np.ndarray, length: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -160,17 +198,15 @@ def distinct(terms: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
-def whole(hashes: np.ndarray, of: np.ndarray, n: int, prime: np.uint64 = _PRIME) -> np.ndarray:
+def whole(hashes: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     """A hash of each text's token sequence; 0 where a text has no token."""
     out = np.zeros(n, np.uint64)
     if len(hashes):
         first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-        where = np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of))))
-        powers = np.cumprod(np.full(int(where.max()) + 1, prime, np.uint64))
-        out[of[first]] = mixed(np.add.reduceat(hashes * powers[where], first) + np.uint64(1)) | np.uint64(1)
+        out[of[first]] = _run_hashes(hashes + np.uint64(1), first, np.append(first[1:], len(of))) | np.uint64(1)
     return out
 
 
 def both_wholes(hashes: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Two independent hashes of each text's token sequence, 127 bits in all, by which equal texts are known."""
-    return whole(hashes, of, n), whole(mixed(hashes ^ _MIX1), of, n, _MIX2)
+    return whole(hashes, of, n), whole(mixed(hashes ^ _MIX1), of, n)
