@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import Kept, code
 
-#: Buckets that each cell's keys are counted in to find the cell's cut, and rounds of proportional fitting.
+#: Buckets that each cell's keys are counted in to find the cuts, and rounds of proportional fitting.
 BUCKETS, ROUNDS = 4096, 500
-#: Most listed values a table's fields may have in all, so that the table of cells has a bounded size.
+#: Most combinations of listed values that occur in the rows; they are raked on the driver, and more raise.
 MOST_CELLS = 200_000
 
 
@@ -57,92 +57,143 @@ def rake(counts: dict[tuple, int], margins: list[dict[str, float]], size: int) -
     return dict(zip(cells, want.tolist()))
 
 
-def _whole(want: dict[tuple, float], counts: dict[tuple, int]) -> dict[tuple, int]:
-    """Whole rows of each cell: rounded down, and the largest remainders up."""
-    low = {c: min(counts[c], math.floor(w + 1e-9)) for c, w in want.items()}
-    rest = round(sum(want.values())) - sum(low.values())
-    for c in sorted(want, key=lambda c: (low[c] - want[c], c)):
-        if rest > 0 and low[c] < counts[c]:
+def drawn(buckets: dict[tuple, dict[int, int]], size: int) -> dict[tuple, int]:
+    """Rows of each cell among the ``size`` least keys of all cells, from the counts of keys by bucket.
+
+    The bucket that holds the cut is shared out in proportion to the cells' rows in it, largest remainders first.
+    """
+    total: dict[int, int] = {}
+    for per in buckets.values():
+        for b, n in per.items():
+            total[b] = total.get(b, 0) + n
+    out = dict.fromkeys(buckets, 0)
+    left = size
+    for b in sorted(total):
+        part = {c: per[b] for c, per in buckets.items() if b in per}
+        if total[b] <= left:
+            for c, n in part.items():
+                out[c] += n
+            left -= total[b]
+            continue
+        exact = {c: left * n / total[b] for c, n in part.items()}
+        low = {c: math.floor(x) for c, x in exact.items()}
+        rest = left - sum(low.values())
+        for c in sorted(part, key=lambda c: (low[c] - exact[c], str(c)))[:rest]:
             low[c] += 1
-            rest -= 1
-    return low
+        for c, n in low.items():
+            out[c] += n
+        break
+    return out
+
+
+def repaired(have: dict[tuple, int], got: dict[tuple, int], want: dict[tuple, float], least: list[dict[str, int]], size: int) -> dict[tuple, int]:
+    """Rows of each cell so that every field's values have their ``least`` rows, as far as there are any, and about ``size`` in all.
+
+    What a value lacks comes from its cells (also such with a null in another field) that are furthest below their raked share;
+    then cells furthest above theirs give up rows that none of their values needs.
+    """
+    out = {c: got.get(c, 0) for c in have}
+    sums = [dict.fromkeys(m, 0) for m in least]
+
+    def add(c: tuple, n: int) -> None:
+        out[c] += n
+        for i, v in enumerate(c):
+            if v in sums[i]:
+                sums[i][v] += n
+
+    for c, n in got.items():
+        for i, v in enumerate(c):
+            if v in sums[i]:
+                sums[i][v] += n
+    for i, m in enumerate(least):
+        for v in sorted(m):
+            mine = sorted((c for c in have if c[i] == v), key=lambda c: (None in c, out[c] - want.get(c, 0.0), str(c)))
+            for step in (0, 1):  # first up to the raked share, then from any
+                for c in mine:
+                    room = have[c] - out[c] if step else min(have[c], math.ceil(want.get(c, 0.0))) - out[c]
+                    add(c, max(0, min(m[v] - sums[i][v], room)))
+    over = sum(n for c, n in out.items() if None not in c) - size
+    for c in sorted((c for c in out if None not in c), key=lambda c: (want.get(c, 0.0) - out[c], str(c))):
+        spare = min([out[c] - math.floor(want.get(c, 0.0)), *(sums[i][v] - least[i][v] for i, v in enumerate(c) if v in least[i])])
+        n = max(0, min(over, spare))
+        add(c, -n)
+        over -= n
+    return {c: n for c, n in out.items() if n > 0}
 
 
 def sample_to_targets(rows: DataFrame, key: str, fields: list[str], targets: DataFrame, keep: Kept, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """A sample of ``rows`` by the targets of its ``fields``, and a report.
 
     ``targets``: target_id, field, value, target_share, min_rows, sample_rate. Variants of a value count as one; keys repeat and
-    count once; rows with a null or unlisted value in a field are not drawn for their share. The sample has the least of the
-    fields' sizes floor(sample_rate * rows with a listed value). Gives ``sample`` (key, fields, cell weight) and ``report`` (a
-    row per target: rows available, rows wanted = greater of min_rows and floor(target_share * size of its field), rows
-    sampled, its share of the sample, the gap to target_share, and ``unmet``: fewer available than wanted).
-
-    Tables of all cells are of bounded size: listed values only. Cells' rows are drawn by the least exponential keys
-    -ln(u) / weight, u from the key's hash; each cell's cut is found by counts in buckets of keys, so that no cell is ever
-    ordered as a whole. What a value then lacks of its minimum is added from the rest, least keys first.
+    count once; rows with a null or unlisted value in a field are drawn only to repair a minimum. The sample has the least of the
+    fields' sizes floor(sample_rate * rows with a listed value). Gives ``sample`` (key, fields, ``weight``: the cell's raked share)
+    and ``report`` (a row per target: rows available, rows wanted = greater of min_rows and floor(target_share * size of its field),
+    rows sampled, its share of the sample, the gap to target_share, and ``unmet``: fewer available than wanted).
+
+    1. The cells' counts (all combinations of values that occur) are raked to the margins' shares, which gives each cell the
+       probability p of its rows.
+    2. Every row has an exponential key of rate -ln(1 - p), from its own hash, so that it stays below 1 with probability p; the rows of
+       least keys are drawn, in one draw over all cells. Cuts are found by counts in buckets of keys; nothing is ordered as a whole.
+    3. ``repaired`` settles how many rows each cell gives in the end: minimums first, then the size. A cell's least keys are taken, so
+       the draw stays the same but for what is repaired.
     """
     spark = rows.sparkSession
     asked = [r.asDict() for r in targets.select("target_id", "field", code("value").alias("value"), "target_share", "min_rows", "sample_rate").orderBy("target_id").collect()]
     by = {f: {t["value"]: t for t in asked if t["field"] == f and t["value"] is not None} for f in fields}
-    if math.prod(len(v) + 1 for v in by.values()) > MOST_CELLS:
-        raise ValueError("the fields have too many listed values in all")
     names = [f"field_{i}" for i in range(len(fields))]
     coded = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *(_listed(f, sorted(by[f])).alias(n) for f, n in zip(fields, names)))
     coded = keep(coded.dropDuplicates(["key"]), "coded")
-    counts = {tuple(r[n] for n in names): r["n"] for r in coded.groupBy(*names).agg(F.count("*").alias("n")).collect()}
+    found = coded.groupBy(*names).agg(F.count("*").alias("n")).limit(MOST_CELLS + 1).collect()
+    if len(found) > MOST_CELLS:
+        raise ValueError(f"the fields' listed values occur in more than {MOST_CELLS} combinations")
+    counts = {tuple(r[n] for n in names): r["n"] for r in found}
     available = [{v: sum(n for c, n in counts.items() if c[i] == v) for v in by[f]} for i, f in enumerate(fields)]
-    sizes = [math.floor(next(iter(by[f].values()))["sample_rate"] * sum(available[i].values()) + 1e-9) if by[f] else 0 for i, f in enumerate(fields)]
+    sizes = [math.floor((next(iter(by[f].values()))["sample_rate"] or 0) * sum(available[i].values()) + 1e-9) if by[f] else 0 for i, f in enumerate(fields)]
     size = min(sizes, default=0)
-    take = _whole(rake(counts, [{v: t["target_share"] for v, t in by[f].items()} for f in fields], size), counts)
-
-    cell = F.concat_ws("\u0001", *names)
+    want = rake(counts, [{v: t["target_share"] or 0.0 for v, t in by[f].items()} for f in fields], size)
+    share = {c: min(1.0, want.get(c, 0.0) / n) for c, n in counts.items()}
+
+    cells = sorted(counts, key=str)
+    numbers = spark.createDataFrame(
+        [(*c, i, float(-math.log1p(-share[c])) if share[c] < 1 else None, float(share[c])) for i, c in enumerate(cells)],
+        ", ".join(f"{n} string" for n in names) + ", cell int, rate double, weight double",
+    )
     u = (F.shiftrightunsigned(F.xxhash64(F.col("key"), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    drawn = coded.where(F.expr(" and ".join(f"{n} is not null" for n in names))).withColumn("cell", cell).withColumn("u", u)
-    # -ln(u)/w has one w within a cell, so its order is that of -u
-    drawn = drawn.withColumn("bucket", F.floor((1 - F.col("u")) * BUCKETS).cast("int"))
-    table: dict[str, list[tuple[int, int]]] = {}
-    for r in drawn.groupBy("cell", "bucket").agg(F.count("*").alias("n")).orderBy("cell", "bucket").collect():
-        table.setdefault(r["cell"], []).append((r["bucket"], r["n"]))
+    same = [F.col(f"c.{n}").eqNullSafe(F.col(f"r.{n}")) for n in names]
+    keyed = coded.alias("r").join(F.broadcast(numbers.alias("c")), same).select("r.*", "cell", "rate", "weight").withColumn("u", u)
+    # a rate of null stands for infinity: the key is 0; rows of rate 0 come last, in order of u
+    at = F.when(F.col("rate").isNull(), 0.0).when(F.col("rate") > 0, -F.log1p(-F.col("u")) / F.col("rate"))
+    low = F.floor((1 - F.exp(-at)) * (BUCKETS - 1))
+    keyed = keyed.withColumn("bucket", F.when(at.isNotNull(), F.least(low, F.lit(BUCKETS - 2))).otherwise(BUCKETS - 1 + F.floor(F.col("u") * BUCKETS)).cast("int"))
+    buckets: dict[tuple, dict[int, int]] = {c: {} for c in cells}
+    for r in keyed.groupBy("cell", "bucket").agg(F.count("*").alias("n")).collect():
+        buckets[cells[r["cell"]]][r["bucket"]] = r["n"]
+    least = [{v: min(available[i][v], max(t["min_rows"] or 0, math.floor((t["target_share"] or 0.0) * size + 1e-12))) for v, t in by[f].items()} for i, f in enumerate(fields)]
+    first = drawn({c: {b: n for b, n in per.items() if b < BUCKETS - 1} for c, per in buckets.items() if share[c] > 0}, size)
+    take = repaired(counts, first, want, least, size)
     cuts = []
-    for c, n in sorted(take.items()):
-        name, left, at = "\u0001".join(c), n, BUCKETS
-        for bucket, m in table.get(name, []):
-            if m > left:
-                at = bucket
+    for i, c in enumerate(cells):
+        left, cut = take.get(c, 0), 1 << 30
+        for b in sorted(buckets[c]):
+            if buckets[c][b] > left:
+                cut = b
                 break
-            left -= m
-        cuts.append((name, at, left if at < BUCKETS else 0, n / counts[c]))
-    cut = F.broadcast(spark.createDataFrame(cuts, "cell string, cut int, more int, weight double"))
-    marked = drawn.join(cut, "cell")
+            left -= buckets[c][b]
+        cuts.append((i, cut, left))
+    marked = keyed.join(F.broadcast(spark.createDataFrame(cuts, "cell int, cut int, more int")), "cell")
     sure = marked.where(F.col("bucket") < F.col("cut"))
-    order = Window.partitionBy("cell").orderBy(F.desc("u"), "key")
-    edge = marked.where(F.col("bucket") == F.col("cut")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("more")).drop("r")
+    order = Window.partitionBy("cell").orderBy("u", "key")
+    edge = marked.where((F.col("bucket") == F.col("cut")) & (F.col("more") > 0)).withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("more")).drop("r")
     chosen = keep(sure.unionByName(edge).select("key", *names, "weight"), "chosen")
-
-    def sampled(df: DataFrame) -> list[dict[str, int]]:
-        got = {tuple(r[n] for n in names): r["n"] for r in df.groupBy(*names).agg(F.count("*").alias("n")).collect()}
-        return [{v: sum(n for c, n in got.items() if c[i] == v) for v in by[f]} for i, f in enumerate(fields)]
-
-    got = sampled(chosen)
-    lacking = [
-        (n, v, min(by[f][v]["min_rows"], available[i][v]) - got[i][v])
-        for i, (f, n) in enumerate(zip(fields, names)) for v in by[f] if got[i][v] < min(by[f][v]["min_rows"], available[i][v])
-    ]
-    if lacking:
-        extra = None
-        rest = coded.join(chosen.select("key"), "key", "left_anti").withColumn("u", u)
-        for n, v, missing in lacking:
-            some = rest.where(F.col(n) == v).orderBy(F.desc("u"), "key").limit(missing).drop("u")
-            extra = some if extra is None else extra.unionByName(some)
-        chosen = keep(chosen.unionByName(extra.dropDuplicates(["key"]).withColumn("weight", F.lit(1.0))), "repaired")
-        got = sampled(chosen)
+    got_cells = {tuple(r[n] for n in names): r["n"] for r in chosen.groupBy(*names).agg(F.count("*").alias("n")).collect()}
+    got = [{v: sum(n for c, n in got_cells.items() if c[i] == v) for v in by[f]} for i, f in enumerate(fields)]
     drawn_rows = [sum(g.values()) for g in got]
     report = []
     for i, f in enumerate(fields):
         for v, t in by[f].items():
-            wanted = max(t["min_rows"], math.floor(t["target_share"] * sizes[i] + 1e-12))
-            share = got[i][v] / drawn_rows[i] if drawn_rows[i] else 0.0
-            report.append((t["target_id"], f, v, available[i][v], wanted, got[i][v], share, share - t["target_share"], available[i][v] < wanted))
+            wanted = max(t["min_rows"] or 0, math.floor((t["target_share"] or 0.0) * sizes[i] + 1e-12))
+            reached = got[i][v] / drawn_rows[i] if drawn_rows[i] else 0.0
+            report.append((t["target_id"], f, v, available[i][v], wanted, got[i][v], reached, reached - (t["target_share"] or 0.0), available[i][v] < wanted))
     schema = "target_id long, field string, value string, available long, wanted long, sampled long, share double, gap double, unmet boolean"
     renamed = chosen.select(F.col("key").alias(key), *(F.col(n).alias(f) for n, f in zip(names, fields)), "weight")
     return renamed, spark.createDataFrame(report, schema)
