@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vocabulary as V
 
 
 def expand(topics: DataFrame, templates: DataFrame, fields: list[str]) -> DataFrame:
@@ -55,6 +56,20 @@ def profile(df: DataFrame, *fields: str) -> DataFrame:
     return sets.select(field.alias("field"), value.alias("value"), "n")
 
 
+CASE_FIELDS = ["id", "subject", "scenario", "prompt", "skill", "diagnosis", "rubric"]
+
+
+def case_library(good: DataFrame) -> DataFrame:
+    """Cases with ``path`` and ``line`` (as strict JSON Lines give them); raises for the first repeated id, unknown skill or unknown diagnosis."""
+    wrong = F.when(~F.col("skill").isin(V.SKILLS), F.concat(F.lit("unknown skill "), "skill")).when(~F.col("diagnosis").isin(list(V.DIAGNOSES)), F.concat(F.lit("unknown diagnosis "), "diagnosis"))
+    twice = repeated_keys(good, "id").select(F.col("id").alias("twice"))
+    bad = good.join(twice, good["id"] == F.col("twice"), "left").withColumn("problem", F.coalesce(wrong, F.when(F.col("twice").isNotNull(), F.concat(F.lit("repeated id "), "id"))))
+    first = bad.where("problem is not null").orderBy("path", "line").first()
+    if first is not None:
+        raise ValueError(f"{first['path']}:{first['line']}: {first['problem']}")
+    return good
+
+
 def filtered(df: DataFrame, **values: str | None) -> DataFrame:
     """Rows equal to all given values; a null or empty value asks for nothing."""
     for c, v in values.items():

@@ -6,6 +6,7 @@ import math
 import os
 from pathlib import Path
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from studyspark import queries as Q
 from studyspark.functions import text as T
 from studyspark.functions import vocabulary as V
-from studyspark.operators import budget, dataset, diagnosis, documents, linear, metrics, routing, rubric, scheduler, splits, tfidf
+from studyspark.operators import budget, dataset, diagnosis, documents, generator, linear, metrics, routing, rubric, scheduler, splits, tfidf
+from studyspark.plans.shared import Kept
 from studyspark.sources import jsonl, store
 
 
@@ -294,6 +296,46 @@ def test_fit_separates_classes(spark):
     assert weights == {"a": 0.75, "b": 1.5}
 
 
+# generator and inline rubrics
+
+
+def test_generated_requests(spark):
+    topics = one(spark, [(1, "calculus", "极限", "极限", "极限和函数值", "求极限", "看错", "函数", None), (2, "odd", "极限", None, None, None, None, None, "easy")], "place long, subject string, topic string, simple string, pair string, problem string, mistake string, prerequisite string, difficulty string")
+    words = one(spark, [(1, "cache", "buffer"), (2, "cache", "buffer")], "place long, word string, other string")
+    passages = one(spark, [(1, "实践是检验真理的唯一标准，这是由真理的本性和实践的特点决定的")], "place long, text string")
+    others = one(spark, [(1, "帮我写邮件"), (2, " "), (3, None), (4, " 帮我写邮件 ")], "place long, text string")
+    got = generator.training_set(topics, words, passages, others, Kept(spark)).orderBy("id").collect()
+    assert [r["id"] for r in got] == [f"router-train-{i:04d}" for i in range(1, len(got) + 1)] and len({r["text"] for r in got}) == len(got)
+    templates = sum(map(len, generator.TEMPLATES.values()))
+    by = {}
+    for r in got:
+        by.setdefault(r["label"], []).append(r)
+    assert len(by["word-deep-dive"]) == 5 and len(by["text-memorizer"]) == 7 and [r["text"] for r in by["non-learning"]] == ["帮我写邮件"]
+    assert sum(r["subject"] == "calculus" for r in got) == templates + 4
+    assert sum(r["hard_negative"] for r in got if r["subject"] == "calculus") == 4 and by["non-learning"][0]["diagnosis"] is None
+    first = got[0]
+    assert first["text"] == "极限是什么？我第一次接触，想先知道它解决什么问题。" and first["diagnosis"] == "missing_prerequisite" and first["difficulty"] == "undergraduate"
+    assert any(r["text"] == "为什么极限在高等数学里这么重要？想从多个角度理解。" and r["diagnosis"] == "concept_confusion" for r in got)
+    assert all(r["topic"] == passages.first()["text"][:18] for r in by["text-memorizer"])
+
+
+def test_markers_in_texts(spark):
+    body = "常见误区\n| 常见错误 | 为什么错 | 正确理解 |\n|---|---|---|\n| a | b | c |\n| d | e | f |"
+    told = f"<!-- rubric: Plan -->\n<!-- rubric: baseline -->\n{body}\n<!-- eval:stop -->\n显然"
+    df = one(spark, [(1, told, None), (2, told.replace("<!-- rubric: baseline -->\n", ""), None), (3, body, "word"), (4, f"<!-- rubric: nothing -->\n{body}", None)], "id int, text string, rubric string")
+    open_ = {r["id"]: r for r in rubric.score(df, inline=True, allow_inline_baseline=True, allow_stop=True).collect()}
+    assert (open_[1]["used_rubric"], open_[1]["is_baseline"], open_[2]["used_rubric"], open_[3]["used_rubric"], open_[4]["used_rubric"]) == ("concept", True, "study-plan-builder", "word", None)
+    assert open_[2]["style_passed"] and open_[2]["max_score"] == 20
+    shut = {r["id"]: r for r in rubric.score(df, inline=True).collect()}
+    assert not shut[1]["is_baseline"] and not shut[2]["style_passed"]
+    with pytest.raises(Exception, match="unknown rubric"):
+        rubric.score(df.where("id = 4"), inline=True, strict=True).collect()
+    with pytest.raises(Exception, match="must not be blank"):
+        rubric.score(one(spark, [(1, " ", None)], "id int, text string, rubric string"), strict=True).collect()
+    said = rubric.markdown_report(rubric.score(df.where("id < 4"), inline=True), "id")
+    assert said.startswith("# Eval report") and "| 3 | word |" in said
+
+
 # budgets and documents
 
 
@@ -301,8 +343,30 @@ def test_greedy_passes_over_what_does_not_fit(spark):
     rows = [("g", 1, 60), ("g", 2, 50), ("g", 3, 40), ("h", 1, 200), ("h", 2, 1)]
     got = {(r["grp"], r["ord"]): r["kept"] for r in budget.fit(one(spark, rows, "grp string, ord long, tokens int"), 100).collect()}
     assert got == {("g", 1): True, ("g", 2): False, ("g", 3): True, ("h", 1): False, ("h", 2): True}
-    text, kept, short = budget.assemble("H", "R", [("a", "x" * 40), ("b", "x")], "mem", 10, lambda t: max(1, len(t) // 4))
-    assert kept == ["b"] and short and text.startswith("H")
+    kept = {(r["grp"], r["ord"]): (r["tokens"], r["used"]) for r in budget.fitting(one(spark, rows, "grp string, ord long, tokens int"), 100, Kept(spark), at_once=1).collect()}
+    assert kept == {("g", 1): (60, 60), ("g", 3): (40, 100), ("h", 2): (1, 1)}
+
+
+def test_budget_rounds_equal_the_fold(spark):
+    rng = np.random.RandomState(4)
+    rows = [(f"g{i % 3}", int(i), None if i % 97 == 0 else int(rng.randint(1, 60))) for i in range(600)] + [(None, 1, 5), ("g0", None, 5)]
+    items = one(spark, rows, "grp string, ord long, tokens int")
+    want = {tuple(r) for r in budget.fit(items, 900).where("kept").select("grp", "ord", "tokens", "used").collect()}
+    assert {tuple(r) for r in budget.fitting(items, 900, Kept(spark), at_once=7).collect()} == want and len(want) > 20
+    assert budget.fitting(items.limit(0), 900, Kept(spark)).count() == 0
+
+
+def test_prompts_are_judged_as_a_whole():
+    form = budget.target(" Generic ")
+    whole, kept, short = budget.assemble(form, "rules", [("a", "x" * 400), ("b", "y")], "mem")
+    assert kept == ["a", "b"] and not short and whole.endswith("# Memory Strategy\n\nmem\n") and whole.startswith("# Compiled prompt")
+    most = budget._text_tokens(budget.assemble(form, "rules", [("b", "y")], "mem")[0])
+    for least, want in ((most, ["b"]), (most - 1, [])):
+        text, kept, short = budget.assemble(form, "rules", [("a", "x" * 400), ("b", "y")], "mem", least)
+        assert kept == want and short and budget._text_tokens(text) <= least
+    with pytest.raises(ValueError, match="unknown target"):
+        budget.target("nothing")
+    assert budget.target("x", {"x": budget.Target("x", "X", "x.md", files=False)}).file == "x.md"
 
 
 def test_skill_names():
@@ -312,12 +376,21 @@ def test_skill_names():
         budget.parsed_skills("nothing")
 
 
+TABLE = "常见误区，至少 2 条\n| 常见错误 | 为什么错 | 正确理解 |\n|---|---|---|\n| a | b | c |\n| d | e | f |"
+
+
 @pytest.mark.parametrize(
     "text, name, errors",
     [
-        ("---\nname: a-b\ndescription: d\n---\n常见误区", "a-b", []), ("no", "a", ["no front matter"]), ("---\nname: a\n", "a", ["front matter has no end"]),
-        ("---\nname: a\ndescription: d\n---\n \n", "a", ["the body is empty"]), ("---\nname: a\nname: a\ndescription: d\n---\n常见误区", "a", ["repeated key"]),
-        ("---\nname: A b\ndescription: <d>\nx: 1\n---\nbody", "c", ["unexpected keys: x", "name is not in lower case with hyphens", "name and directory differ", "description has angle brackets", "no section on misconceptions"]),
+        ("---\nname: a-b\ndescription: d\n---\n" + TABLE, "a-b", []), ("no", "a", ["no front matter"]), ("---\nname: a\n", "a", ["front matter has no end"]),
+        ("---\nname: a\ndescription: d\n---\n \n", "a", ["the body is empty"]), ("---\nname: a\nname: a\ndescription: d\n---\n" + TABLE, "a", ["repeated key"]),
+        ("---\nname: a\ndescription: d\nmetadata:\n  x: 1\n  x: 2\n---\n" + TABLE, "a", ["repeated key"]), ("---\nname: a\ndescription: d\nstray\n---\n" + TABLE, "a", ["front matter is no mapping"]),
+        ("---\nname: a\ndescription: d\n---\n" + TABLE.replace("| e |", "| |"), "a", ["no table of two misconceptions"]),
+        ("---\nname: a\ndescription: d\n---\n" + TABLE.replace("|---|---|---|\n", ""), "a", ["no table of two misconceptions"]),
+        ("---\nname: a\ndescription: d\n---\n" + TABLE.replace("至少 2 条", ""), "a", ["the least number of misconceptions is not said"]),
+        ("---\nname: a\ndescription: d\n---\n" + TABLE.replace("常见错误", "错误"), "a", ["no table of two misconceptions"]),
+        ("---\nname: scientific-learning\ndescription: d\n---\nbody", "scientific-learning", []),
+        ("---\nname: A b\ndescription: <d>\nx: 1\n---\nbody", "c", ["unexpected keys: x", "name is not in lower case with hyphens", "name and directory differ", "description has angle brackets", "no section on misconceptions", "no table of two misconceptions"]),
         (None, "a", ["no front matter"]),
     ],
 )
@@ -347,8 +420,25 @@ def test_files(spark, tmp_path):
     for d, n in (("x", "a.json"), ("x", "README.md"), ("y", "b.md")):
         (tmp_path / d).mkdir(exist_ok=True)
         (tmp_path / d / n).write_text("t")
-    assert {r["directory"]: r["files"] for r in jsonl.files_per_directory(spark, str(tmp_path)).collect()} == {"x": 1, "y": 1}
-    assert jsonl.documents(spark, str(tmp_path)).count() == 2
+    (tmp_path / "x" / "deeper").mkdir()
+    (tmp_path / "x" / "deeper" / "c.md").write_text("t")
+    (tmp_path / "y" / "README.old.md").write_text("t")
+    assert {r["directory"]: r["files"] for r in jsonl.files_per_directory(spark, str(tmp_path)).collect()} == {"x": 1, "y": 2}
+    assert jsonl.documents(spark, str(tmp_path)).count() == 4
+
+
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    for name, n in (("a", 4000), ("b", 3)):
+        (tmp_path / f"{name}.txt").write_text("".join("\n" if i % 10 == 9 else f"{name}{i}\n" for i in range(n)), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = jsonl.lines(spark, str(tmp_path)).collect()
+        assert jsonl.lines(spark, str(tmp_path)).rdd.getNumPartitions() >= 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = {(f"{name}.txt", i + 1, f"{name}{i}") for name, n in (("a", 4000), ("b", 3)) for i in range(n) if i % 10 != 9}
+    assert {(r["path"].rsplit("/", 1)[-1], r["line"], r["value"]) for r in got} == want
 
 
 def test_store(tmp_path, monkeypatch):
