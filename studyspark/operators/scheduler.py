@@ -81,6 +81,17 @@ def review(df: DataFrame, quality: Column, today: str) -> DataFrame:
     )
 
 
+def step(streak: int, interval: int, ease: float, quality: int) -> tuple[int, int, float]:
+    """Streak, interval and ease after one more review, the rule of ``review`` for one item at a time."""
+    q = min(5, max(0, quality))
+    lack = 5 - q
+    ease = round(max(EASE_LEAST, ease + 0.1 - lack * (0.08 + 0.02 * lack)) * 1000) / 1000
+    if q < 3:
+        return 0, 1, ease
+    streak += 1
+    return streak, 1 if streak == 1 else 6 if streak == 2 else max(1, min(INTERVAL_MOST, round(interval * ease))), ease
+
+
 def fold_reviews(reviews: DataFrame) -> DataFrame:
     """``item, reviews, correct_streak, interval_days, ease_factor, mastered, last_day`` after all reviews of each item.
 
@@ -98,14 +109,7 @@ def fold_reviews(reviews: DataFrame) -> DataFrame:
                     if state is not None:
                         done.append(state)
                     state = [item, 0, 0, 1, EASE_START, False, None]
-                q = min(5, max(0, q))
-                lack = 5 - q
-                ease = round(max(EASE_LEAST, state[4] + 0.1 - lack * (0.08 + 0.02 * lack)) * 1000) / 1000
-                if q >= 3:
-                    streak = state[2] + 1
-                    interval = 1 if streak == 1 else 6 if streak == 2 else max(1, min(INTERVAL_MOST, round(state[3] * ease)))
-                else:
-                    streak, interval = 0, 1
+                streak, interval, ease = step(state[2], state[3], state[4], q)
                 state = [item, state[1] + 1, streak, interval, ease, streak >= MASTERED_AT, d]
             if done:
                 yield pd.DataFrame(done, columns=_FOLDED)

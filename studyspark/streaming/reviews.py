@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.scheduler import EASE_LEAST, EASE_START, INTERVAL_MOST, MASTERED_AT
+from ..operators.scheduler import EASE_START, MASTERED_AT, step
 
 _STATE = "correct_streak int, interval_days int, ease_factor double, reviews bigint"
 
@@ -22,12 +22,9 @@ def states(reviews: DataFrame) -> DataFrame:
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         streak, interval, ease, n = state.get if state.exists else (0, 1, EASE_START, 0)
-        rows = pd.concat(list(parts)).sort_values(["at", "tie"])
-        for q in rows["quality"].clip(0, 5).tolist():
-            lack = 5 - q
-            ease = round(max(EASE_LEAST, ease + 0.1 - lack * (0.08 + 0.02 * lack)) * 1000) / 1000
-            streak = streak + 1 if q >= 3 else 0
-            interval = 1 if streak < 2 else 6 if streak == 2 else max(1, min(INTERVAL_MOST, round(interval * ease)))
+        rows = pd.concat(list(parts)).sort_values(["at", "tie"])  # one item's reviews of one micro-batch
+        for q in rows["quality"].tolist():
+            streak, interval, ease = step(streak, interval, ease, q)
             n += 1
         state.update((streak, interval, ease, n))
         yield pd.DataFrame([(key[0], n, streak, interval, ease, streak >= MASTERED_AT)], columns=["item", "reviews", "correct_streak", "interval_days", "ease_factor", "mastered"])

@@ -70,7 +70,7 @@ def test_one_review_and_the_case_library(spark, tmp_path, capsys):
     f.write_text("\n".join(json.dumps({**case, "id": i, "subject": "s" if i == "1" else "t"}) for i in "123"))
     assert cli.main(["cases", str(f), "--subject", "t"]) == 0 and len(capsys.readouterr().out.strip().split("\n")) == 2
     assert cli.main(["cases", str(f), "--summary"]) == 0 and '"n":3' in capsys.readouterr().out
-    for wrong, said in (({**case, "skill": "x"}, "c.jsonl:2: unknown skill x"), (case, "c.jsonl:1: repeated id 1"), ({**case, "id": None}, "c.jsonl:2: id is missing")):
+    for wrong, said in (({**case, "id": "2", "skill": "x"}, "c.jsonl:2: unknown skill x"), (case, "c.jsonl:1: repeated id 1"), ({**case, "id": None}, "c.jsonl:2: id is missing")):
         f.write_text(json.dumps(case) + "\n" + json.dumps(wrong))
         with pytest.raises(ValueError, match=said):
             cli.main(["cases", str(f)])

@@ -376,19 +376,19 @@ def test_skill_names():
         budget.parsed_skills("nothing")
 
 
-TABLE = "常见误区，至少 2 条\n| 常见错误 | 为什么错 | 正确理解 |\n|---|---|---|\n| a | b | c |\n| d | e | f |"
+CONTRACT = "常见误区，至少 2 条\n| 常见错误 | 为什么错 | 正确理解 |\n|---|---|---|\n| a | b | c |\n| d | e | f |"
 
 
 @pytest.mark.parametrize(
     "text, name, errors",
     [
-        ("---\nname: a-b\ndescription: d\n---\n" + TABLE, "a-b", []), ("no", "a", ["no front matter"]), ("---\nname: a\n", "a", ["front matter has no end"]),
-        ("---\nname: a\ndescription: d\n---\n \n", "a", ["the body is empty"]), ("---\nname: a\nname: a\ndescription: d\n---\n" + TABLE, "a", ["repeated key"]),
-        ("---\nname: a\ndescription: d\nmetadata:\n  x: 1\n  x: 2\n---\n" + TABLE, "a", ["repeated key"]), ("---\nname: a\ndescription: d\nstray\n---\n" + TABLE, "a", ["front matter is no mapping"]),
-        ("---\nname: a\ndescription: d\n---\n" + TABLE.replace("| e |", "| |"), "a", ["no table of two misconceptions"]),
-        ("---\nname: a\ndescription: d\n---\n" + TABLE.replace("|---|---|---|\n", ""), "a", ["no table of two misconceptions"]),
-        ("---\nname: a\ndescription: d\n---\n" + TABLE.replace("至少 2 条", ""), "a", ["the least number of misconceptions is not said"]),
-        ("---\nname: a\ndescription: d\n---\n" + TABLE.replace("常见错误", "错误"), "a", ["no table of two misconceptions"]),
+        ("---\nname: a-b\ndescription: d\n---\n" + CONTRACT, "a-b", []), ("no", "a", ["no front matter"]), ("---\nname: a\n", "a", ["front matter has no end"]),
+        ("---\nname: a\ndescription: d\n---\n \n", "a", ["the body is empty"]), ("---\nname: a\nname: a\ndescription: d\n---\n" + CONTRACT, "a", ["repeated key"]),
+        ("---\nname: a\ndescription: d\nmetadata:\n  x: 1\n  x: 2\n---\n" + CONTRACT, "a", ["repeated key"]), ("---\nname: a\ndescription: d\nstray\n---\n" + CONTRACT, "a", ["front matter is no mapping"]),
+        ("---\nname: a\ndescription: d\n---\n" + CONTRACT.replace("| e |", "| |"), "a", ["no table of two misconceptions"]),
+        ("---\nname: a\ndescription: d\n---\n" + CONTRACT.replace("|---|---|---|\n", ""), "a", ["no table of two misconceptions"]),
+        ("---\nname: a\ndescription: d\n---\n" + CONTRACT.replace("至少 2 条", ""), "a", ["the least number of misconceptions is not said"]),
+        ("---\nname: a\ndescription: d\n---\n" + CONTRACT.replace("常见错误", "错误"), "a", ["no table of two misconceptions"]),
         ("---\nname: scientific-learning\ndescription: d\n---\nbody", "scientific-learning", []),
         ("---\nname: A b\ndescription: <d>\nx: 1\n---\nbody", "c", ["unexpected keys: x", "name is not in lower case with hyphens", "name and directory differ", "description has angle brackets", "no section on misconceptions", "no table of two misconceptions"]),
         (None, "a", ["no front matter"]),
