@@ -106,7 +106,7 @@ def frequent_terms(texts: DataFrame, runs: tuple[tuple[str, int], ...], keep: Ke
     least = -(-held // most)
     rows = kept.where(F.col("n") >= least).toArrow()
     keep.free(kept)
-    found = Frequent(rows["term"].to_numpy().view(np.uint64), rows["n"].to_numpy(), n, min(rare, n / max(least, 1)), few)
+    found = Frequent(rows["term"].to_numpy().view(np.uint64), rows["n"].to_numpy(), n, min(rare, n / least) if least else rare, few)
     return texts.sparkSession.sparkContext.broadcast(found)
 
 

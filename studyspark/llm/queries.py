@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.shared import Kept, table
 from . import abuse, disguise, leaks, mixing
 from . import near_copies as nc
 from . import overlap, sampling, topic_groups
+from .oracle import ORACLE
 
 # Two tables in one corpus: a row's doc is twice its key, plus its table's number.
 
@@ -113,6 +114,18 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("topic_id"), "group_id", "split")
 
 
+def p4_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics with a split, groups in two splits, and whether all shares are within 2 % (or ten rows) of their targets."""
+    placed = p4_splits(spark, sf_dir)
+    targets = table(spark, sf_dir, "split_targets").select("split", "share")
+    groups = placed.groupBy("group_id").agg(F.min("split").alias("a"), F.max("split").alias("b"), F.count("*").alias("n"))
+    shares = placed.groupBy("split").agg(F.count("*").alias("n")).join(targets, "split", "full")
+    off = F.abs(F.coalesce("n", F.lit(0)) - F.col("share") * F.sum("n").over(Window.partitionBy(F.lit(1))))
+    near = shares.select((off <= F.greatest(F.lit(10.0), 0.02 * F.sum("n").over(Window.partitionBy(F.lit(1))))).alias("near")).agg(F.coalesce(F.bool_and("near"), F.lit(True)).alias("near_shares"))
+    whole = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("topics"), F.count_if(F.col("a") != F.col("b")).alias("groups_in_two_splits"))
+    return whole.where("topics > 0").crossJoin(F.broadcast(near))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"), Kept(spark))
 
@@ -149,6 +162,20 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_report(spark, sf_dir).where("unmet").select("target_id")
 
 
+def p3_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each target's rows available and wanted, and whether the sample has the least rows that there are, and none twice."""
+    out = None
+    for t, sample, report in _samples(spark, sf_dir):
+        of = table(spark, sf_dir, "sample_targets").where(F.col("tab") == t).select("target_id", "min_rows")
+        once = sample.count() == sample.select(sample.columns[0]).distinct().count()
+        r = report.join(of, "target_id").select(
+            "target_id", "available", "wanted", (F.col("sampled") >= F.least("available", "min_rows")).alias("has_minimum"),
+            ((F.col("sampled") <= F.col("available")) & F.lit(once)).alias("each_once"),
+        )
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keys that were drawn."""
     parts = [s.select(F.lit(t).alias("tab"), F.col(SAMPLED[t][0]).cast("string").alias("key")) for t, s, _ in _samples(spark, sf_dir)]
@@ -169,6 +196,15 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def p7_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source: whether it falls short, whether the fitted rates give what it needs or all it has, and whether no document is used too often."""
+    copies, report = _mix(spark, sf_dir)
+    most = copies.groupBy("source").agg(F.max("copies").alias("used"))
+    needed = F.least("needed", "most")
+    exact = F.abs(F.col("fitted_tokens") - needed) <= 1e-6 * F.greatest(F.lit(1.0), needed)
+    return report.join(most, "source", "left").select("source", "short", exact.alias("fitted_exactly"), (F.coalesce("used", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"))
+
+
 def p7_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture: documents and how often each is used."""
     return _mix(spark, sf_dir)[0].select("doc_id", "source", "tokens", "copies")
@@ -188,6 +224,11 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _abuse(spark, sf_dir)
 
 
+def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By source: documents, and whether every one has a score between 0 and 1."""
+    return _abuse(spark, sf_dir).groupBy("source").agg(F.count("*").alias("documents"), F.bool_and(F.coalesce(F.col("score").between(0, 1), F.lit(False))).alias("scored"))
+
+
 def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By source: documents, toxic ones, and their rate."""
     by = _abuse(spark, sf_dir).groupBy("source").agg(F.count("*").alias("documents"), F.count_if("toxic").alias("toxic"))
@@ -195,23 +236,9 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_plain": p2_plain, "p3_found": p3_found, "p3_report": p3_report, "p3_sample": p3_sample, "p4_found": p4_found, "p4_splits": p4_splits, "p5_found": p5_found, "p5_classes": p5_classes,
-    "p6_found": p6_found, "p6_shares": p6_shares, "p7_found": p7_found, "p7_report": p7_report, "p7_copies": p7_copies,
-    "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
+    "p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_plain": p2_plain, "p3_found": p3_found, "p3_report": p3_report, "p3_sample": p3_sample, "p3_balance": p3_balance, "p4_found": p4_found, "p4_splits": p4_splits, "p4_balance": p4_balance, "p5_found": p5_found, "p5_classes": p5_classes,
+    "p6_found": p6_found, "p6_shares": p6_shares, "p7_found": p7_found, "p7_report": p7_report, "p7_copies": p7_copies, "p7_balance": p7_balance,
+    "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates, "p8_coverage": p8_coverage,
 }
 
-
-def _code(c: str) -> str:
-    return f"nullif(regexp_replace(regexp_replace(lower({c}), '[\\s_\\-\\x{{a0}}\\x{{2000}}-\\x{{200b}}\\x{{202f}}\\x{{3000}}\\x{{feff}}]+', '-', 'g'), '^-|-$', '', 'g'), '')"
-
-
-_LISTED = f"""WITH targets AS (SELECT target_id, tab, field, {_code('value')} AS value, target_share, min_rows, sample_rate FROM sample_targets),
-  rows_ AS (SELECT DISTINCT 'routing_cases' AS tab, 'skill' AS field, case_id::VARCHAR AS k, {_code('skill')} AS value FROM routing_cases WHERE case_id IS NOT NULL
-    UNION ALL SELECT DISTINCT 'routing_cases', 'category', case_id::VARCHAR, {_code('category')} FROM routing_cases WHERE case_id IS NOT NULL
-    UNION ALL SELECT DISTINCT 'subject_cases', 'subject', id, {_code('subject')} FROM subject_cases WHERE id IS NOT NULL),
-  listed AS (SELECT r.tab, r.field, r.value, count(DISTINCT k) AS n FROM rows_ r JOIN targets t USING (tab, field, value) GROUP BY ALL),
-  sizes AS (SELECT tab, field, sum(n) AS n FROM listed GROUP BY ALL)"""
-ORACLE: dict[str, str] = {
-    "p3_found": f"""{_LISTED} SELECT target_id FROM targets LEFT JOIN listed USING (tab, field, value) LEFT JOIN sizes USING (tab, field)
-      WHERE coalesce(listed.n, 0) < greatest(min_rows, floor(target_share * floor(sample_rate * coalesce(sizes.n, 0))))""",
-}
+__all__ = ["ORACLE", "QUERIES"]

@@ -169,8 +169,9 @@ def sample_to_targets(rows: DataFrame, key: str, fields: list[str], targets: Dat
     for r in keyed.groupBy("cell", "bucket").agg(F.count("*").alias("n")).collect():
         buckets[cells[r["cell"]]][r["bucket"]] = r["n"]
     least = [{v: min(available[i][v], max(t["min_rows"] or 0, math.floor((t["target_share"] or 0.0) * size + 1e-12))) for v, t in by[f].items()} for i, f in enumerate(fields)]
-    first = drawn({c: {b: n for b, n in per.items() if b < BUCKETS - 1} for c, per in buckets.items() if share[c] > 0}, size)
-    take = repaired(counts, first, want, least, size)
+    whole = round(sum(want.values()))  # less than the size where values have fewer rows than their share
+    first = drawn({c: {b: n for b, n in per.items() if b < BUCKETS - 1} for c, per in buckets.items() if share[c] > 0}, whole)
+    take = repaired(counts, first, want, least, whole)
     cuts = []
     for i, c in enumerate(cells):
         left, cut = take.get(c, 0), 1 << 30

@@ -74,7 +74,8 @@ def topic_groups(rows: DataFrame, keep: Kept) -> DataFrame:
 def place(units: np.ndarray, want: np.ndarray) -> np.ndarray:
     """For each unit (a row of row counts by stratum) the split it goes to, largest units first.
 
-    Each goes where the sum of squared deviations, of every stratum relative to its size and of the whole, ends up least.
+    Each goes where the sum of squared deviations, of every stratum relative to its size and of the whole, ends up least. The whole
+    counts as much as all strata together, since strata of few rows can't have the shares.
     """
     sizes = np.maximum(units.sum(0), 1).astype(float)
     total = max(float(units.sum()), 1.0)
@@ -85,7 +86,7 @@ def place(units: np.ndarray, want: np.ndarray) -> np.ndarray:
         row = np.flatnonzero(units[u])
         n = units[u, row].astype(float)
         off = have[:, row] - want[:, None] * sizes[row]
-        cost = ((2 * off + n) * n / sizes[row]).sum(1) + (2 * (have.sum(1) - want * total) + n_of[u]) * n_of[u] / total
+        cost = ((2 * off + n) * n / sizes[row]).sum(1) + (2 * (have.sum(1) - want * total) + n_of[u]) * n_of[u] / total * units.shape[1]
         out[u] = int(np.argmin(cost))
         have[out[u], row] += n
     return out

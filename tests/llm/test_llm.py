@@ -1,6 +1,7 @@
 """The eight problems' operators on small inputs: against brute force, exact expectations, and inputs that are odd in every way."""
 
 import math
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from studyspark.llm import abuse, disguise, leaks, mixing, near_copies, overlap, sampling, terms, topic_groups
 from studyspark.llm import queries as Q
 from studyspark.llm.components import components
+from studyspark.llm.contents import distinct_contents, in_map, bit_map, needed
 from studyspark.llm.corpus import Frequent, frequent_terms
 from studyspark.plans.shared import Kept
 
@@ -53,10 +55,23 @@ def test_grams_of_short_texts_and_long_ones():
 
 def test_frequent_terms_equal_counts_by_hand(spark):
     texts = ["common word %d" % i for i in range(60)] + [None, ""]
-    f = frequent_terms(frame(spark, [(t,) for t in texts], "text string").repartition(3), (("words", 1),)).value
+    rows = frame(spark, [(t,) for t in texts], "text string").repartition(3)
+    f = frequent_terms(rows, (("words", 1),), Kept(spark)).value
     h, _, _ = terms.tokens(["common", "never"])
-    assert f.idf(h[:1])[0] == pytest.approx(math.log(61 / 60), abs=1e-6)
-    assert f.idf(h[1:])[0] == pytest.approx(math.log(61 / 20), abs=1e-6)
+    assert f.idf(h[:1])[0] == pytest.approx(math.log(61 / 60), abs=2e-4)
+    assert f.idf(h[1:])[0] == pytest.approx(math.log(61 / 20), abs=2e-4)
+    # where texts are long, only so many terms are broadcast; the others count as rare
+    few = frequent_terms(frame(spark, [(" ".join(f"w{j}" for j in range(i % 7 + 20)),) for i in range(300)], "text string"), (("words", 1),), Kept(spark), most=22).value
+    assert len(few.terms) <= 22
+
+
+def test_token_hashes_do_not_depend_on_neighbours():
+    rng = np.random.RandomState(2)
+    texts = ["".join(rng.choice(list("ab 一二,é\u200bЖ1"), rng.randint(0, 40))) for _ in range(300)] + ["", "。", "x" * 5000, "\U0010ffff a"]
+    every, of, ideograph = terms.tokens(texts)
+    for i, t in enumerate(texts):
+        h, _, d = terms.tokens([t])
+        assert h.tolist() == every[of == i].tolist() and d.tolist() == ideograph[of == i].tolist()
 
 
 # components
@@ -70,6 +85,23 @@ def test_components_equal_union_find(spark):
     assert components(frame(spark, [], "a long, b long"), Kept(spark)).count() == 0
 
 
+# contents
+
+
+def test_distinct_contents_and_maps(spark):
+    rows = [(5, "A b."), (3, "a, B"), (9, "c"), (9, "c"), (7, None), (8, "。"), (4, "d"), (2, "a b"), (2, "a b")]
+    got, contents, texts = distinct_contents(frame(spark, rows, "doc long, text string").repartition(3).where("text is not null"), Kept(spark))
+    assert {(r["content"], r["several"]) for r in contents.collect()} == {(2, True), (9, False), (4, False)}
+    found = sorted((r["content"], r["text"]) for r in texts.where("text <> '。'").collect())
+    assert found == [(2, "a b"), (4, "d"), (9, "c")]
+    ids = spark.range(0, 5000, 7).select(F.col("id").alias("content"))
+    texts = spark.range(5000).select(F.col("id").alias("content"), F.lit("t").alias("text"))
+    some = {r["content"] for r in needed(texts, ids).collect()}
+    assert set(range(0, 5000, 7)) <= some and len(some) < 1000
+    words = bit_map(spark.range(10).select((F.col("id") * 100).alias("p")), F.col("p"), 10)
+    assert in_map(words, np.arange(1000)).sum() == 10 and in_map(words, np.array([900]))[0]
+
+
 # 5 and 1
 
 
@@ -95,7 +127,7 @@ def small(tiny):
 def test_near_copies_against_brute_force(spark, small):
     rows = pd.read_parquet(f"{small}/routing_cases.parquet").drop_duplicates("case_id").dropna(subset=["text"])
     docs = frame(spark, list(zip(rows.case_id.tolist(), rows.text.tolist())), "doc long, text string")
-    frequent = frequent_terms(docs, near_copies.RUNS).value
+    frequent = frequent_terms(distinct_contents(docs, Kept(spark))[2], near_copies.RUNS, Kept(spark)).value
     keys = rows.case_id.tolist()
     want = {(keys[i], keys[j]) for i, j in _brute(rows.text.tolist(), frequent, near_copies.RUNS, near_copies.POWER, near_copies.COSINE)}
     members, links = near_copies.near_copies(docs, Kept(spark))
@@ -120,11 +152,15 @@ def test_overlaps_are_all_between_splits_and_equal_brute_force(spark, small):
     rows = Q._split_rows(spark, small).drop("split", "source").dropDuplicates(["doc"])
     got = {(r["train"], r["held"]) for r in overlap.split_overlaps(rows, Kept(spark)).collect()}
     p = rows.where("held is not null and text is not null").toPandas()
-    frequent = frequent_terms(rows.where("text is not null"), overlap.RUNS, overlap.RARE, overlap.FEW).value
-    near = _brute(p.text.tolist(), frequent, overlap.RUNS, overlap.CHECK_POWER, overlap.CHECK_COSINE)
+    kept = Kept(spark)
+    frequent = frequent_terms(distinct_contents(rows.where("text is not null"), kept, "tab int, held boolean")[2], overlap.RUNS, kept, overlap.RARE, overlap.FEW).value
+    near = _brute(p.text.tolist(), frequent, overlap.RUNS, overlap.POWER, overlap.COSINE)
     doc, tab, held = p.doc.tolist(), p.tab.tolist(), p.held.tolist()
     want = {(doc[i], doc[j]) if held[j] else (doc[j], doc[i]) for i, j in near if tab[i] == tab[j] and held[i] != held[j]}
-    assert got <= want and len(got) >= 0.95 * len(want) > 0
+    # products in another order may differ in the last place right at the threshold
+    assert len(got - want) <= 1 and len(want - got) <= 1 and len(want) > 10
+    counts = {r["held"]: r["pairs"] for r in overlap.overlap_counts(rows, Kept(spark)).collect()}
+    assert counts == Counter(h for _, h in got)
 
 
 def test_no_overlap_of_the_verdict_is_lost(spark, small):
@@ -137,7 +173,8 @@ def test_no_overlap_of_the_verdict_is_lost(spark, small):
     p = pd.concat([p, p.assign(doc=p.doc + 10**9, held=~p.held, text=edited)])
     docs = frame(spark, list(zip(p.doc.tolist(), p.tab.tolist(), p.held.tolist(), p.text.tolist())), "doc long, tab int, held boolean, text string")
     got = {(r["train"], r["held"]) for r in overlap.split_overlaps(docs, Kept(spark)).collect()}
-    frequent = frequent_terms(docs, overlap.RUNS, overlap.RARE, overlap.FEW).value
+    kept = Kept(spark)
+    frequent = frequent_terms(distinct_contents(docs, kept, "tab int, held boolean")[2], overlap.RUNS, kept, overlap.RARE, overlap.FEW).value
     near = _brute(p.text.tolist(), frequent, overlap.RUNS, 1.75, 0.4401)
     doc, held = p.doc.tolist(), p.held.tolist()
     want = {(doc[i], doc[j]) if held[j] else (doc[j], doc[i]) for i, j in near if held[i] != held[j]}
@@ -148,18 +185,73 @@ def test_postings_hold_the_first_common_term():
     rng = np.random.RandomState(1)
     for _ in range(50):
         vocabulary = np.sort(mixed(30))
-        idf = dict(zip(vocabulary.tolist(), rng.uniform(1, 9, 30)))
+        steps = dict(zip(vocabulary.tolist(), rng.randint(4096, 9 * 4096, 30)))
         two = [np.sort(rng.choice(vocabulary, 12, replace=False)) for _ in range(2)]
         t, d = np.concatenate(two), np.repeat([0, 1], 12)
-        w = np.array([idf[x] for x in t.tolist()], np.float32)
-        pt, pd_, pw, pn = overlap.prefixes(t, d, w, overlap.REST)
-        full = w.astype(float) ** overlap.POWER + 1e-6
+        s = np.array([steps[x] for x in t.tolist()], np.uint16)
+        pt, pd_, pw, pn, after = overlap.prefixes(t, d, s, overlap.COSINE)
+        full = overlap.weighed(s)
         v = [dict(zip(t[d == i].tolist(), (full[d == i] / np.linalg.norm(full[d == i])).tolist())) for i in (0, 1)]
         dot = sum(v[0][x] * v[1].get(x, 0) for x in v[0])
-        posted = [dict(zip(pt[pd_ == i].tolist(), zip(pw[pd_ == i].tolist(), pn[pd_ == i].tolist()))) for i in (0, 1)]
-        common = [x for x in posted[0] if x in posted[1] and posted[0][x][1] * posted[1][x][1] >= overlap.REST]
+        posted = [dict(zip(pt[pd_ == i].tolist(), zip(pw[pd_ == i].tolist(), pn[pd_ == i].tolist(), after[pd_ == i].tolist()))) for i in (0, 1)]
+        common = [x for x in posted[0] if x in posted[1] and posted[0][x][1] * posted[1][x][1] >= overlap.COSINE]
         partial = sum(posted[0][x][0] * posted[1][x][0] for x in common)
-        assert dot <= partial + overlap.REST + 1e-6
+        assert dot <= partial + overlap.COSINE + 1e-6
+        for x in common:  # what comes after a common term is bounded by sums times greatest weights
+            rest = sum(v[0][y] * v[1].get(y, 0) for y in v[0] if (-steps[y], y) > (-steps[x], x))
+            assert rest <= posted[0][x][2] * posted[1][x][0] + 1e-6 and rest <= posted[1][x][2] * posted[0][x][0] + 1e-6
+
+
+def _edited(rng, text):
+    words = text.split()
+    words[rng.randint(len(words))] = f"typo{rng.randint(10**6)}"
+    return " ".join(words)
+
+
+def test_results_do_not_depend_on_the_files_layout(spark):
+    rng = np.random.RandomState(5)
+    base = [" ".join(f"w{rng.randint(3000)}" for _ in range(12)) for _ in range(150)]
+    texts = base + [_edited(rng, t) for t in base[:60]] + base[:30] + [base[0]] * 100
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += rows[:20]
+    seen = set()
+    for parts in (1, 16, 200):
+        members, links = near_copies.near_copies(frame(spark, rows, "doc long, text string").repartition(parts), Kept(spark))
+        docs = frame(spark, [(i, 0, i % 3 == 0, t) for i, t in rows], "doc long, tab int, held boolean, text string").repartition(parts)
+        pairs = overlap.split_overlaps(docs, Kept(spark)).select("train", "held").collect()
+        seen.add((tuple(sorted(map(tuple, members.collect()))), tuple(sorted((r["a"], r["b"]) for r in links.collect())), tuple(sorted(map(tuple, pairs)))))
+    assert len(seen) == 1
+    members, _, pairs = seen.pop()
+    assert len({m[0] for m in members}) == len(members) and len(set(pairs)) == len(pairs) > 2000
+
+
+def test_a_long_list_is_split_among_tasks(spark):
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        packed = int(overlap.packed(np.array([0.5]), np.array([1.0]), np.array([0.1]))[0])
+        side = {n: spark.range(0, n, 1, 12).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") + 10).alias("term"), (F.col("id") + F.lit(10**6)).alias("content"), F.lit(packed).alias("packed")) for n in (60_000, 300)}
+        found = overlap.candidates(side[60_000], side[300], 0.2)
+        assert found.count() == 20_000 * 100 + 200
+        met = side[60_000].join(side[300].withColumnRenamed("content", "b"), "term")
+        met.collect()
+        assert "skew=true" in met._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_class_links_are_counted_not_paired(spark):
+    rng = np.random.RandomState(6)
+    text = " ".join(f"w{j}" for j in range(20))
+    rows = [(2 * i, text) for i in range(50)] + [(200 + 2 * i, text + " extra") for i in range(7)] + [(400, " ".join(f"v{rng.randint(999)}" for _ in range(9)))]
+    members, links = near_copies.near_copies(frame(spark, rows, "doc long, text string"), Kept(spark))
+    assert links.count() == 1 and members.count() == 57
 
 
 def mixed(n):
@@ -228,6 +320,26 @@ def test_rake_meets_two_margins():
     assert sampling.rake({}, [{}], 5) == {}
 
 
+def test_draw_is_by_exponential_keys_of_rows(spark):
+    # rates give each row of a cell its raked probability, so one draw over all cells meets the shares
+    rows = [(i, "a" if i % 10 < 7 else "b") for i in range(20_000)]
+    sample, report = sampling.sample_to_targets(frame(spark, rows, "key long, skill string"), "key", ["skill"], _targets(spark, {"a": 0.25, "b": 0.75}, rate=0.25), Kept(spark))
+    counts = {r["skill"]: r["count"] for r in sample.groupBy("skill").count().collect()}
+    assert sum(counts.values()) == pytest.approx(5000, abs=60) and counts["a"] >= 1250 and counts["b"] == pytest.approx(3750, abs=60)
+    low = sample.where("skill = 'a' and key < 10000").count()
+    assert low == pytest.approx(counts["a"] / 2, abs=90)  # no part of the cell is preferred
+    again, _ = sampling.sample_to_targets(frame(spark, rows[::-1], "key long, skill string").repartition(7), "key", ["skill"], _targets(spark, {"a": 0.25, "b": 0.75}, rate=0.25), Kept(spark))
+    assert {r["key"] for r in again.collect()} == {r["key"] for r in sample.collect()}
+
+
+def test_repairs_raise_minimums_and_give_up_surplus():
+    have = {("a",): 100, ("b",): 100, ("c",): 3}
+    got = sampling.repaired(have, {("a",): 60, ("b",): 40, ("c",): 0}, {("a",): 50.0, ("b",): 50.0, ("c",): 1.0}, [{"a": 10, "b": 45, "c": 3}], 100)
+    assert got == {("a",): 50, ("b",): 45, ("c",): 3} or (got[("b",)] >= 45 and got[("c",)] == 3 and 98 <= sum(got.values()) <= 105)
+    assert sampling.drawn({("a",): {0: 5, 1: 5}, ("b",): {1: 5}}, 10) in ({("a",): 8, ("b",): 2}, {("a",): 7, ("b",): 3})
+    assert sampling.drawn({}, 4) == {}
+
+
 # 4
 
 
@@ -256,6 +368,25 @@ def test_splits_keep_groups_and_shares(spark, tiny):
     assert shares["train"] == pytest.approx(0.8, abs=0.05) and s.count() == g.count()
 
 
+def test_groups_over_several_subjects_are_never_split(spark):
+    rows = [(g * 10 + i, f"s{(g + i) % 5}", g * 10, 6) for g in range(200) for i in range(6)] + [(10**6 + i, None, 10**6 + i, 1) for i in range(300)]
+    rows += [(2 * 10**6 + i, f"rare{i}", 2 * 10**6, 700) for i in range(700)]
+    groups = frame(spark, rows, "id long, subject string, group_id long, members long")
+    s = topic_groups.assign_splits(groups, frame(spark, [("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split string, share double"), Kept(spark))
+    got = s.collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["group_id"], set()).add(r["split"])
+    assert len(got) == len(rows) and all(len(x) == 1 for x in by.values())
+    n = Counter(r["split"] for r in got)
+    assert n["train"] / len(got) == pytest.approx(0.8, abs=0.02) and n["test"] / len(got) == pytest.approx(0.1, abs=0.02)
+    subject = {r[0]: r[1] for r in rows}
+    for k in range(5):
+        mine = [r["split"] for r in got if subject[r["id"]] == f"s{k}"]
+        assert mine.count("train") / len(mine) == pytest.approx(0.8, abs=0.05)
+    assert topic_groups.assign_splits(groups.limit(0), frame(spark, [("train", 1.0)], "split string, share double"), Kept(spark)).count() == 0
+
+
 # 6
 
 
@@ -273,20 +404,65 @@ def test_leaks_are_found_and_phrases_are_not(spark):
     edited = "Well, the keepr claims that Glonuris heap never exceeds 733, as we saw. Later: find the last moment at which Pesta could have noticed the Glonuris\nheap!"
     phrase = "The keeper claims that Lomira bound never exceeds 88. Find the last moment at which Ferdo could have noticed the Lomira bound. " + STOCK
     docs = [(1, whole), (2, edited), (3, phrase), (4, None), (5, ""), (6, STOCK * 3), (7, "x " * 100_000 + ITEMS[2][1])]
-    got = leaks.leaked(frame(spark, docs, "doc_id long, text string"), frame(spark, [*ITEMS, (9, None), (1, ITEMS[0][1])], "item_id long, text string"))
+    got = leaks.leaked(frame(spark, docs, "doc_id long, text string"), frame(spark, [*ITEMS, (9, None), (1, ITEMS[0][1])], "item_id long, text string"), Kept(spark))
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(1, 1), (2, 2), (7, 3)}
 
 
 def test_an_item_under_many_ids_still_leaks(spark):
     copies = [(10 + i, ITEMS[0][1].replace("record", ["record", "note", "log", "write"][i % 4])) for i in range(6)]
     docs = [(1, "Notes.\n" + ITEMS[0][1] + "\nMore notes."), (2, ITEMS[2][1]), (3, STOCK * 3)]
-    got = leaks.leaked(frame(spark, docs, "doc_id long, text string"), frame(spark, [*ITEMS, *copies], "item_id long, text string"))
+    got = leaks.leaked(frame(spark, docs, "doc_id long, text string"), frame(spark, [*ITEMS, *copies], "item_id long, text string"), Kept(spark))
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(1, 1), (2, 3)} | {(1, i) for i, _ in copies}
 
 
+@pytest.mark.parametrize("versions", [1, 2, 3, 10])
+def test_every_version_of_an_item_is_reported(spark, versions):
+    words = ["record", "note", "log", "write", "mark", "enter", "store", "state", "list", "print"]
+    copies = [(10 + i, ITEMS[0][1].replace("record", words[i]).replace("last", ["last", "first", "next"][i % 3])) for i in range(versions)]
+    docs = [(1, "Notes.\n" + ITEMS[0][1]), (2, ITEMS[2][1]), (3, STOCK * 3)]
+    got = leaks.leaked(frame(spark, docs, "doc_id long, text string"), frame(spark, [*ITEMS[1:], *copies], "item_id long, text string"), Kept(spark))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(2, 3)} | {(1, i) for i, _ in copies}
+
+
+def test_leaks_against_brute_force(spark, small):
+    """All pairs of documents and items, by runs of own words that both have, as far as a text of plain Python can tell."""
+    docs = pd.read_parquet(f"{small}/documents.parquet").dropna(subset=["text"])
+    items = pd.read_parquet(f"{small}/heldout_items.parquet").dropna(subset=["text"])
+    held = [terms.tokens([t])[0].tolist() for t in items.text]
+    df = Counter(g for h in held for g in {tuple(h[i : i + 4]) for i in range(len(h) - 3)})
+    found = {}
+    own = [{g for g in {tuple(h[i : i + 4]) for i in range(len(h) - 3)} if df[g] <= 2} for h in held]
+    index = {}
+    for k, gs in enumerate(own):
+        for g in gs:
+            index.setdefault(g, []).append(k)
+    for doc, text in zip(docs.doc_id, docs.text):
+        h = terms.tokens([text])[0].tolist()
+        hits = Counter(k for g in {tuple(h[i : i + 4]) for i in range(len(h) - 3)} for k in index.get(g, ()))
+        found.update({(doc, int(items.item_id.iloc[k])): n / len(own[k]) for k, n in hits.items()})
+    sure = {p for p, share in found.items() if share >= 0.5}
+    d = frame(spark, list(zip(docs.doc_id.tolist(), docs.text.tolist())), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.leaked(d, frame(spark, list(zip(items.item_id.tolist(), items.text.tolist())), "item_id long, text string"), Kept(spark)).collect()}
+    assert len(sure & got) >= 0.97 * len(sure) > 10
+    assert all(found.get(p, 0) >= 0.1 for p in got)
+
+
 # 7
 
 
+def test_rates_meet_exact_totals_and_lean_to_the_domains():
+    own, tokens = np.array([0, 0, 1, 1]), np.array([100.0, 100.0, 50.0, 50.0])
+    soft = np.array([[0.9, 0.1], [0.2, 0.8], [0.1, 0.9], [0.6, 0.4]])
+    goal, most = np.array([100.0, 200.0]), np.array([1.0, 3.0])
+    r = mixing.fit_rates(own, tokens, soft, goal, most)
+    assert np.bincount(own, r * tokens) == pytest.approx(goal) and (r >= 0).all() and (r <= most[own] + 1e-9).all()
+    flat = mixing.fit_rates(own, tokens, soft, goal, most, steps=0)
+    assert np.abs((r * tokens) @ soft - goal).sum() < np.abs((flat * tokens) @ soft - goal).sum()
+    short = mixing.fit_rates(own, tokens, soft, np.array([100.0, 500.0]), most)
+    assert (short[own == 1] == 3.0).all()
+    assert len(mixing.fit_rates(own[:0], tokens[:0], soft[:0], goal, most)) == 0
+
+
 def test_mixture_meets_weights_or_says_who_falls_short(spark):
     rng = np.random.RandomState(0)
     docs = [(i, s, f"{s} text number {i} " + "word " * int(rng.randint(20, 60))) for i, s in enumerate(["big"] * 300 + ["small"] * 30 + ["rare"] * 3)]
@@ -304,7 +480,9 @@ def test_mixture_meets_weights_or_says_who_falls_short(spark):
 
 
 def test_masked_spellings_are_undone():
-    assert abuse.passages("you i-d-i-o-t. $h1th3@d!\n贱*人，s​tupid") == ["you idiot.", "shithead", "贱人，stupid"] or abuse.passages("you i-d-i-o-t.")[0] == "you idiot."
+    assert abuse.passages("you i-d-i-o-t. $h1th3@d!\n贱*人，s​tupid") == ["you idiot.", "shithead!", "贱人，stupid"]
+    assert abuse.passages("One 3.5, 4x. Stop! What?五。六；a\n\nb 48Δx") == ["One 3.5, 4x.", "Stop!", "What?", "五。", "六；", "a", "b 48Δx"]
+    assert abuse.passages("") == abuse.passages(" \n ") == [] and len(abuse.passages("x" * 300_000)) == 1
 
 
 def test_scorer_finds_passages_that_it_was_not_fitted_on():
@@ -336,6 +514,16 @@ def test_scores_of_held_out_reviewed_documents():
     a, b = model.scores(toxic[1::2]), model.scores(other[1::2])
     assert (a[:, None] > b[None, :]).mean() > 0.7  # a quarter of the verdicts are wrong
     assert (b >= model.threshold).mean() < 0.05
+    # passages of the other half, put into harmless documents
+    every = abuse.fit(toxic, other, free)
+    found = []
+    for text in toxic[1::2]:
+        parts = abuse.passages(text)
+        scores = every.scores(parts)
+        found += [parts[i] for i in np.flatnonzero(scores >= 0.6)]
+    calm = [t for t, s in zip(other[1::2], b) if s < 0.05]
+    told = [f"{t}\n{p}\n{t[:50]}" for p, t in zip(found, calm * (len(found) // len(calm) + 1))]
+    assert len(found) > 30 and (model.scores(told) >= model.threshold).mean() >= 0.5  # from 63 verdicts, a quarter of them wrong
 
 
 # odd inputs for all
