@@ -27,7 +27,7 @@ FEATURES, LEAST_TOXIC, LEAST_DOCS, ROUNDS, MORE, SURE, STEPS, RATE, DECAY = 1 <<
 #: Share of passages of documents reviewed as harmless that an example passage must exceed; bounds of the class prior.
 ABOVE, PRIORS = 0.995, (5e-4, 0.05)
 #: Value of a feature that tells a kind of listed word, and the score from which a document counts as toxic.
-KIND, VERDICT = 0.6, 0.35
+KIND, VERDICT = 0.6, 0.3
 RUNS = (("words", 1), ("words", 2), ("words", 3), ("ideographs", 2), ("ideographs", 3), ("ideographs", 4))
 
 _INSIDE = r"[^\n\r。！？!?；;.]*"
