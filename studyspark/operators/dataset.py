@@ -11,13 +11,21 @@ from ..functions import text as T
 from ..functions import vocabulary as V
 
 
+#: Templates that are gathered in one row.
+TEMPLATES_A_BLOCK = 1_000
+
+
 def expand(topics: DataFrame, templates: DataFrame, fields: list[str]) -> DataFrame:
     """Every topic with every template (``template``, ``label``): ``text`` with ``{field}`` filled in from the topic's columns.
 
-    Templates are a small table, broadcast once its size is known to be small; a null field leaves an empty place.
+    Templates are gathered in blocks of at most TEMPLATES_A_BLOCK; topics meet each block in a join and expand it where they lie. A
+    null field leaves an empty place.
     """
-    small = templates.count() <= 10_000
-    all_ = topics.crossJoin(F.broadcast(templates) if small else templates)
+    blocks = max(1, -(-templates.count() // TEMPLATES_A_BLOCK))
+    of = F.pmod(F.xxhash64(*templates.columns), F.lit(blocks)).cast("int")
+    lists = templates.groupBy(of.alias("__block")).agg(F.collect_list(F.struct(*templates.columns)).alias("__templates"))
+    met = topics.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(lists, "__block")
+    all_ = met.withColumn("__template", F.explode("__templates")).select(*topics.columns, "__template.*")
     text = F.col("template")
     for f in fields:
         text = F.replace(text, F.lit("{" + f + "}"), F.coalesce(F.col(f), F.lit("")))

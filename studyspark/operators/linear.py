@@ -120,6 +120,17 @@ def problems(model: object, labels: list[str] | None = None) -> list[str]:
     meta = model.get("metadata") if isinstance(model.get("metadata"), dict) else {}
     held = meta.get("holdout_ids", [])
     need(isinstance(held, list) and len(set(map(str, held))) == len(held), "hold-out ids repeat")
+    need(all(isinstance(i, str) and 0 < len(i) <= 256 for i in held) if isinstance(held, list) else False, "a hold-out id is no text of 1 to 256 characters")
+    for name, kinds in (("seed", int), ("train_total", int), ("test_total", int), ("dataset_total", int), ("test_size", (int, float)), ("split", dict), ("dataset", str), ("dataset_sha256", str)):
+        need(name not in meta or isinstance(meta[name], kinds) and not isinstance(meta[name], bool), f"metadata: {name} has another type")
+    sha = meta.get("dataset_sha256")
+    need(not isinstance(sha, str) or len(sha) == 64 and all(c in "0123456789abcdef" for c in sha), "metadata: dataset_sha256 is no SHA-256")
+    size = meta.get("test_size")
+    need(isinstance(size, bool) or not isinstance(size, (int, float)) or 0 < size < 1, "metadata: test_size must lie between 0 and 1")
+    if "labels" in meta and isinstance(classes, list):
+        need(isinstance(meta["labels"], list) and sorted(map(str, meta["labels"])) == sorted(map(str, classes)), "metadata: labels are not the classes")
+    if out:
+        return out
     if {"train_total", "test_total", "dataset_total"} <= set(meta):
         need(meta["train_total"] + meta["test_total"] == meta["dataset_total"], "totals don't add up")
         need(len(held) == meta["test_total"], "hold-out ids and test total differ")

@@ -87,17 +87,18 @@ def fitted(train: DataFrame, keep: Kept, metadata: dict | None = None, c: float
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
     counts = keep(tfidf.term_counts(train, "key"), "counts")
-    vocabulary = keep(tfidf.vocabulary(tfidf.inverse_frequencies(counts, train.count())), "vocabulary")
-    size = vocabulary.count()
+    idf = keep(tfidf.inverse_frequencies(counts, train.count()), "idf")
+    size = idf.count()
     if size > linear.MOST_FEATURES:
         raise ValueError(f"{size} n-grams are more than a model may have ({linear.MOST_FEATURES})")
+    vocabulary = keep(tfidf.vocabulary(idf), "vocabulary")
     weights = tfidf.weights(counts, vocabulary, "key").join(F.broadcast(vocabulary.select("gram", "idx")), "gram")
     vector = F.udf(lambda parts: SparseVector(size, [(int(p["idx"]), float(p["w"])) for p in parts]), VectorUDT())
     vectors = weights.groupBy("key").agg(vector(F.collect_list(F.struct("idx", "w"))).alias("features")).join(train.select("key", "label"), "key")
     model, classes = linear.fit(vectors, "label", c=c, iterations=iterations)
     grams = vocabulary.orderBy("idx").collect()
     matrix = model.coefficientMatrix.toArray()
-    keep.free(counts, vocabulary)
+    keep.free(counts, idf, vocabulary)
     return linear.payload(
         {r["gram"]: int(r["idx"]) for r in grams}, [float(r["idf"]) for r in grams], classes, [[float(x) for x in row] for row in matrix],
         [float(x) for x in model.interceptVector.toArray()], metadata or {},

@@ -65,9 +65,10 @@ def write(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
 
 
-def documents(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
-    """``path, text`` of whole text files."""
-    return spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+def documents(spark: SparkSession, path: str, pattern: str = "*.md", contains: str = "") -> DataFrame:
+    """``path, text`` of whole text files whose name (without folders) contains ``contains``."""
+    found = spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return found.where(F.contains(F.element_at(F.split("path", "/"), -1), F.lit(contains))) if contains else found
 
 
 def files_per_directory(spark: SparkSession, path: str, pattern: str = "*.{json,md}") -> DataFrame:
