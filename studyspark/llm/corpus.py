@@ -56,6 +56,11 @@ class Frequent:
         out[order] = np.where(self.terms[at] == ordered, self.logs[at], self.most)
         return out
 
+    def common(self, terms: np.ndarray, share: float) -> np.ndarray:
+        """Whether at least this share of texts is known to have each term."""
+        steps = self.steps(terms)
+        return (steps < self.most) & (steps <= self._steps(np.log(1 / share)))
+
     def idf(self, terms: np.ndarray) -> np.ndarray:
         """The same as a number."""
         return self.steps(terms).astype(np.float32) / np.float32(self.STEPS)
@@ -77,11 +82,8 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return terms[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def frequent_terms(texts: DataFrame, runs: tuple[tuple[str, int], ...], keep: Kept, rare: int = RARE, few: int = FEW, most: int = MOST) -> Broadcast:
-    """Counts every text of column ``text``; each task adds its own counts up before the shuffle, and rare terms go no further.
-
-    ``texts`` should hold each content once, so that a text which a third of all rows repeat doesn't make its own words common.
-    """
+def term_counts(texts: DataFrame, runs: tuple[tuple[str, int], ...]) -> DataFrame:
+    """``term, n``: how many rows of ``text`` have each term; each task adds its own counts up before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summed: list[tuple[np.ndarray, np.ndarray]] = []
@@ -98,16 +100,34 @@ def frequent_terms(texts: DataFrame, runs: tuple[tuple[str, int], ...], keep: Ke
                     yield _batch(*summed.pop())
         yield _batch(*_merged([*summed, _counted(new)]))
 
-    texts = texts.where(F.col("text").isNotNull())
-    n = texts.count()
-    counts = texts.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    kept = keep(counts.where((F.col("n") * rare >= n) & (F.col("n") > few)), "frequent")
-    held = kept.agg(F.sum("n")).first()[0] or 0
+    return texts.where(F.col("text").isNotNull()).select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def common_counts(texts: DataFrame, runs: tuple[tuple[str, int], ...], keep: Kept, rare: int = RARE, few: int = FEW) -> tuple[DataFrame, int]:
+    """``term, n`` of the terms that more than FEW texts and one in RARE have, as a kept table, and the number of texts."""
+    n = texts.where(F.col("text").isNotNull()).count()
+    counts = term_counts(texts, runs)
+    return keep(counts.where((F.col("n") * rare >= n) & (F.col("n") > few)), "frequent"), n
+
+
+def shared_counts(counts: DataFrame, n: int, rare: int = RARE, few: int = FEW, most: int = MOST) -> Broadcast:
+    """The counts (a kept table) of ``n`` texts as a broadcast ``Frequent`` of at most ``most`` terms."""
+    held = counts.agg(F.sum("n")).first()[0] or 0
     least = -(-held // most)
-    rows = kept.where(F.col("n") >= least).toArrow()
-    keep.free(kept)
+    rows = counts.where((F.col("n") >= least) & (F.col("n") * rare >= n) & (F.col("n") > few)).toArrow()
     found = Frequent(rows["term"].to_numpy().view(np.uint64), rows["n"].to_numpy(), n, min(rare, n / least) if least else rare, few)
-    return texts.sparkSession.sparkContext.broadcast(found)
+    return counts.sparkSession.sparkContext.broadcast(found)
+
+
+def frequent_terms(texts: DataFrame, runs: tuple[tuple[str, int], ...], keep: Kept, rare: int = RARE, few: int = FEW, most: int = MOST) -> Broadcast:
+    """Counts every text of column ``text``.
+
+    ``texts`` should hold each content once, so that a text which a third of all rows repeat doesn't make its own words common.
+    """
+    counts, n = common_counts(texts, runs, keep, rare, few)
+    found = shared_counts(counts, n, rare, few, most)
+    keep.free(counts)
+    return found
 
 
 def _batch(terms: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
