@@ -14,6 +14,7 @@ from studyspark.llm import queries as Q
 from studyspark.llm.components import components
 from studyspark.llm.contents import distinct_contents, in_map, bit_map, needed
 from studyspark.llm.corpus import Frequent, frequent_terms
+from studyspark.llm.wording import collapsed
 from studyspark.plans.shared import Kept
 
 
@@ -127,9 +128,10 @@ def small(tiny):
 def test_near_copies_against_brute_force(spark, small):
     rows = pd.read_parquet(f"{small}/routing_cases.parquet").drop_duplicates("case_id").dropna(subset=["text"])
     docs = frame(spark, list(zip(rows.case_id.tolist(), rows.text.tolist())), "doc long, text string")
-    frequent = frequent_terms(distinct_contents(docs, Kept(spark))[2], near_copies.RUNS, Kept(spark)).value
-    keys = rows.case_id.tolist()
-    want = {(keys[i], keys[j]) for i, j in _brute(rows.text.tolist(), frequent, near_copies.RUNS, near_copies.POWER, near_copies.COSINE)}
+    kept = Kept(spark)
+    _, later, _, frequent = collapsed(distinct_contents(docs, kept)[2], near_copies.RUNS, kept, near_copies.RARE, near_copies.FEW)
+    frequent, keys = frequent.value, rows.case_id.tolist()
+    want = {(r["first"], r["content"]) for r in later.collect()} | {(keys[i], keys[j]) for i, j in _brute(rows.text.tolist(), frequent, near_copies.RUNS, near_copies.POWER, near_copies.COSINE)}
     members, links = near_copies.near_copies(docs, Kept(spark))
     got = {r["doc"]: r["group"] for r in members.collect()}
     closed = groups_of(want)
@@ -153,12 +155,13 @@ def test_overlaps_are_all_between_splits_and_equal_brute_force(spark, small):
     got = {(r["train"], r["held"]) for r in overlap.split_overlaps(rows, Kept(spark)).collect()}
     p = rows.where("held is not null and text is not null").toPandas()
     kept = Kept(spark)
-    frequent = frequent_terms(distinct_contents(rows.where("text is not null"), kept, "tab int, held boolean")[2], overlap.RUNS, kept, overlap.RARE, overlap.FEW).value
+    texts = distinct_contents(rows.where("text is not null"), kept, "tab int, held boolean")[2]
+    frequent = collapsed(texts, overlap.RUNS, kept, overlap.RARE, overlap.FEW, "tab int, held boolean")[3].value
     near = _brute(p.text.tolist(), frequent, overlap.RUNS, overlap.POWER, overlap.COSINE)
     doc, tab, held = p.doc.tolist(), p.tab.tolist(), p.held.tolist()
     want = {(doc[i], doc[j]) if held[j] else (doc[j], doc[i]) for i, j in near if tab[i] == tab[j] and held[i] != held[j]}
-    # products in another order may differ in the last place right at the threshold
-    assert len(got - want) <= 1 and len(want - got) <= 1 and len(want) > 10
+    # of texts with equal common wording only the first is compared, so a few pairs of the others differ
+    assert len(got - want) <= 0.02 * len(want) and len(want - got) <= 0.01 * len(want) and len(want) > 100
     counts = {r["held"]: r["pairs"] for r in overlap.overlap_counts(rows, Kept(spark)).collect()}
     assert counts == Counter(h for _, h in got)
 
@@ -174,11 +177,12 @@ def test_no_overlap_of_the_verdict_is_lost(spark, small):
     docs = frame(spark, list(zip(p.doc.tolist(), p.tab.tolist(), p.held.tolist(), p.text.tolist())), "doc long, tab int, held boolean, text string")
     got = {(r["train"], r["held"]) for r in overlap.split_overlaps(docs, Kept(spark)).collect()}
     kept = Kept(spark)
-    frequent = frequent_terms(distinct_contents(docs, kept, "tab int, held boolean")[2], overlap.RUNS, kept, overlap.RARE, overlap.FEW).value
-    near = _brute(p.text.tolist(), frequent, overlap.RUNS, 1.75, 0.4401)
+    _, later, _, frequent = collapsed(distinct_contents(docs, kept, "tab int, held boolean")[2], overlap.RUNS, kept, overlap.RARE, overlap.FEW, "tab int, held boolean")
+    near = _brute(p.text.tolist(), frequent.value, overlap.RUNS, 1.75, 0.4401)
+    apart = {r["content"] for r in later.collect()}
     doc, held = p.doc.tolist(), p.held.tolist()
     want = {(doc[i], doc[j]) if held[j] else (doc[j], doc[i]) for i, j in near if held[i] != held[j]}
-    assert len(want) > 500 and want <= got
+    assert len(want) > 500 and not [w for w in want - got if w[0] not in apart and w[1] not in apart]
 
 
 def test_postings_hold_the_first_common_term():
@@ -225,6 +229,33 @@ def test_results_do_not_depend_on_the_files_layout(spark):
     assert len({m[0] for m in members}) == len(members) and len(set(pairs)) == len(pairs) > 2000
 
 
+def test_a_third_of_all_rows_may_be_versions_of_one_text(spark):
+    """Each version has a misspelling of its own, at any place; all are one group, and all pairs across splits are found."""
+    rng = np.random.RandomState(8)
+    text = " ".join(f"own{j}" for j in range(20))
+    other = [" ".join(f"w{rng.randint(4000)}" for _ in range(15)) for _ in range(600)]
+    rows = [(i, _edited(rng, text)) for i in range(300)] + [(1000 + i, t) for i, t in enumerate(other)]
+    members, links = near_copies.near_copies(frame(spark, rows, "doc long, text string"), Kept(spark))
+    assert {(r["doc"], r["group"]) for r in members.collect()} == {(i, 0) for i in range(300)}
+    assert links.count() < 300 * 4  # not all pairs of versions
+    docs = frame(spark, [(i, 0, i % 2 == 0, t) for i, t in rows], "doc long, tab int, held boolean, text string")
+    got = {(r["train"], r["held"]) for r in overlap.split_overlaps(docs, Kept(spark)).collect()}
+    assert got == {(i, j) for i in range(1, 300, 2) for j in range(0, 300, 2)}
+    counts = {r["held"]: r["pairs"] for r in overlap.overlap_counts(docs, Kept(spark)).collect()}
+    assert counts == {j: 150 for j in range(0, 300, 2)}
+
+
+def test_equal_wording_needs_most_terms_to_be_common(spark):
+    words = [f"c{j}" for j in range(9)]
+    rows = [(i, " ".join([*words, f"u{i}"])) for i in range(60)] + [(100 + i, " ".join([*words[:6], f"x{i}", f"y{i}", f"z{i}"])) for i in range(60)]
+    texts = frame(spark, rows, "content long, text string")
+    _, later, classes, frequent = collapsed(texts, (("words", 1),), Kept(spark), 5000, 20)
+    assert {(r["content"], r["first"]) for r in later.collect()} == {(i, 0) for i in range(1, 60)}
+    assert {r["first"] for r in classes.collect()} == {0}
+    h, _, _ = terms.tokens(["c8", "c0"])
+    assert frequent.value.idf(h)[1] == pytest.approx(math.log(61 / 61), abs=2e-4) and frequent.value.idf(h)[0] > 1
+
+
 def test_a_long_list_is_split_among_tasks(spark):
     conf = {
         "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
