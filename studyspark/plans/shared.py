@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +67,20 @@ def _remove(spark: SparkSession, path: str) -> None:
 _CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffles of what is run inside are removed as soon as each query has ended; for results that are written or collected at once."""
+    before = spark.conf.get(_CLEAN_SHUFFLES, None)
+    spark.conf.set(_CLEAN_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_SHUFFLES)
+        else:
+            spark.conf.set(_CLEAN_SHUFFLES, before)
+
+
 class Kept:
     """Tables written to the shared folder, so that later jobs neither recompute them nor depend on any executor.
 
@@ -82,15 +98,8 @@ class Kept:
     def __call__(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}-{name}"
-        before = self.spark.conf.get(_CLEAN_SHUFFLES, None)
-        self.spark.conf.set(_CLEAN_SHUFFLES, "true")
-        try:
+        with brief_shuffles(self.spark):
             df.write.parquet(path)
-        finally:
-            if before is None:
-                self.spark.conf.unset(_CLEAN_SHUFFLES)
-            else:
-                self.spark.conf.set(_CLEAN_SHUFFLES, before)
         table = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(table)] = (table, path)
         return table
