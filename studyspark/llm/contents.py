@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..plans.shared import Kept
+from ..plans.shared import Kept, brief_shuffles
 from .batches import slices
 from .terms import both_wholes, tokens
 
@@ -61,7 +61,8 @@ def bit_map(ids: DataFrame, place: Column, bits: int) -> np.ndarray:
     The words are made by an aggregate, so at most 2^(bits - 6) rows of 16 bytes reach the driver, whatever the number of ids.
     """
     rows = ids.select(F.shiftright(place, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-    found = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    with brief_shuffles(ids.sparkSession):
+        found = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     words = np.zeros(1 << (bits - 6), np.uint64)
     words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return words

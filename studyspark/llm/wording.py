@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import Kept
 from .batches import slices
-from .contents import divided
 from .corpus import common_counts, shared_counts, term_counts
 from .terms import distinct, grams_of, mixed, tokens
 
@@ -55,19 +54,21 @@ def collapsed(
 
     Gives ``firsts`` (like ``texts``), ``later`` (content, first: a content left out and the least one of equal common wording and
     equal others), ``classes`` (first, one, two, others of every common wording) and the terms' frequencies over ``firsts``. Only
-    hashes are grouped, added up per task, so a wording that a third of all texts have is one row a task. Frequencies are those of
+    hashes are grouped, added up per task, so a wording that a third of all texts have is one row a task; what is left out is left out
+    by an anti-join. Frequencies are those of
     all texts less those of the texts left out; these alone are read again.
     """
     names = [x.split()[0] for x in others.split(",") if x]
     counts, n = common_counts(texts, runs, keep, rare, few)
     found = keep(wordings(texts, shared_counts(counts, n, rare, few), runs, others).withColumn("of", F.xxhash64("one", *names)), "wordings")
-    by = found.groupBy("of", "two").agg(F.min("content").alias("first"), F.count("*").alias("n"))
-    later = keep(found.select("content", "of", "two").join(by.where("n > 1"), ["of", "two"]).where("content <> first").select("content", "first"), "later")
-    classes = found.join(by.select(F.col("first").alias("content")), "content", "left_semi").select(F.col("content").alias("first"), "one", "two", *names)
-    sure, rest = divided(texts, later)
-    firsts = sure.unionByName(rest.join(later.select("content"), "content", "left_anti"))
-    less = term_counts(rest.join(later.select("content"), "content", "left_semi"), runs).select("term", F.col("n").alias("less"))
+    whose = [F.first(c).alias(c) for c in ("one", *names)]
+    classes = keep(found.groupBy("of", "two").agg(F.min("content").alias("first"), (F.max("content") > F.min("content")).alias("several"), *whose), "classes")
+    later = found.select("content", "of", "two").join(classes.where("several").select("of", "two", "first"), ["of", "two"])
+    later = keep(later.where("content <> first").select("content", "first"), "later")
+    keep.free(found)
+    firsts = texts.join(later.select("content"), "content", "left_anti")
+    less = term_counts(texts.join(later.select("content"), "content", "left_semi"), runs).select("term", F.col("n").alias("less"))
     left = keep(counts.join(less, "term", "left").select("term", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n")), "frequent")
     frequent = shared_counts(left, n - later.count(), rare, few)
     keep.free(counts, left)
-    return firsts, later, classes, frequent
+    return firsts, later, classes.select("first", "one", "two", *names), frequent
