@@ -36,8 +36,8 @@ def hashed(docs: DataFrame, others: str = "") -> DataFrame:
     return docs.select("doc", "text", *names).mapInArrow(work, "doc long, one long, two long" + (", " + others if others else ""))
 
 
-def distinct_contents(docs: DataFrame, keep: Kept, others: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``rows`` (doc, one, two, others; as often as delivered), ``contents`` (content, several, n rows, one, two, others) and ``texts`` (content, text, others).
+def distinct_contents(docs: DataFrame, keep: Kept, others: str = "") -> tuple[DataFrame, DataFrame, DataFrame, tuple[DataFrame, ...]]:
+    """``rows`` (doc, one, two, others; as often as delivered), ``contents`` (content, several, n rows, one, two, others) ``texts`` (content, text, others), and the kept tables behind these.
 
     A content is known by its least doc; rows that differ in ``others`` are different contents; ``several`` says that more than one
     doc has it. Only hashes are grouped, and added up per task before the shuffle. Texts of rows that surely are the only ones of
@@ -49,10 +49,11 @@ def distinct_contents(docs: DataFrame, keep: Kept, others: str = "") -> tuple[Da
     grouped = rows.groupBy("one", "two", *names).agg(F.min("doc").alias("content"), (F.max("doc") > F.min("doc")).alias("several"), F.count("*").alias("n"))
     contents = keep(grouped, "contents")
     again = rows.select("doc", "one", "two").join(contents.where("n > 1").select("one", "two"), ["one", "two"], "left_semi").select(F.col("doc").alias("content"))
-    sure, rest = divided(docs.select(F.col("doc").alias("content"), "text", *names), again)
-    least = rest.join(contents.select("content"), "content", "left_semi").groupBy("content").agg(F.min(F.struct(*names, "text")).alias("t"))
-    texts = sure.where(F.length("text") > 0).unionByName(least.select("content", F.col("t.text").alias("text"), *(F.col(f"t.{n}").alias(n) for n in names)))
-    return rows, contents, keep(texts, "texts")
+    marked = keep(docs.select(F.col("doc").alias("content"), "text", *names).withColumn("maybe", _marked(again)), "marked")
+    rest = marked.where("maybe").join(contents.select("content"), "content", "left_semi").groupBy("content").agg(F.min(F.struct(*names, "text")).alias("t"))
+    rest = keep(rest.select("content", F.col("t.text").alias("text"), *(F.col(f"t.{n}").alias(n) for n in names)), "texts")
+    sure = marked.where(~F.col("maybe") & (F.length("text") > 0)).drop("maybe")
+    return rows, contents, sure.unionByName(rest), (marked, rest)
 
 
 def bit_map(ids: DataFrame, place: Column, bits: int) -> np.ndarray:
@@ -73,9 +74,9 @@ def in_map(words: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (words[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def _marked(texts: DataFrame, ids: DataFrame) -> Column:
+def _marked(ids: DataFrame) -> Column:
     place = F.xxhash64("content").bitwiseAND(F.lit((1 << _BITS) - 1))
-    known = texts.sparkSession.sparkContext.broadcast(bit_map(ids, place, _BITS))
+    known = ids.sparkSession.sparkContext.broadcast(bit_map(ids, place, _BITS))
 
     @pandas_udf("boolean")
     def there(places: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -85,12 +86,6 @@ def _marked(texts: DataFrame, ids: DataFrame) -> Column:
     return there(place)
 
 
-def divided(texts: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``texts`` (content, ...) that ``ids`` (content) surely don't name, and those that it may name."""
-    marked = _marked(texts, ids)
-    return texts.where(~marked), texts.where(marked)
-
-
 def needed(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """Those of ``texts`` (content, text) that ``ids`` (content) may name, by a bit map of fixed size; a few others may stay."""
-    return texts.where(_marked(texts, ids))
+    return texts.where(_marked(ids))

@@ -25,7 +25,7 @@ FEW = 20
 
 
 #: Counts know a term by the upper bits of its hash, and a text within its slice by the other bits.
-_DOC_BITS = np.uint64(16)
+_DOC_BITS, _TERM_BITS = np.uint64(16), 48
 
 
 class Frequent:
@@ -41,6 +41,11 @@ class Frequent:
         self.most = self._steps(np.log(max(2.0, n / max(few, n / rare))))
         self.terms = terms[order]
         self.logs = np.minimum(self._steps(np.log(max(n, 1) / np.maximum(texts[order], 1))), self.most).astype(np.uint16)
+        # where the terms of each value of the upper bits begin, so that a look-up sees few of them
+        bits = max(8, int(4 * len(terms)).bit_length())
+        self._shift = np.uint64(_TERM_BITS - bits)
+        starts = np.searchsorted(self.terms >> self._shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+        self._starts, self._longest = starts.astype(np.int32), int(np.diff(starts).max()) if len(terms) else 0
 
     def _steps(self, x: np.ndarray) -> np.ndarray:
         return np.minimum(np.rint(np.maximum(x, 0) * self.STEPS), 65535).astype(np.uint16)
@@ -49,11 +54,14 @@ class Frequent:
         """ln(texts / texts with the term) in steps, where the latter are at least FEW and texts / RARE."""
         if not len(self.terms):
             return np.full(len(terms), self.most, np.uint16)
-        order = np.argsort(terms)  # look-ups in order are several times faster
-        ordered = terms[order] >> _DOC_BITS
-        at = np.minimum(np.searchsorted(self.terms, ordered), len(self.terms) - 1)
-        out = np.empty(len(terms), np.uint16)
-        out[order] = np.where(self.terms[at] == ordered, self.logs[at], self.most)
+        terms = terms >> _DOC_BITS
+        at = self._starts[(terms >> self._shift).astype(np.int64)]
+        out = np.full(len(terms), self.most, np.uint16)
+        last = len(self.terms) - 1
+        for step in range(self._longest):
+            here = np.minimum(at + np.int32(step), last)
+            hit = np.flatnonzero(self.terms[here] == terms)
+            out[hit] = self.logs[here[hit]]
         return out
 
     def common(self, terms: np.ndarray, share: float) -> np.ndarray:

@@ -172,7 +172,7 @@ def leaked(docs: DataFrame, heldout: DataFrame, keep: Kept, share: float = SHARE
     """
     ship(docs.sparkSession)
     chosen = heldout.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).groupBy(F.col("item_id").alias("doc")).agg(F.min("text").alias("text"))
-    rows, contents, texts = distinct_contents(chosen, keep)
+    rows, contents, texts, _ = distinct_contents(chosen, keep)
     seeds, sizes = item_seeds(texts, keep)
     met = hits(docs.where(F.col("doc_id").isNotNull()), seeds).join(seeds, "seed")
     equal = F.filter(F.sequence(F.lit(0), F.lit(_WIDE - 1)), lambda j: (F.get("own", j) != 0) & (F.get("own", j) == F.get("window", j)))

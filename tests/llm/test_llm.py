@@ -91,7 +91,7 @@ def test_components_equal_union_find(spark):
 
 def test_distinct_contents_and_maps(spark):
     rows = [(5, "A b."), (3, "a, B"), (9, "c"), (9, "c"), (7, None), (8, "。"), (4, "d"), (2, "a b"), (2, "a b")]
-    got, contents, texts = distinct_contents(frame(spark, rows, "doc long, text string").repartition(3).where("text is not null"), Kept(spark))
+    got, contents, texts, _ = distinct_contents(frame(spark, rows, "doc long, text string").repartition(3).where("text is not null"), Kept(spark))
     assert {(r["content"], r["several"]) for r in contents.collect()} == {(2, True), (9, False), (4, False)}
     found = sorted((r["content"], r["text"]) for r in texts.where("text <> '。'").collect())
     assert found == [(2, "a b"), (4, "d"), (9, "c")]
