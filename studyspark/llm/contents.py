@@ -36,8 +36,8 @@ def hashed(docs: DataFrame, others: str = "") -> DataFrame:
     return docs.select("doc", "text", *names).mapInArrow(work, "doc long, one long, two long" + (", " + others if others else ""))
 
 
-def distinct_contents(docs: DataFrame, keep: Kept, others: str = "") -> tuple[DataFrame, DataFrame, DataFrame, tuple[DataFrame, ...]]:
-    """``rows`` (doc, one, two, others; as often as delivered), ``contents`` (content, several, n rows, one, two, others) ``texts`` (content, text, others), and the kept tables behind these.
+def distinct_contents(docs: DataFrame, keep: Kept, others: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``rows`` (doc, one, two, others; as often as delivered), ``contents`` (content, several, n rows, one, two, others) ``texts`` (content, text, others), all kept.
 
     A content is known by its least doc; rows that differ in ``others`` are different contents; ``several`` says that more than one
     doc has it. Only hashes are grouped, and added up per task before the shuffle. Texts of rows that surely are the only ones of
@@ -49,11 +49,12 @@ def distinct_contents(docs: DataFrame, keep: Kept, others: str = "") -> tuple[Da
     grouped = rows.groupBy("one", "two", *names).agg(F.min("doc").alias("content"), (F.max("doc") > F.min("doc")).alias("several"), F.count("*").alias("n"))
     contents = keep(grouped, "contents")
     again = rows.select("doc", "one", "two").join(contents.where("n > 1").select("one", "two"), ["one", "two"], "left_semi").select(F.col("doc").alias("content"))
-    marked = keep(docs.select(F.col("doc").alias("content"), "text", *names).withColumn("maybe", _marked(again)), "marked")
-    rest = marked.where("maybe").join(contents.select("content"), "content", "left_semi").groupBy("content").agg(F.min(F.struct(*names, "text")).alias("t"))
-    rest = keep(rest.select("content", F.col("t.text").alias("text"), *(F.col(f"t.{n}").alias(n) for n in names)), "texts")
-    sure = marked.where(~F.col("maybe") & (F.length("text") > 0)).drop("maybe")
-    return rows, contents, sure.unionByName(rest), (marked, rest)
+    every = docs.select(F.col("doc").alias("content"), "text", *names)
+    maybe = _marked(again)
+    least = every.where(maybe).join(contents.select("content"), "content", "left_semi").groupBy("content").agg(F.min(F.struct(*names, "text")).alias("t"))
+    sure = every.where(~maybe & (F.length("text") > 0))
+    texts = sure.unionByName(least.select("content", F.col("t.text").alias("text"), *(F.col(f"t.{n}").alias(n) for n in names)))
+    return rows, contents, keep(texts, "texts")
 
 
 def bit_map(ids: DataFrame, place: Column, bits: int) -> np.ndarray:
