@@ -112,16 +112,15 @@ def term_counts(texts: DataFrame, runs: tuple[tuple[str, int], ...]) -> DataFram
 
 
 def common_counts(texts: DataFrame, runs: tuple[tuple[str, int], ...], keep: Kept, rare: int = RARE, few: int = FEW) -> tuple[DataFrame, int]:
-    """``term, n`` of the terms that more than FEW texts and one in RARE have, as a kept table, and the number of texts."""
-    n = texts.where(F.col("text").isNotNull()).count()
+    """``term, n`` of the terms that more than FEW of ``texts`` (without nulls) and one in RARE have, as a kept table, and the number of texts."""
+    n = texts.count()
     counts = term_counts(texts, runs)
     return keep(counts.where((F.col("n") * rare >= n) & (F.col("n") > few)), "frequent"), n
 
 
 def shared_counts(counts: DataFrame, n: int, rare: int = RARE, few: int = FEW, most: int = MOST) -> Broadcast:
     """The counts (a kept table) of ``n`` texts as a broadcast ``Frequent`` of at most ``most`` terms."""
-    held = counts.agg(F.sum("n")).first()[0] or 0
-    least = -(-held // most)
+    least = -(-counts.agg(F.sum("n")).first()[0] // most) if counts.count() > most else 0
     rows = counts.where((F.col("n") >= least) & (F.col("n") * rare >= n) & (F.col("n") > few)).toArrow()
     found = Frequent(rows["term"].to_numpy().view(np.uint64), rows["n"].to_numpy(), n, min(rare, n / least) if least else rare, few)
     return counts.sparkSession.sparkContext.broadcast(found)
@@ -132,7 +131,7 @@ def frequent_terms(texts: DataFrame, runs: tuple[tuple[str, int], ...], keep: Ke
 
     ``texts`` should hold each content once, so that a text which a third of all rows repeat doesn't make its own words common.
     """
-    counts, n = common_counts(texts, runs, keep, rare, few)
+    counts, n = common_counts(texts.where(F.col("text").isNotNull()), runs, keep, rare, few)
     found = shared_counts(counts, n, rare, few, most)
     keep.free(counts)
     return found
