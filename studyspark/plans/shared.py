@@ -99,7 +99,7 @@ class Kept:
         self.n += 1
         path = f"{self.root}/{self.n}-{name}"
         with brief_shuffles(self.spark):
-            df.write.parquet(path)
+            df.write.option("parquet.enable.dictionary", "false").parquet(path)  # hashes and texts hardly repeat
         table = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(table)] = (table, path)
         return table
