@@ -129,14 +129,30 @@ def candidates(ours: DataFrame, theirs: DataFrame, cosine: float) -> DataFrame:
     """
     a = ours.select("term", F.col("content").alias("a"), F.col("packed").alias("pa"))
     b = theirs.select("term", F.col("content").alias("b"), F.col("packed").alias("pb"))
+    return _allowed(a.join(b, "term"), cosine)
+
+
+def _allowed(met: DataFrame, cosine: float) -> DataFrame:
+    """``a, b`` of common postings (a, b, pa, pb) that allow the cosine."""
     (wa, na, sa), (wb, nb, sb) = _parts("pa"), _parts("pb")
-    met = a.join(b, "term").where(na * nb >= cosine)
     rest = [F.sqrt(F.greatest(F.lit(0.0), (n + 2 / _UNIT) * (n + 2 / _UNIT) - w * w + 4 / _UNIT)) for n, w in ((na, wa), (nb, wb))]
     after = F.least(rest[0] * rest[1], sa * wb, sb * wa)
-    sums = met.select("a", "b", (wa * wb).alias("product"), after.alias("after")).groupBy("a", "b").agg(F.sum("product").alias("dot"), F.min("after").alias("after"))
+    products = met.where(na * nb >= cosine).select("a", "b", (wa * wb).alias("product"), after.alias("after"))
+    sums = products.groupBy("a", "b").agg(F.sum("product").alias("dot"), F.min("after").alias("after"))
     return sums.where(F.col("dot") + F.least(F.lit(cosine), F.col("after")) >= cosine).select("a", "b")
 
 
+def candidates_apart(ours: DataFrame, theirs: DataFrame, same: DataFrame, cosine: float) -> DataFrame:
+    """The same of postings that name their content's class (``first``), but for pairs of the classes ``same`` (a, b).
+
+    Classes meet before their members do, so the versions of one text, which share most lists, are not paired with each other.
+    """
+    a, b = (side.select("term", F.col("first").alias(unit), F.col("content").alias(end), F.col("packed").alias(p)) for side, unit, end, p in ((ours, "ua", "a", "pa"), (theirs, "ub", "b", "pb")))
+    units = a.select("term", "ua").distinct().join(b.select("term", "ub").distinct(), "term")
+    units = units.join(same.select(F.col("a").alias("ua"), F.col("b").alias("ub")), ["ua", "ub"], "left_anti")
+    return _allowed(units.join(a, ["term", "ua"]).join(b, ["term", "ub"]), cosine)
+
+
 def parted(texts: DataFrame, frequent: Broadcast) -> DataFrame:
     """``content, parts``: the norms of each unit vector in each part of the vocabulary, rounded up to 255ths, as bytes."""
 
@@ -182,77 +198,88 @@ def within_bound(pairs: DataFrame, texts: DataFrame, frequent: Broadcast, cosine
     return found
 
 
-def candidates(ours: DataFrame, theirs: DataFrame, cosine: float) -> DataFrame:
-    """``a, b``: contents of the two sides (their postings) whose common postings allow the cosine.
-
-    The lists meet in an equi-join of exchanges that Spark plans, so it splits a long list among tasks. A pair's products are added
-    up; after its last common posting it can gain no more than the product of the residual norms, and no more than one side's sum
-    of weights times the other's greatest weight, which is that of the last common term, since weights only fall from there on. All
-    parts are rounded up, so no pair that has the cosine is lost.
-    """
-    a = ours.select("term", F.col("content").alias("a"), F.col("packed").alias("pa"))
-    b = theirs.select("term", F.col("content").alias("b"), F.col("packed").alias("pb"))
-    (wa, na, sa), (wb, nb, sb) = _parts("pa"), _parts("pb")
-    met = a.join(b, "term").where(na * nb >= cosine)
-    rest = [F.sqrt(F.greatest(F.lit(0.0), (n + 2 / _UNIT) * (n + 2 / _UNIT) - w * w + 4 / _UNIT)) for n, w in ((na, wa), (nb, wb))]
-    after = F.least(rest[0] * rest[1], sa * wb, sb * wa)
-    sums = met.select("a", "b", (wa * wb).alias("product"), after.alias("after")).groupBy("a", "b").agg(F.sum("product").alias("dot"), F.min("after").alias("after"))
-    return sums.where(F.col("dot") + F.least(F.lit(cosine), F.col("after")) >= cosine).select("a", "b")
-
-
 def split_links(docs: DataFrame, keep: Kept, cosine: float = COSINE) -> tuple[DataFrame, DataFrame]:
-    """``links`` (a, b, cosine) between contents of training rows and of held-out rows, and ``rows`` (tab, held, content, doc; repeated rows once).
+    """``links`` (a, b, cosine, wording) between training rows and held-out rows, and ``rows`` (tab, held, content, unit, doc; repeated rows once).
 
     ``docs``: ``doc`` bigint (unique over all tables), ``tab`` int, ``held`` boolean (null: in no split), ``text``. Rows may be
     repeated. Null texts and texts without letters or digits overlap with none. A content is known by its least doc, apart for
-    each table and side.
+    each table and side. A link with ``wording`` is one of all rows of unit ``a`` with all of unit ``b``, whose common wording is the
+    same; any other is one of two contents. No two rows are linked both ways.
 
     Vectors of idf-weighted terms are posted in inverted lists, greatest weights first, as long as the norm from there on (residual
     norm) is at least ``cosine``, and on the training side as long as its product with the greatest residual norm of the held-out
     side's list allows it; ``candidates`` joins the lists of the two sides and prunes. The cosines of what is left are
     computed from the whole texts. All bounds are exact, so no pair is lost. Equal contents meet under their hashes, and contents of
-    equal common wording (``wording``) under those of that; the latter are one content here, the least of them.
+    equal common wording (``wording``) under those of that. Terms are counted over the first content of each wording alone; the later
+    ones are posted too, and meet all contents but those of their own wording. For that each of their lists is one of its own, which
+    firsts join as well; later ones of two sides meet by their classes.
     """
     ship(docs.sparkSession)
     docs = docs.where(F.col("text").isNotNull() & F.col("doc").isNotNull()).select("doc", "tab", "held", "text")
     rows, contents, kept = distinct_contents(docs, keep, "tab int, held boolean")
     firsts, later, classes, frequent = collapsed(kept, RUNS, keep, RARE, FEW, "tab int, held boolean")
-    theirs = keep(postings(firsts.where("held"), frequent, cosine), "held")
-    most = docs.sparkSession.sparkContext.broadcast(greatest(theirs))
-    found = keep(candidates(postings(firsts.where("not held"), frequent, cosine, most), theirs, cosine), "candidates")
-    keep.free(theirs)
-    texts = kept.select("content", "text")
-    pairs = within_bound(found, kept.where(F.col("held").isNotNull()).select("content", "text"), frequent, cosine, keep)
-    both, some = with_texts(pairs, texts, keep)
-    near = similar(both.select("a", "b", "left", "right"), frequent, "a long, b long", cosine, RUNS, POWER)
-    units = contents.where(F.col("held").isNotNull()).join(later, "content", "left").select("one", "two", "tab", "held", F.coalesce("first", "content").alias("unit"))
 
     def equal(of: DataFrame, unit: str) -> DataFrame:
         ours, theirs = of.where(~F.col("held")), of.where(F.col("held"))
         both = ours.select("one", "two", "tab", F.col(unit).alias("a")).join(theirs.select("one", "two", "tab", F.col(unit).alias("b")), ["one", "two", "tab"])
         return both.select("a", "b", F.lit(1.0).alias("cosine"))
 
-    links = near.select("a", "b", "cosine").unionByName(equal(units, "unit")).unionByName(equal(classes, "first"))
-    links = keep(links.groupBy("a", "b").agg(F.max("cosine").alias("cosine")), "links")
-    keep.free(found, pairs, some, kept)
-    linked = units.join(links.select(F.explode(F.array("a", "b")).alias("unit")).distinct(), "unit", "left_semi")
-    members = rows.join(linked, ["one", "two", "tab", "held"]).select("tab", "held", F.col("unit").alias("content"), "doc").dropDuplicates(["doc"])
+    same = keep(equal(classes, "first"), "same")
+    late = keep(kept.where(F.col("held").isNotNull()).join(later, "content"), "late")
+    theirs = keep(postings(firsts.where("held"), frequent, cosine), "held")
+    late_theirs = keep(postings(late.where("held"), frequent, cosine).join(later, "content"), "held")
+    most = docs.sparkSession.sparkContext.broadcast(greatest(theirs.unionByName(late_theirs.drop("first"))))
+    late_ours = keep(postings(late.where("not held"), frequent, cosine, most).join(later, "content"), "late")
+    own = F.bitwise_not("term").alias("term")
+    ours = postings(firsts.where("not held"), frequent, cosine, most).unionByName(late_ours.select(own, "content", "packed"))
+    again = theirs.join(late_ours.select("term").distinct(), "term", "left_semi").select(own, "content", "packed")
+    every = theirs.unionByName(late_theirs.drop("first")).unionByName(again)
+    found = keep(candidates(ours, every, cosine).unionByName(candidates_apart(late_ours, late_theirs, same, cosine)), "candidates")
+    keep.free(theirs, late_theirs, late_ours, late)
+    texts = kept.select("content", "text")
+    pairs = within_bound(found, kept.where(F.col("held").isNotNull()).select("content", "text"), frequent, cosine, keep)
+    both, some = with_texts(pairs, texts, keep)
+    near = similar(both.select("a", "b", "left", "right"), frequent, "a long, b long", cosine, RUNS, POWER)
+    units = contents.where(F.col("held").isNotNull()).join(later, "content", "left").select("one", "two", "tab", "held", "content", F.coalesce("first", "content").alias("unit"))
+    linked = near.select("a", "b", "cosine").unionByName(equal(units, "content")).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    for end in ("a", "b"):
+        of = later.select(F.col("content").alias(end), F.col("first").alias(f"first_{end}"))
+        linked = linked.join(of, end, "left").withColumn(f"unit_{end}", F.coalesce(f"first_{end}", end))
+    linked = linked.join(same.select(F.col("a").alias("unit_a"), F.col("b").alias("unit_b")), ["unit_a", "unit_b"], "left_anti")
+    links = linked.select("a", "b", "cosine", F.lit(False).alias("wording")).unionByName(same.withColumn("wording", F.lit(True)))
+    links = keep(links, "links")
+    keep.free(found, pairs, some, kept, same)
+    ends = links.select(F.explode(F.array("a", "b")).alias("content"), "wording").distinct()
+    others = later.join(ends.where("wording").select(F.col("content").alias("first")), "first").select("content")
+    needed = ends.select("content").unionByName(others)
+    members = rows.join(units.join(needed, "content", "left_semi"), ["one", "two", "tab", "held"]).select("tab", "held", "content", "unit", "doc").dropDuplicates(["doc"])
     members = keep(members, "members")
     keep.free(rows, contents, later)
     return links, members
 
 
+def _sides(links: DataFrame, rows: DataFrame) -> list[tuple[DataFrame, DataFrame, DataFrame]]:
+    """Links of contents and of units, each with training rows as ``a`` and held-out rows as ``b``."""
+    ours, theirs = rows.where(~F.col("held")), rows.where(F.col("held"))
+    return [
+        (links.where(F.col("wording") == wording), ours.select("tab", "doc", F.col(by).alias("a")), theirs.select("doc", F.col(by).alias("b")))
+        for by, wording in (("content", False), ("unit", True))
+    ]
+
+
 def split_overlaps(docs: DataFrame, keep: Kept, cosine: float = COSINE) -> DataFrame:
     """``tab, train, held, cosine``: all pairs of a training row and a held-out row of one table whose texts are the same or nearly so."""
-    links, rows = split_links(docs, keep, cosine)
-    train = rows.where(~F.col("held")).select("tab", F.col("doc").alias("train"), F.col("content").alias("a"))
-    held = rows.where(F.col("held")).select(F.col("doc").alias("held"), F.col("content").alias("b"))
-    return links.join(train, "a").join(held, "b").select("tab", "train", "held", "cosine")
+    found = [
+        of.join(ours.withColumnRenamed("doc", "train"), "a").join(theirs.withColumnRenamed("doc", "held"), "b").select("tab", "train", "held", "cosine")
+        for of, ours, theirs in _sides(*split_links(docs, keep, cosine))
+    ]
+    return found[0].unionByName(found[1])
 
 
 def overlap_counts(docs: DataFrame, keep: Kept, cosine: float = COSINE) -> DataFrame:
-    """``held, pairs``: each held-out row that overlaps with training rows, and with how many; pairs are counted by content, never listed."""
-    links, rows = split_links(docs, keep, cosine)
-    sizes = rows.where(~F.col("held")).groupBy(F.col("content").alias("a")).agg(F.count("*").alias("copies"))
-    hits = links.join(sizes, "a").groupBy("b").agg(F.sum("copies").alias("pairs"))
-    return rows.where(F.col("held")).select(F.col("doc").alias("held"), F.col("content").alias("b")).join(hits, "b").select("held", "pairs")
+    """``held, pairs``: each held-out row that overlaps with training rows, and with how many; pairs are counted by content or unit, never listed."""
+    found = []
+    for of, ours, theirs in _sides(*split_links(docs, keep, cosine)):
+        hits = of.join(ours.groupBy("a").agg(F.count("*").alias("copies")), "a").groupBy("b").agg(F.sum("copies").alias("pairs"))
+        found.append(theirs.join(hits, "b").select(F.col("doc").alias("held"), "pairs"))
+    return found[0].unionByName(found[1]).groupBy("held").agg(F.sum("pairs").alias("pairs"))

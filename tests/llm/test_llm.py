@@ -245,6 +245,30 @@ def test_a_third_of_all_rows_may_be_versions_of_one_text(spark):
     assert counts == {j: 150 for j in range(0, 300, 2)}
 
 
+def _versions_with_own_words():
+    """Versions of one text with three words of their own each; texts of three such words; and texts that make the common words common."""
+    rng = np.random.RandomState(4)
+    common = [f"c{j}" for j in range(9)]
+    versions = [" ".join([*common, *(f"u{i}x{k}" for k in range(3))]) for i in range(60)]
+    own = [" ".join([*(f"u{i}x{k}" for k in range(3)), f"z{i}"]) for i in range(60)]
+    other = [" ".join([*rng.permutation(common)[:4], *(f"o{i}x{k}" for k in range(8))]) for i in range(100)]
+    return versions, own, other
+
+
+def test_overlaps_of_later_versions_are_found(spark):
+    """A version's own words are what it shares with another text, which the first of its common wording hasn't."""
+    versions, own, other = _versions_with_own_words()
+    rows = [(i, 0, i >= 40, t) for i, t in enumerate(versions)] + [(1000 + i, 0, i < 40, t) for i, t in enumerate(own)]
+    rows += [(2000 + i, 0, i % 2 == 0, t) for i, t in enumerate(other)]
+    docs = frame(spark, rows, "doc long, tab int, held boolean, text string")
+    got = [(r["train"], r["held"]) for r in overlap.split_overlaps(docs, Kept(spark)).collect()]
+    assert len(got) == len(set(got))
+    want = {(i, j) for i in range(40) for j in range(40, 60)} | {(i, 1000 + i) for i in range(40)} | {(1000 + i, i) for i in range(40, 60)}
+    assert set(got) == want
+    counts = {r["held"]: r["pairs"] for r in overlap.overlap_counts(docs, Kept(spark)).collect()}
+    assert counts == Counter(h for _, h in got)
+
+
 def test_equal_wording_needs_most_terms_to_be_common(spark):
     words = [f"c{j}" for j in range(9)]
     rows = [(i, " ".join([*words, f"u{i}"])) for i in range(60)] + [(100 + i, " ".join([*words[:6], f"x{i}", f"y{i}", f"z{i}"])) for i in range(60)]
