@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import Kept
+
 
 def _rank_hash(seed: int, *columns):
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *columns))
@@ -48,22 +50,33 @@ def group_candidates(df: DataFrame, group: str, label: str, test_size: float = 0
     """``candidate, score, test_groups``: for each candidate shuffle of the groups how far test shares are off, over all rows and labels.
 
     Candidates that leave a label out of either side are not listed. Rows are first counted by group and label. A group meets all
-    candidates where it lies; what is shuffled are counts by candidate and range of hashes, then by candidate and label, and the
-    groups of the one range that holds a candidate's cut.
+    candidates where it lies, and its rows are added up there by candidate, range of hashes and label: ranges below that of a
+    candidate's cut are test as a whole. Only the groups of that one range are shuffled (candidates / 256 of a group on the average).
     """
+    keep = Kept(df.sparkSession)
     counts = df.dropna(subset=[group, label]).groupBy(F.col(group).alias("g"), F.col(label).alias("l")).agg(F.count("*").alias("n"))
-    groups = counts.groupBy("g").agg(F.collect_list(F.struct("l", "n")).alias("labels"))
+    groups = keep(counts.groupBy("g").agg(F.collect_list(F.struct("l", "n")).alias("labels")), "groups")
     spread = groups.withColumn("candidate", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(candidates - 1).cast("bigint"))))
-    spread = spread.withColumn("h", _rank_hash(seed, F.col("candidate").cast("string"), F.col("g")))
-    test = first_share(spread, ["candidate"], "h", "g", test_size).withColumn("test", F.col("first"))
-    each = test.select("candidate", "test", F.explode("labels").alias("x")).select("candidate", "test", F.col("x.l").alias("l"), F.col("x.n").alias("n"))
-    by_label = each.groupBy("candidate", "l").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("test"), F.col("n")).otherwise(0)).alias("t"))
+    spread = spread.withColumn("h", _rank_hash(seed, F.col("candidate").cast("string"), F.col("g"))).withColumn("range", F.substring("h", 1, 2))
+    each = spread.select("candidate", "range", F.posexplode("labels").alias("place", "x"))
+    summed = keep(each.groupBy("candidate", "range", F.col("x.l").alias("l")).agg(F.sum("x.n").alias("n"), F.count_if(F.col("place") == 0).alias("groups")), "ranges")
+    w = Window.partitionBy("candidate")
+    upto = summed.groupBy("candidate", "range").agg(F.sum("groups").alias("groups"))
+    upto = upto.withColumns({"upto": F.sum("groups").over(w.orderBy("range")), "test_groups": F.ceil(F.lit(test_size) * F.sum("groups").over(w))})
+    cut = upto.where(F.col("upto") >= F.col("test_groups")).groupBy("candidate", "test_groups").agg(F.min(F.struct("range", F.col("upto") - F.col("groups"))).alias("c"))
+    cut = keep(cut.select("candidate", "test_groups", F.col("c.range").alias("cut"), (F.col("test_groups") - F.col("c.col2")).alias("more")), "cut")
+    edge = spread.join(F.broadcast(cut), "candidate").where(F.col("range") == F.col("cut"))
+    edge = edge.withColumn("rank", F.row_number().over(w.orderBy("h", "g"))).where(F.col("rank") <= F.col("more"))
+    edge = edge.select("candidate", F.explode("labels").alias("x")).select("candidate", F.col("x.l").alias("l"), F.lit(0).cast("bigint").alias("n"), F.col("x.n").alias("t"))
+    below = F.when(F.col("range") < F.col("cut"), F.col("n")).otherwise(F.lit(0))
+    whole = summed.join(F.broadcast(cut), "candidate").select("candidate", "l", "n", below.alias("t"))
+    by_label = whole.unionByName(edge).groupBy("candidate", "l").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     scores = by_label.groupBy("candidate").agg(
         F.abs(F.sum("t") / F.sum("n") - test_size).alias("all_off"), F.avg(F.abs(F.col("t") / F.col("n") - test_size)).alias("label_off"),
         F.min(F.least("t", F.col("n") - F.col("t"))).alias("least"),
     )
-    sizes = test.groupBy("candidate").agg(F.count_if("test").alias("test_groups"))
-    return scores.where("least > 0").join(sizes, "candidate").select("candidate", (F.rint((F.col("all_off") + F.col("label_off")) * 1e9) / 1e9).alias("score"), "test_groups")
+    found = scores.where("least > 0").join(F.broadcast(cut.select("candidate", "test_groups")), "candidate")
+    return found.select("candidate", (F.rint((F.col("all_off") + F.col("label_off")) * 1e9) / 1e9).alias("score"), "test_groups")
 
 
 def grouped(df: DataFrame, key: str, group: str, label: str, test_size: float = 0.2, seed: int = 42, candidates: int = 128) -> DataFrame:
