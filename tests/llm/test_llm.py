@@ -269,6 +269,20 @@ def test_overlaps_of_later_versions_are_found(spark):
     assert counts == Counter(h for _, h in got)
 
 
+def test_copies_of_later_versions_are_found(spark):
+    """The same for copies: a text that only a later version shares its words with joins the group, and so do two wordings by later ones."""
+    versions, own, other = _versions_with_own_words()
+    again = [t.replace("c", "d") for t in versions]  # another wording; its versions have the same words of their own
+    rows = [(i, t) for i, t in enumerate(versions)] + [(100 + i, t) for i, t in enumerate(again[1:])] + [(1000 + i, own[i]) for i in range(20, 50)]
+    rows += [(2000 + 2 * i + j, t) for i, o in enumerate(other) for j, t in enumerate((o, o.replace("c", "d").replace("o", "p")))]
+    members, links = near_copies.near_copies(frame(spark, rows, "doc long, text string"), Kept(spark), matches=1)
+    groups = {r["doc"]: r["group"] for r in members.collect()}
+    assert {groups.get(i) for i in [*range(60), *range(100, 159), *range(1000 + 20, 1000 + 50)]} == {0}
+    assert not [d for d in groups if d >= 2000] and links.where("a >= b").count() == 0
+    assert links.count() == links.select("a", "b").distinct().count()
+
+
+
 def test_equal_wording_needs_most_terms_to_be_common(spark):
     words = [f"c{j}" for j in range(9)]
     rows = [(i, " ".join([*words, f"u{i}"])) for i in range(60)] + [(100 + i, " ".join([*words[:6], f"x{i}", f"y{i}", f"z{i}"])) for i in range(60)]
