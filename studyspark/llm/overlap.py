@@ -154,7 +154,7 @@ def candidates_apart(ours: DataFrame, theirs: DataFrame, same: DataFrame, cosine
 
 
 def parted(texts: DataFrame, frequent: Broadcast) -> DataFrame:
-    """``content, parts``: the norms of each unit vector in each part of the vocabulary, rounded up to 255ths, as bytes."""
+    """``content, parts``: the norms of each unit vector in each part of the vocabulary, rounded up to 255ths, as ``_bytes`` reads them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, some in slices(batches):
@@ -166,18 +166,37 @@ def parted(texts: DataFrame, frequent: Broadcast) -> DataFrame:
             place = where * np.int64(PARTS) + (terms >> np.uint64(20)).astype(np.int64) % PARTS
             norms = np.sqrt(np.bincount(place, squares / total[where], minlength=n * PARTS))
             raw = np.minimum(np.ceil(norms * 255 + 0.01 * (norms > 0)), 255).astype(np.uint8)
-            offsets = pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(PARTS))
-            parts = pa.Array.from_buffers(pa.binary(), n, [None, offsets.buffers()[1], pa.py_buffer(raw.tobytes())])
+            offsets, data = _sparse(raw.reshape(n, PARTS))
+            parts = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
             yield pa.RecordBatch.from_arrays([batch.column("content"), parts], ["content", "parts"])
 
     return texts.select("content", "text").mapInArrow(work, "content long, parts binary")
 
 
+def _sparse(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of the rows of a matrix, for each a bit map of the places that aren't 0 and these places' values."""
+    bits = np.packbits(raw > 0, axis=1)
+    row, place = np.nonzero(raw)
+    count = np.bincount(row, minlength=len(raw))
+    offsets = np.append(0, np.cumsum(count + PARTS // 8))
+    data = np.empty(offsets[-1], np.uint8)
+    maps = np.zeros(len(data), bool)
+    maps[(offsets[:-1, None] + np.arange(PARTS // 8)).ravel()] = True
+    data[maps], data[~maps] = bits.ravel(), raw[row, place]
+    return offsets.astype(np.int32), data
+
+
 def _bytes(column: pa.Array) -> np.ndarray:
-    """A binary column of PARTS bytes a row as a matrix, without a copy."""
-    start = column.buffers()[1]
-    first = np.frombuffer(start, np.int32)[column.offset] if len(column) else 0
-    return np.frombuffer(column.buffers()[2], np.uint8, len(column) * PARTS, int(first)).reshape(-1, PARTS) if len(column) else np.zeros((0, PARTS), np.uint8)
+    """The matrix of a binary column that ``_sparse`` made."""
+    n = len(column)
+    out = np.zeros((n, PARTS), np.uint8)
+    if n:
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
+        data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        maps = np.zeros(len(data), bool)
+        maps[(offsets[:-1, None] - offsets[0] + np.arange(PARTS // 8)).ravel()] = True
+        out[np.unpackbits(data[maps].reshape(n, PARTS // 8), axis=1).astype(bool)] = data[~maps]
+    return out
 
 
 def within_bound(pairs: DataFrame, texts: DataFrame, frequent: Broadcast, cosine: float, keep: Kept) -> DataFrame:

@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,6 +270,15 @@ def test_overlaps_of_later_versions_are_found(spark):
     assert counts == Counter(h for _, h in got)
 
 
+def test_parts_are_read_as_they_were_written():
+    rng = np.random.RandomState(2)
+    raw = (rng.randint(1, 256, (40, overlap.PARTS)) * (rng.rand(40, overlap.PARTS) < np.linspace(0, 1, 40)[:, None])).astype(np.uint8)
+    offsets, data = overlap._sparse(raw)
+    column = pa.Array.from_buffers(pa.binary(), 40, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+    assert (overlap._bytes(column) == raw).all() and (overlap._bytes(column.slice(7, 20)) == raw[7:27]).all()
+    assert (np.diff(offsets) == overlap.PARTS // 8 + (raw > 0).sum(axis=1)).all()  # a part without terms takes a bit
+
+
 def test_copies_of_later_versions_are_found(spark):
     """The same for copies: a text that only a later version shares its words with joins the group, and so do two wordings by later ones."""
     versions, own, other = _versions_with_own_words()
