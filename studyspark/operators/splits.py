@@ -53,8 +53,12 @@ def group_candidates(df: DataFrame, group: str, label: str, test_size: float = 0
     candidates where it lies, and its rows are added up there by candidate, range of hashes and label: ranges below that of a
     candidate's cut are test as a whole. Only the groups of that one range are shuffled (candidates / 256 of a group on the average).
     """
-    keep = Kept(df.sparkSession)
     counts = df.dropna(subset=[group, label]).groupBy(F.col(group).alias("g"), F.col(label).alias("l")).agg(F.count("*").alias("n"))
+    return _rated(counts, Kept(df.sparkSession), test_size, seed, candidates)[0].select("candidate", "score", "test_groups")
+
+
+def _rated(counts: DataFrame, keep: Kept, test_size: float, seed: int, candidates: int) -> tuple[DataFrame, DataFrame]:
+    """The candidates with their cuts, and the groups (``g``, ``labels``) as a kept table; counts: rows by group ``g`` and label ``l``."""
     groups = keep(counts.groupBy("g").agg(F.collect_list(F.struct("l", "n")).alias("labels")), "groups")
     spread = groups.withColumn("candidate", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(candidates - 1).cast("bigint"))))
     spread = spread.withColumn("h", _rank_hash(seed, F.col("candidate").cast("string"), F.col("g"))).withColumn("range", F.substring("h", 1, 2))
@@ -75,25 +79,37 @@ def group_candidates(df: DataFrame, group: str, label: str, test_size: float = 0
         F.abs(F.sum("t") / F.sum("n") - test_size).alias("all_off"), F.avg(F.abs(F.col("t") / F.col("n") - test_size)).alias("label_off"),
         F.min(F.least("t", F.col("n") - F.col("t"))).alias("least"),
     )
-    found = scores.where("least > 0").join(F.broadcast(cut.select("candidate", "test_groups")), "candidate")
-    return found.select("candidate", (F.rint((F.col("all_off") + F.col("label_off")) * 1e9) / 1e9).alias("score"), "test_groups")
+    found = scores.where("least > 0").join(F.broadcast(cut), "candidate")
+    return found.withColumn("score", F.rint((F.col("all_off") + F.col("label_off")) * 1e9) / 1e9), groups
 
 
 def grouped(df: DataFrame, key: str, group: str, label: str, test_size: float = 0.2, seed: int = 42, candidates: int = 128) -> DataFrame:
     """``df`` with ``split``: whole groups in train or test, by the candidate of least (score, number).
 
-    Labels with fewer than two groups are split by row; rows without group or label are train.
+    Labels with fewer than two groups are split by row; rows without group or label are train. Key, group and label are kept as a
+    table, and so is each later step, so that ``df`` isn't worked out again for each and every plan stays small.
     """
-    few = df.dropna(subset=[group, label]).groupBy(F.col(label).alias("__label")).agg((F.count_distinct(group) < 2).alias("__few"))
-    rows = df.join(few, df[label] == few["__label"], "left").drop("__label")
-    unit = F.when(F.col("__few"), F.concat(F.lit("record-id:"), F.col(key).cast("string"))).otherwise(F.concat(F.lit("field:"), F.col(group).cast("string")))
-    rows = rows.withColumn("__unit", F.when(F.col(label).isNotNull(), unit)).drop("__few")
-    best = group_candidates(rows, "__unit", label, test_size, seed, candidates).agg(F.min(F.struct("score", "candidate")).alias("b")).collect()[0]["b"]
+    keep = Kept(df.sparkSession)
+    rows = keep(df.select(*dict.fromkeys([key, group, label])), "rows")
+    named = rows.select(F.col(key).cast("string").alias("k"), F.col(group).cast("string").alias("g"), F.col(label).alias("l"))
+    pairs = keep(named.dropna(subset=["g", "l"]).groupBy("g", "l").agg(F.count("*").alias("n")), "pairs")
+    few = keep(pairs.groupBy("l").agg(F.count("*").alias("n")).where("n < 2").select("l"), "few")
+    by_row, by_group = F.concat(F.lit("record-id:"), F.col("k")), F.concat(F.lit("field:"), F.col("g"))
+    alone = named.dropna(subset=["k"]).join(few, "l", "left_semi").groupBy(by_row.alias("g"), "l").agg(F.count("*").alias("n"))
+    found, groups = _rated(pairs.join(few, "l", "left_anti").select(by_group.alias("g"), "l", "n").unionByName(alone), keep, test_size, seed, candidates)
+    best = found.agg(F.min(F.struct("score", "candidate", "cut", "more")).alias("b")).collect()[0]["b"]
     if best is None:
         raise ValueError("no candidate has every label on both sides")
-    units = rows.select("__unit").dropna().distinct().withColumn("__h", _rank_hash(seed, F.lit(str(best["candidate"])), F.col("__unit")))
-    test = first_share(units, [], "__h", "__unit", test_size).where("first").select("__unit", F.lit(True).alias("__test"))
-    return rows.join(test, "__unit", "left").withColumn("split", F.when(F.col("__test"), "test").otherwise("train")).select(*df.columns, "split")
+    units = groups.select(F.col("g").alias("__unit"), _rank_hash(seed, F.lit(str(best["candidate"])), F.col("g")).alias("h")).withColumn("range", F.substring("h", 1, 2))
+    edge = units.where(F.col("range") == best["cut"]).withColumn("rank", F.row_number().over(Window.partitionBy("range").orderBy("h", "__unit")))
+    test = units.where(F.col("range") < best["cut"]).select("__unit").unionByName(edge.where(F.col("rank") <= best["more"]).select("__unit"))
+    test = keep(test.withColumn("__test", F.lit(True)), "test")
+    keep.free(pairs, groups)
+    whole = rows.select(*df.columns) if set(df.columns) == set(rows.columns) else df
+    marked = whole.join(few.withColumnRenamed("l", "__few"), F.col(label) == F.col("__few"), "left")
+    unit = F.when(F.col("__few").isNotNull(), F.concat(F.lit("record-id:"), F.col(key).cast("string"))).otherwise(F.concat(F.lit("field:"), F.col(group).cast("string")))
+    marked = marked.withColumn("__unit", F.when(F.col(label).isNotNull(), unit)).join(test, "__unit", "left")
+    return marked.withColumn("split", F.when(F.col("__test"), "test").otherwise("train")).select(*df.columns, "split")
 
 
 def leakage(df: DataFrame, group: str, split: str = "split") -> DataFrame:

@@ -220,6 +220,38 @@ def test_candidates_equal_plain_python_and_hash_groups_twice(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("md5(") <= 2  # groups aren't hashed, ranked and shuffled again and again
 
 
+@pytest.mark.parametrize("more", [[], ["text"]])
+def test_group_split_equals_plain_python_and_works_its_rows_out_once(spark, more):
+    data = [(i, f"g{i % 97}", "xyz"[i % 97 % 3], "t") for i in range(700)] + [(700 + i, "g1", "w", "t") for i in range(20)]
+    data += [(800, None, "x", "t"), (801, "g3", None, "t"), (802, None, "w", "t"), (803, "g2", "x", "t"), (None, "g1", "w", "t")]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = one(spark, data, "k int, g string, label string, text string").repartition(3).mapInArrow(count, "k int, g string, label string, text string")
+    split = splits.grouped(df.select("k", "g", "label", *more), "k", "g", "label", 0.2, 7, 16)
+    got = sorted(map(tuple, split.drop("text").collect()), key=str)
+
+    def unit(k, g, label):
+        tail = ("record-id:", k) if label == "w" else ("field:", g)
+        return None if label is None or tail[1] is None else f"{tail[0]}{tail[1]}"
+
+    known = [(unit(*r[:3]), r[2]) for r in data if unit(*r[:3])]
+    units, n, best = {u for u, _ in known if u}, Counter(x for _, x in known), None
+    for c in range(16):
+        test = set(sorted(units, key=lambda u: (hashlib.md5(f"7|{c}|{u}".encode()).hexdigest(), u))[: math.ceil(0.2 * len(units))])
+        t = Counter(x for u, x in known if u in test)
+        if all(0 < t[x] < n[x] for x in n):
+            score = round(abs(sum(t.values()) / len(known) - 0.2) + sum(abs(t[x] / n[x] - 0.2) for x in n) / len(n), 9)
+            best = min(best or (9, 0, None), (score, c, test), key=lambda b: b[:2])
+    assert got == sorted(((k, g, x, "test" if unit(k, g, x) in best[2] else "train") for k, g, x, _ in data), key=str)
+    assert seen.value == len(data) * (1 + len(more))  # other columns are read once more, at the end
+    assert "Aggregate" not in split._jdf.queryExecution().optimizedPlan().toString()  # the last step only looks units up
+
+
 def test_replay_reports_missing_ids(spark):
     there, missing = splits.replay(one(spark, [(1,), (2,)], "k int"), "k", one(spark, [(2,), (3,)], "key int"))
     assert [r["k"] for r in there.collect()] == [2] and [r["k"] for r in missing.collect()] == [3]
