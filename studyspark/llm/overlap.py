@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import Kept, brief_shuffles, ship
 from .batches import slices
-from .contents import distinct_contents
+from .contents import distinct_contents, needed
 from .corpus import Frequent
 from .near_copies import similar, with_texts
 from .terms import distinct, grams_of, mixed, tokens
@@ -30,6 +30,15 @@ RARE, FEW = 20_000, 10
 #: Weights and norms are posted as 16-bit parts of one number, rounded up, so that sums and products are never below the true ones;
 #: sums of weights go up to SUMS.
 _UNIT, SUMS = 65535, 64.0
+#: Bands of idf, by how far below the greatest one they begin, and the bits that a sketch has for the terms of each; the rest is one norm.
+BANDS, BITS = (0.5, 2.0, 4.0), (128, 64, 64)
+#: A sketch's columns: the bands' bits, and greatest weights and the rest's norm (parts of _FINE) with counts of terms that share a bit.
+SKETCH = ["rare_one", "rare_two", "middle", "low", "scale"]
+_FINE, _CROWDED = 4095, 31
+#: Contents whose postings meet in one round, up to so many rounds, and beyond these; each round reads the texts again.
+ROUND, FEW_ROUNDS, LONG_ROUND = 1_000_000, 5, 8_000_000
+#: Pairs whose parts, and pairs whose texts, meet in one round: so many, or a share of the number of contents.
+PARTS_ROUND, TEXTS_ROUND = (2_000_000, 1.0), (500_000, 0.25)
 #: Classes of terms by hash whose greatest residual norm on the held-out side is known (4 MB, whatever the number of terms).
 _CLASSES = 1 << 21
 
@@ -85,8 +94,56 @@ def _parts(column: str) -> tuple[Column, Column, Column]:
     return F.shiftright(c, 32) / unit, F.shiftright(c, 16).bitwiseAND(F.lit(_UNIT)) / unit, total
 
 
-def postings(texts: DataFrame, frequent: Broadcast, least: float, most: Broadcast | None = None) -> DataFrame:
-    """``term, content, packed`` of each content; tables never share a term.
+def sketches(terms: np.ndarray, docs: np.ndarray, steps: np.ndarray, most: int, n: int) -> np.ndarray:
+    """Of each of ``n`` texts a row of the five numbers of SKETCH, by which ``_sketched`` bounds the cosine of two texts.
+
+    Terms of one band of idf weigh nearly the same in a text, so how many two texts can share there bounds what they gain by it: not
+    more than the bits that both have, and the terms beyond one a bit that both have.
+    """
+    w = weighed(steps)
+    unit = np.sqrt(np.bincount(docs, w**2, minlength=n))
+    w = w / unit[docs]
+    below = [most - x * Frequent.STEPS for x in BANDS]
+    band = sum((steps < x).astype(np.int8) for x in below)
+    marks, scale, start = np.zeros((n, sum(BITS)), bool), np.zeros(n, np.int64), 0
+    for i, bits in enumerate(BITS):
+        d, t, top = docs[band == i], terms[band == i], np.zeros(n)
+        marks[d, start + ((t >> np.uint64(22)) % np.uint64(bits)).astype(np.int64)] = True
+        crowd = np.bincount(d, minlength=n) - marks[:, start : start + bits].sum(axis=1)
+        np.maximum.at(top, d, w[band == i])
+        scale |= _fine(top) << 12 * i | np.minimum(crowd, _CROWDED) << 48 + 5 * i
+        start += bits
+    rest = band == len(BITS)
+    scale |= _fine(np.sqrt(np.bincount(docs[rest], w[rest] ** 2, minlength=n))) << 36
+    return np.column_stack([np.packbits(marks, axis=1, bitorder="little").view(np.int64), scale])
+
+
+def _fine(x: np.ndarray) -> np.ndarray:
+    return np.minimum(np.ceil(x * _FINE + 0.01 * (x > 0)), _FINE).astype(np.int64)
+
+
+def _sketched(a: list[str], b: list[str]) -> Column:
+    """A bound of the cosine of two contents from the columns of their sketches; never below the cosine."""
+
+    def part(column: str, shift: int, most: int) -> Column:
+        return F.shiftright(column, shift).bitwiseAND(F.lit(most))
+
+    bound, at = part(a[-1], 36, _FINE) * part(b[-1], 36, _FINE), 0
+    for i, bits in enumerate(BITS):
+        shared = sum((F.bit_count(F.col(a[j]).bitwiseAND(F.col(b[j]))) for j in range(at + 1, at + bits // 64)), F.bit_count(F.col(a[at]).bitwiseAND(F.col(b[at]))))
+        crowd = F.least(part(a[-1], 48 + 5 * i, _CROWDED), part(b[-1], 48 + 5 * i, _CROWDED))
+        crowd = F.when(crowd < _CROWDED, crowd).otherwise(1 << 20)
+        bound = bound + (shared + crowd) * part(a[-1], 12 * i, _FINE) * part(b[-1], 12 * i, _FINE)
+        at += bits // 64
+    return bound / float(_FINE * _FINE)
+
+
+def postings(
+    texts: DataFrame, frequent: Broadcast, least: float, most: Broadcast | None = None, sketch: bool = False, turn: tuple[int, int] = (0, 1)
+) -> DataFrame:
+    """``term, content, packed`` of each content, with the columns of SKETCH if wanted; tables never share a term.
+
+    ``turn``: i, n: only the terms of the i-th of n rounds (``_in_turn``).
 
     ``most``: the greatest residual norm that the other side has at a term, by class of terms; where its product with a content's
     own is below ``least``, the posting can start no pair and is left out.
@@ -98,15 +155,27 @@ def postings(texts: DataFrame, frequent: Broadcast, least: float, most: Broadcas
             hashes, of, ideograph = tokens(some)
             terms, where = distinct(*grams_of(hashes, of, ideograph, len(some), RUNS))
             found: Frequent = frequent.value
-            t, at, w, norm, after = prefixes(terms, where, found.steps(terms), least)
+            steps = found.steps(terms)
+            t, at, w, norm, after = prefixes(terms, where, steps, least)
             own = mixed(t ^ mixed(tab[at].astype(np.uint64) + np.uint64(77)))
             if most is not None:
                 keep = (norm + 1 / _UNIT) * most.value[(own & np.uint64(_CLASSES - 1)).astype(np.int64)] >= least * _UNIT
                 own, at, w, norm, after = own[keep], at[keep], w[keep], norm[keep], after[keep]
+            if turn[1] > 1:
+                keep = own.view(np.int64) % turn[1] == turn[0]
+                own, at, w, norm, after = own[keep], at[keep], w[keep], norm[keep], after[keep]
             columns = [pa.array(own.view(np.int64)), pa.array(content[at]), pa.array(packed(w, norm, after))]
-            yield pa.RecordBatch.from_arrays(columns, ["term", "content", "packed"])
+            if sketch:
+                columns += [pa.array(x) for x in sketches(terms, where, steps, int(found.most), len(some))[at].T]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["term", "content", "packed", *(SKETCH if sketch else [])]
+    return texts.select("content", "tab", "text").mapInArrow(posted, ", ".join(f"{x} long" for x in names))
 
-    return texts.select("content", "tab", "text").mapInArrow(posted, "term long, content long, packed long")
+
+def _in_turn(lists: DataFrame, turn: tuple[int, int]) -> DataFrame:
+    """The lists of the terms of one round."""
+    return lists.where(F.pmod("term", F.lit(turn[1])) == turn[0]) if turn[1] > 1 else lists
 
 
 def greatest(lists: DataFrame) -> np.ndarray:
@@ -119,38 +188,50 @@ def greatest(lists: DataFrame) -> np.ndarray:
     return out
 
 
-def candidates(ours: DataFrame, theirs: DataFrame, cosine: float) -> DataFrame:
+def candidates(ours: DataFrame, theirs: DataFrame, cosine: float, every: bool = True) -> DataFrame:
     """``a, b``: contents of the two sides (their postings) whose common postings allow the cosine.
 
     The lists meet in an equi-join of exchanges that Spark plans, so it splits a long list among tasks. A pair's products are added
     up; after its last common posting it can gain no more than the product of the residual norms, and no more than one side's sum
     of weights times the other's greatest weight, which is that of the last common term, since weights only fall from there on. All
-    parts are rounded up, so no pair that has the cosine is lost.
+    parts are rounded up, so no pair that has the cosine is lost. Where the lists aren't ``every`` one, products can't be added up.
     """
-    a = ours.select("term", F.col("content").alias("a"), F.col("packed").alias("pa"))
-    b = theirs.select("term", F.col("content").alias("b"), F.col("packed").alias("pb"))
-    return _allowed(a.join(b, "term"), cosine)
+    a, b = _named(ours, "a"), _named(theirs, "b")
+    return _allowed(a.join(b, "term"), cosine, every)
+
+
+def _named(lists: DataFrame, end: str, *others: Column) -> DataFrame:
+    """Postings of one side, with the side's name in those of the columns."""
+    return lists.select("term", *others, F.col("content").alias(end), *(F.col(x).alias(f"{x}_{end}") for x in ("packed", *SKETCH) if x in lists.columns))
 
 
-def _allowed(met: DataFrame, cosine: float) -> DataFrame:
-    """``a, b`` of common postings (a, b, pa, pb) that allow the cosine."""
-    (wa, na, sa), (wb, nb, sb) = _parts("pa"), _parts("pb")
+def _allowed(met: DataFrame, cosine: float, every: bool = True) -> DataFrame:
+    """``a, b`` of common postings (``_named``) that allow the cosine; unless these are ``every`` one, by each alone.
+
+    Sketches tell of nearly all pairs where they meet, before anything is shuffled, that they don't have the cosine.
+    """
+    (wa, na, sa), (wb, nb, sb) = _parts("packed_a"), _parts("packed_b")
+    met = met.where(na * nb >= cosine)
+    if "scale_a" in met.columns:
+        met = met.where(_sketched([f"{x}_a" for x in SKETCH], [f"{x}_b" for x in SKETCH]) >= cosine - 1e-6)
+    if not every:
+        return met.select("a", "b").distinct()
     rest = [F.sqrt(F.greatest(F.lit(0.0), (n + 2 / _UNIT) * (n + 2 / _UNIT) - w * w + 4 / _UNIT)) for n, w in ((na, wa), (nb, wb))]
     after = F.least(rest[0] * rest[1], sa * wb, sb * wa)
-    products = met.where(na * nb >= cosine).select("a", "b", (wa * wb).alias("product"), after.alias("after"))
+    products = met.select("a", "b", (wa * wb).alias("product"), after.alias("after"))
     sums = products.groupBy("a", "b").agg(F.sum("product").alias("dot"), F.min("after").alias("after"))
     return sums.where(F.col("dot") + F.least(F.lit(cosine), F.col("after")) >= cosine).select("a", "b")
 
 
-def candidates_apart(ours: DataFrame, theirs: DataFrame, same: DataFrame, cosine: float) -> DataFrame:
+def candidates_apart(ours: DataFrame, theirs: DataFrame, same: DataFrame, cosine: float, every: bool = True) -> DataFrame:
     """The same of postings that name their content's class (``first``), but for pairs of the classes ``same`` (a, b).
 
     Classes meet before their members do, so the versions of one text, which share most lists, are not paired with each other.
     """
-    a, b = (side.select("term", F.col("first").alias(unit), F.col("content").alias(end), F.col("packed").alias(p)) for side, unit, end, p in ((ours, "ua", "a", "pa"), (theirs, "ub", "b", "pb")))
+    a, b = (_named(side, end, F.col("first").alias(f"u{end}")) for side, end in ((ours, "a"), (theirs, "b")))
     units = a.select("term", "ua").distinct().join(b.select("term", "ub").distinct(), "term")
     units = units.join(same.select(F.col("a").alias("ua"), F.col("b").alias("ub")), ["ua", "ub"], "left_anti")
-    return _allowed(units.join(a, ["term", "ua"]).join(b, ["term", "ub"]), cosine)
+    return _allowed(units.join(a, ["term", "ua"]).join(b, ["term", "ub"]), cosine, every)
 
 
 def parted(texts: DataFrame, frequent: Broadcast) -> DataFrame:
@@ -202,9 +283,10 @@ def _bytes(column: pa.Array) -> np.ndarray:
 def within_bound(pairs: DataFrame, texts: DataFrame, frequent: Broadcast, cosine: float, keep: Kept) -> DataFrame:
     """``a, b``: the pairs whose parts allow the cosine: the sum of two texts' products, part by part, is never below it.
 
-    Most contents are in some pair that the lists propose, so the parts of all are computed.
+    ``pairs`` must be a kept table; the parts of texts that are in no pair are left out (some may stay).
     """
-    parts = keep(parted(texts, frequent), "parts")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("content"))
+    parts = keep(parted(needed(texts, ids), frequent), "parts")
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,6 +299,16 @@ def within_bound(pairs: DataFrame, texts: DataFrame, frequent: Broadcast, cosine
     return found
 
 
+def _rounds(pairs: DataFrame, contents: int, limits: tuple[int, float]) -> list[DataFrame]:
+    """A kept table of pairs, cut by ``b`` so that a part has about the greater of a number and a share of the contents."""
+    n = -(-pairs.count() // max(limits[0], int(limits[1] * contents))) or 1
+    return [pairs.where(F.pmod(F.xxhash64("b"), F.lit(n)) == i) for i in range(n)] if n > 1 else [pairs]
+
+
+def _together(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def split_links(docs: DataFrame, keep: Kept, cosine: float = COSINE) -> tuple[DataFrame, DataFrame]:
     """``links`` (a, b, cosine, wording) between training rows and held-out rows, and ``rows`` (tab, held, content, unit, doc; repeated rows once).
 
@@ -229,7 +321,9 @@ def split_links(docs: DataFrame, keep: Kept, cosine: float = COSINE) -> tuple[Da
     norm) is at least ``cosine``, and on the training side as long as its product with the greatest residual norm of the held-out
     side's list allows it; ``candidates`` joins the lists of the two sides and prunes. The cosines of what is left are
     computed from the whole texts. All bounds are exact, so no pair is lost. Equal contents meet under their hashes, and contents of
-    equal common wording (``wording``) under those of that. Terms are counted over the first content of each wording alone; the later
+    equal common wording (``wording``) under those of that. Lists of a large
+    corpus meet in rounds of terms, and its pairs in rounds of held-out contents, so that what lies on disk at once grows with the
+    corpus alone. Terms are counted over the first content of each wording alone; the later
     ones are posted too, and meet all contents but those of their own wording. For that each of their lists is one of its own, which
     firsts join as well; later ones of two sides meet by their classes.
     """
@@ -245,29 +339,49 @@ def split_links(docs: DataFrame, keep: Kept, cosine: float = COSINE) -> tuple[Da
 
     same = keep(equal(classes, "first"), "same")
     late = keep(kept.where(F.col("held").isNotNull()).join(later, "content"), "late")
-    theirs = keep(postings(firsts.where("held"), frequent, cosine), "held")
-    late_theirs = keep(postings(late.where("held"), frequent, cosine).join(later, "content"), "held")
-    most = docs.sparkSession.sparkContext.broadcast(greatest(theirs.unionByName(late_theirs.drop("first"))))
-    late_ours = keep(postings(late.where("not held"), frequent, cosine, most).join(later, "content"), "late")
+    late_theirs = keep(postings(late.where("held"), frequent, cosine, sketch=True).join(later, "content"), "held")
+    lists = postings(firsts.where("held"), frequent, cosine)
+    most = docs.sparkSession.sparkContext.broadcast(greatest(lists.unionByName(late_theirs.select("term", "content", "packed"))))
+    late_ours = keep(postings(late.where("not held"), frequent, cosine, most, sketch=True).join(later, "content"), "late")
     own = F.bitwise_not("term").alias("term")
-    ours = postings(firsts.where("not held"), frequent, cosine, most).unionByName(late_ours.select(own, "content", "packed"))
-    again = theirs.join(late_ours.select("term").distinct(), "term", "left_semi").select(own, "content", "packed")
-    every = theirs.unionByName(late_theirs.drop("first")).unionByName(again)
-    found = keep(candidates(ours, every, cosine).unionByName(candidates_apart(late_ours, late_theirs, same, cosine)), "candidates")
-    keep.free(theirs, late_theirs, late_ours, late)
+    n = contents.count()
+    turns, found = max(1, min(-(-n // ROUND), FEW_ROUNDS), -(-n // LONG_ROUND)), []
+    for turn in ((i, turns) for i in range(turns)):
+        theirs = keep(postings(firsts.where("held"), frequent, cosine, sketch=True, turn=turn), "held")
+        ours_apart, theirs_apart = _in_turn(late_ours, turn), _in_turn(late_theirs, turn)
+        ours = postings(firsts.where("not held"), frequent, cosine, most, sketch=True, turn=turn)
+        ours = ours.unionByName(ours_apart.select(own, "content", "packed", *SKETCH))
+        again = theirs.join(ours_apart.select("term").distinct(), "term", "left_semi").select(own, "content", "packed", *SKETCH)
+        every = theirs.unionByName(theirs_apart.drop("first")).unionByName(again)
+        pairs = candidates(ours, every, cosine, turns == 1).unionByName(candidates_apart(ours_apart, theirs_apart, same, cosine, turns == 1))
+        found.append(keep(pairs, "candidates"))
+        keep.free(theirs)
+    keep.free(late_theirs, late_ours, late)
+    if turns > 1:
+        met, found = found, [keep(_together(found).distinct(), "candidates")]
+        keep.free(*met)
     texts = kept.select("content", "text")
-    pairs = within_bound(found, kept.where(F.col("held").isNotNull()).select("content", "text"), frequent, cosine, keep)
-    both, some = with_texts(pairs, texts, keep)
-    near = similar(both.select("a", "b", "left", "right"), frequent, "a long, b long", cosine, RUNS, POWER)
+    sides = kept.where(F.col("held").isNotNull()).select("content", "text")
+    bounded = []
+    for some in _rounds(found[0], n, PARTS_ROUND):
+        bounded.append(within_bound(some, sides, frequent, cosine, keep))
+    keep.free(*found)
+    near = []
+    for pairs in bounded:
+        for part in _rounds(pairs, n, TEXTS_ROUND):
+            both, some = with_texts(part, texts, keep)
+            near.append(keep(similar(both.select("a", "b", "left", "right"), frequent, "a long, b long", cosine, RUNS, POWER), "near"))
+            keep.free(some)
+        keep.free(pairs)
     units = contents.where(F.col("held").isNotNull()).join(later, "content", "left").select("one", "two", "tab", "held", "content", F.coalesce("first", "content").alias("unit"))
-    linked = near.select("a", "b", "cosine").unionByName(equal(units, "content")).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    linked = _together(near).select("a", "b", "cosine").unionByName(equal(units, "content")).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     for end in ("a", "b"):
         of = later.select(F.col("content").alias(end), F.col("first").alias(f"first_{end}"))
         linked = linked.join(of, end, "left").withColumn(f"unit_{end}", F.coalesce(f"first_{end}", end))
     linked = linked.join(same.select(F.col("a").alias("unit_a"), F.col("b").alias("unit_b")), ["unit_a", "unit_b"], "left_anti")
     links = linked.select("a", "b", "cosine", F.lit(False).alias("wording")).unionByName(same.withColumn("wording", F.lit(True)))
     links = keep(links, "links")
-    keep.free(found, pairs, some, kept, same)
+    keep.free(*near, kept, same)
     ends = links.select(F.explode(F.array("a", "b")).alias("content"), "wording").distinct()
     others = later.join(ends.where("wording").select(F.col("content").alias("first")), "first").select("content")
     needed = ends.select("content").unionByName(others)

@@ -270,6 +270,61 @@ def test_overlaps_of_later_versions_are_found(spark):
     assert counts == Counter(h for _, h in got)
 
 
+def _alike_by_one_word(n):
+    """Texts that share single rare words with others and nothing else, and every tenth with a near copy on the other side."""
+    rows = []
+    for i in range(n):
+        own = " ".join([*(f"w{i}x{j}" for j in range(6)), f"hub{i % 120}", f"bub{i * 7 % 121}"])
+        rows += [(2 * i, 0, i % 2 == 1, f"{own} tub{i * 11 % 119}")] + ([(2 * (n + i), 0, i % 2 == 0, f"{own} other{i}")] if i % 10 == 0 else [])
+    return rows
+
+
+def test_pairs_of_one_word_are_told_where_they_meet(spark, monkeypatch):
+    """Pairs that share a rare word, whose number is the square of the corpus's, aren't shuffled or kept."""
+    kept, real = [], Kept.__call__
+
+    def call(self, df, name="t"):
+        table = real(self, df, name)
+        kept.extend([table.count()] if name == "candidates" else [])
+        return table
+
+    monkeypatch.setattr(Kept, "__call__", call)
+    docs = frame(spark, _alike_by_one_word(600), "doc long, tab int, held boolean, text string")
+    found = {frozenset((r["train"], r["held"])) for r in overlap.split_overlaps(docs, Kept(spark)).collect()}
+    assert found == {frozenset((2 * i, 2 * (600 + i))) for i in range(0, 600, 10)}
+    assert 60 <= sum(kept) <= 120
+
+
+def test_rounds_give_the_same_overlaps(spark, small, monkeypatch):
+    rows = Q._split_rows(spark, small).drop("split", "source")
+    one = sorted(overlap.split_overlaps(rows, Kept(spark)).collect())
+    for name, value in (("ROUND", 100), ("PARTS_ROUND", (100, 0.0)), ("TEXTS_ROUND", (40, 0.0))):
+        monkeypatch.setattr(overlap, name, value)
+    several = sorted(overlap.split_overlaps(rows, Kept(spark)).collect())
+    assert [r[:3] for r in several] == [r[:3] for r in one] and len(one) > 100
+    assert [r[3] for r in several] == pytest.approx([r[3] for r in one])
+
+
+@pytest.mark.parametrize("longest", [5, 60, 400])
+def test_a_sketch_never_tells_too_little(spark, longest):
+    """The bound is at least the cosine, also of texts with so many terms that these share bits."""
+    rng = np.random.RandomState(longest)
+    every = rng.randint(1, 1 << 47, 3 * longest).astype(np.uint64) << np.uint64(16)
+    idf = np.where(rng.rand(len(every)) < 0.4, 40000, rng.randint(0, 40000, len(every))).astype(np.uint16)
+    at = [np.sort(rng.choice(len(every), rng.randint(1, longest + 1), replace=False)) for _ in range(60)]
+    docs = np.repeat(np.arange(60), [len(x) for x in at])
+    t, s = every[np.concatenate(at)], idf[np.concatenate(at)]
+    found = overlap.sketches(t, docs, s, 40000, 60)
+    full = np.zeros((60, len(every)))
+    full[docs, np.concatenate(at)] = overlap.weighed(s)
+    full /= np.linalg.norm(full, axis=1)[:, None]
+    a = frame(spark, [(i, *map(int, r)) for i, r in enumerate(found)], "a long, " + ", ".join(f"{x}_a long" for x in overlap.SKETCH))
+    b = a.toDF(*(c.replace("_a", "_b") if c != "a" else "b" for c in a.columns))
+    bound = overlap._sketched([f"{x}_a" for x in overlap.SKETCH], [f"{x}_b" for x in overlap.SKETCH])
+    got = a.crossJoin(b).select("a", "b", bound.alias("bound")).collect()
+    assert len(got) == 3600 and all(r["bound"] >= full[r["a"]] @ full[r["b"]] - 1e-9 for r in got)
+
+
 def test_parts_are_read_as_they_were_written():
     rng = np.random.RandomState(2)
     raw = (rng.randint(1, 256, (40, overlap.PARTS)) * (rng.rand(40, overlap.PARTS) < np.linspace(0, 1, 40)[:, None])).astype(np.uint8)
