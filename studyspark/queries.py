@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import vocabulary as V
 from .operators import budget, dataset, diagnosis, documents, generator, linear, metrics, router, routing, rubric, scheduler, splits, tfidf
-from .plans.shared import Kept, code, first_by_key, table
+from .plans.shared import Kept, code, first_by_key, ship, table
 from .sql import oracle
 
 TODAY = oracle.TODAY
@@ -269,8 +269,12 @@ def holdout_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return there.select("doc_id", F.lit("there").alias("state")).unionByName(missing.select("doc_id", F.lit("missing").alias("state")))
 
 
+def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_by_key(table(spark, sf_dir, "diagnosis_cases").select("case_id", "text"), "case_id").where("text is not null")
+
+
 def _counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = first_by_key(table(spark, sf_dir, "diagnosis_cases").select("case_id", "text"), "case_id").where("text is not null")
+    rows = _statements(spark, sf_dir)
     return rows, tfidf.term_counts(rows, "case_id")
 
 
@@ -287,10 +291,10 @@ def idf_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tfidf_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each statement's greatest weight and sum of weights."""
-    rows, counts = _counts(spark, sf_dir)
-    idf = Kept(spark)(tfidf.inverse_frequencies(counts, rows.count()), "idf")
-    w = tfidf.document_weights(rows, "case_id", idf)
-    return w.groupBy("case_id").agg(_six(F.max("w")).alias("most"), _six(F.sum("w")).alias("total"))
+    keep = Kept(spark)
+    ship(spark)
+    found = tfidf.norms(keep(_statements(spark, sf_dir), "statements"), "case_id", keep)
+    return found.select("case_id", _six(F.col("most")).alias("most"), _six(F.col("total")).alias("total"))
 
 
 def linear_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -306,6 +306,36 @@ def test_tfidf_equals_plain_python(spark, texts):
     assert got == pytest.approx(want)
 
 
+def test_norms_hold_no_vocabulary(spark, monkeypatch):
+    """Norms equal those of plain Python; the driver sees frequencies by the piece, and no n-gram of a text is shuffled."""
+    import re
+
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    seen, real = [], DataFrame.toArrow
+    monkeypatch.setattr(DataFrame, "toArrow", lambda df: (seen.append(found := real(df)), found)[1])
+    monkeypatch.setattr(tfidf, "_PIECE", 100)
+    texts = [f"Some  words {i} 极限 {i % 7} \U0001f600" * (1 + i % 3) for i in range(150)] + ["", "a", None, "ab", "ab", "ZZ top"]
+    df = one(spark, list(enumerate(texts)), "k int, text string")
+    norms = tfidf.norms(df, "k", Kept(spark))
+    got = {r["k"]: (r["most"], r["total"]) for r in norms.collect()}
+    plain = [re.sub(r"\s\s+", " ", (t or "").lower()) for t in texts]
+    df_of = Counter(g for t in plain for g in set(_grams(t)))
+    want = {}
+    for k, t in enumerate(plain):
+        raw = [(1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + df_of[g])) + 1) for g, n in Counter(_grams(t)).items()]
+        if raw:
+            norm = math.sqrt(sum(x * x for x in raw))
+            want[k] = (max(raw) / norm, sum(raw) / norm)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert len(seen) > 2 and max(len(t) for t in seen) < 300 and sum(len(t) for t in seen) == sum(n > 1 for n in df_of.values())
+
+
+def test_tfidf_norms_shuffle_no_ngrams(spark, tiny):
+    plan = Q.tfidf_norms(spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "MapInArrow" in plan
+
+
 def _model():
     return linear.payload({"ab": 0, "bc": 1}, [1.0, 1.5], ["p", "q"], [[1.0, 0.0], [0.0, 1.0]], [0.1, 0.1], {"train_total": 1, "test_total": 1, "dataset_total": 2, "holdout_ids": ["1"]})
 
